@@ -67,16 +67,20 @@ def running(
     peers: bool = False,
     sliced: bool = False,
     slices: int | None = None,
+    exclusive: bool = False,
 ) -> DataFrame:
     """Aggregates from the first row of the key up to this one (ROWS, or RANGE with ``peers``).
 
+    ``exclusive`` leaves the row itself out.
+
     With ``peers`` the order columns decide who is equal; equal rows share one value. They stay in
     one slice, as range partitioning never splits equal sort keys.
     """
     parts = Partials(spec)
     rows = df if sliced else slice_rows(df, keys, order, slices)
     frame = _inside(keys, order)
-    frame = frame.rangeBetween(W.unboundedPreceding, 0) if peers else frame.rowsBetween(W.unboundedPreceding, 0)
+    last = -1 if exclusive else 0
+    frame = frame.rangeBetween(W.unboundedPreceding, 0) if peers else frame.rowsBetween(W.unboundedPreceding, last)
     summary = rows.groupBy(SLICE, *keys).agg(*parts.first())
     earlier = _earlier_slices(keys)
     carry = _carry_from(summary, keys, parts.merge(lambda c: c.over(earlier)))

@@ -30,8 +30,7 @@ def sessions(
     checked = F.when(gap > 0, gap).otherwise(F.raise_error(F.lit("session gap must be positive")).cast("bigint"))
     timed = df.withColumn("_end", micros + checked * F.lit(1_000_000))
     rows = ordered.slice_rows(timed, keys, order, slices)
-    reached = ordered.running(rows, keys, order, {"_reach": ("max", "_end")}, sliced=True)
-    flagged = ordered.previous(reached, keys, order, {"_before": "_reach"}, sliced=True)
+    flagged = ordered.running(rows, keys, order, {"_before": ("max", "_end")}, sliced=True, exclusive=True)
     starts = F.when(F.col("_before").isNull() | (micros > F.col("_before")), 1).otherwise(0)
     flagged = flagged.withColumn("_starts", starts)
     counted = ordered.running(flagged, keys, order, {"_session": ("sum", "_starts")}, sliced=True)

@@ -343,8 +343,6 @@ def dedup_by_stamp(t):
     again = base.where("event_type = 'click'").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
     rows = base.union(again).select("event_id", "user_id", "ts")
     order = ["ts", "event_id"]
-    sliced = ordered.slice_rows(rows, ["user_id"], order)
-    reached = ordered.running(sliced, ["user_id"], order, {"top": ("max", "event_id")}, sliced=True)
-    earlier = ordered.previous(reached, ["user_id"], order, {"seen": "top"}, sliced=True)
+    earlier = ordered.running(rows, ["user_id"], order, {"seen": ("max", "event_id")}, exclusive=True)
     fresh = earlier.where(F.col("seen").isNull() | (F.col("event_id") > F.col("seen")))
     return fresh.select("event_id", "user_id", "ts")
