@@ -1 +1,315 @@
-"""Placeholder."""
+"""Structured Streaming queries; each runs its source to the end and returns the sink's rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators import calc
+from millrace.plans.registry import query
+from millrace.streaming import keyed, order, processors, run
+
+
+def _stream(t):
+    return run.stream_table(t, "events", "ts")
+
+
+def _plain_time(df, *columns):
+    for name in columns:
+        df = df.withColumn(name, F.col(name).cast("timestamp_ntz"))
+    return df
+
+
+_MS = "(SELECT date_trunc('milliseconds', max(ts)) FROM events)"
+_AGGS = "CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total"
+
+
+def _totals():
+    return [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")]
+
+
+@query(
+    "stream_tumble_append",
+    f"""SELECT * FROM (SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end,
+        {_AGGS} FROM events GROUP BY ALL) WHERE window_end <= {_MS} - INTERVAL 1 HOUR""",
+)
+def stream_tumble_append(t):
+    """Windows are emitted once the watermark has passed them."""
+    windows = _stream(t).withWatermark("ts", "1 hour").groupBy(F.window("ts", "6 hours").alias("w"), "event_type")
+    rows = windows.agg(*_totals()).select("event_type", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total")
+    return _plain_time(run.append_table(rows), "window_start", "window_end")
+
+
+@query(
+    "stream_tumble_update",
+    f"SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, {_AGGS} FROM events GROUP BY ALL",
+)
+def stream_tumble_update(t):
+    """Early results by update mode into an upsert table: open windows are there as well."""
+    windows = _stream(t).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w"), "event_type")
+    rows = windows.agg(*_totals()).select("event_type", F.col("w.start").alias("window_start"), "n", "total")
+    return _plain_time(run.upsert_table(rows, ["event_type", "window_start"]), "window_start")
+
+
+@query(
+    "stream_hop_complete",
+    f"""SELECT event_type, window_start, {_AGGS} FROM
+        (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * unnest([0, 1]) AS window_start FROM events) GROUP BY ALL""",
+)
+def stream_hop_complete(t):
+    windows = _stream(t).groupBy(F.window("ts", "12 hours", "6 hours").alias("w"), "event_type")
+    rows = windows.agg(*_totals()).select("event_type", F.col("w.start").alias("window_start"), "n", "total")
+    return _plain_time(run.complete_table(rows), "window_start")
+
+
+@query(
+    "stream_session",
+    f"""SELECT * FROM (SELECT user_id, min(ts) AS window_start, max(ts) + INTERVAL 4 HOUR AS window_end, {_AGGS} FROM
+        (SELECT *, sum(CASE WHEN ts <= before + INTERVAL 4 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM
+         (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, s)
+        WHERE window_end <= {_MS} - INTERVAL 1 HOUR""",
+)
+def stream_session(t):
+    windows = _stream(t).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "4 hours").alias("w"), "user_id")
+    rows = windows.agg(*_totals()).select("user_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "total")
+    return _plain_time(run.append_table(rows), "window_start", "window_end")
+
+
+@query("stream_dedup", "SELECT event_id, user_id, ts FROM events")
+def stream_dedup(t):
+    """Clicks are sent twice; copies within the watermark are dropped."""
+    first = _stream(t)
+    again = _stream(t).where("event_type = 'click'")
+    rows = first.unionByName(again).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
+    return _plain_time(run.append_table(rows.select("event_id", "user_id", "ts")), "ts")
+
+
+@query(
+    "stream_union_filter",
+    """SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND value > 100
+       UNION ALL SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value < 50""",
+)
+def stream_union_filter(t):
+    """Two streams with their own filters, in one (E5)."""
+    a = _stream(t).where("event_type = 'click' AND value > 100").select("event_id", "user_id", "value")
+    b = _stream(t).where("event_type = 'purchase' AND value < 50").select("event_id", "user_id", "value")
+    return run.append_table(a.unionByName(b))
+
+
+@query(
+    "stream_side_outputs",
+    """SELECT CASE WHEN value > 200 THEN 'high' ELSE 'rest' END AS tag, event_id, value FROM events
+       UNION ALL SELECT 'error', event_id, value FROM events WHERE event_type = 'error'""",
+)
+def stream_side_outputs(t):
+    """One pass, several tagged outputs."""
+    tags = {"high": "value > 200", "rest": "NOT value > 200", "error": "event_type = 'error'"}
+    parts = run.side_outputs(_stream(t).select("event_id", "event_type", "value"), tags)
+    frames = [df.select(F.lit(tag).alias("tag"), "event_id", "value") for tag, df in parts.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+_CLICKS = "(SELECT event_id AS click_id, user_id, ts AS click_ts FROM events WHERE event_type = 'click')"
+_BUYS = "(SELECT event_id AS buy_id, user_id, ts AS buy_ts FROM events WHERE event_type = 'purchase')"
+
+
+@query(
+    "interval_join_stream",
+    f"""SELECT click_id, buy_id, c.user_id FROM {_CLICKS} c JOIN {_BUYS} b
+        ON c.user_id = b.user_id AND click_ts BETWEEN buy_ts - INTERVAL 4 HOUR AND buy_ts + INTERVAL 1 HOUR""",
+)
+def interval_join_stream(t):
+    clicks = _stream(t).where("event_type = 'click'").select(
+        F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("click_ts")).withWatermark("click_ts", "1 hour")
+    buys = _stream(t).where("event_type = 'purchase'").select(
+        F.col("event_id").alias("buy_id"), F.col("user_id").alias("buyer"), F.col("ts").alias("buy_ts")).withWatermark("buy_ts", "1 hour")
+    match = F.expr(
+        "user_id = buyer AND click_ts >= buy_ts - INTERVAL 4 HOURS AND click_ts <= buy_ts + INTERVAL 1 HOURS"
+    )
+    return run.append_table(clicks.join(buys, match).select("click_id", "buy_id", "user_id"))
+
+
+@query(
+    "stream_regular_join",
+    """SELECT o_orderkey, l_partkey, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+       WHERE o_totalprice > 400000 AND l_quantity > 40""",
+)
+def stream_regular_join(t):
+    """Inner join of two unbounded streams; its state grows with the input."""
+    orders = run.stream_table(t, "orders").where("o_totalprice > 400000").select("o_orderkey")
+    lines = run.stream_table(t, "lineitem").where("l_quantity > 40").select("l_orderkey", "l_partkey", "l_quantity")
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return run.append_table(joined.select("o_orderkey", "l_partkey", "l_quantity"))
+
+
+@query(
+    "stream_static_join",
+    """SELECT event_id, c_name, c_mktsegment FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase'""",
+)
+def stream_static_join(t):
+    rows = _stream(t).where("event_type = 'purchase'").select("event_id", "user_id")
+    joined = rows.join(t.customer, F.col("user_id") == F.col("c_custkey"))
+    return run.append_table(joined.select("event_id", "c_name", "c_mktsegment"))
+
+
+@query(
+    "stream_latest_version_join",
+    """SELECT b.event_id, b.user_id, v.value AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') b
+       ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts >= v.ts""",
+)
+def stream_latest_version_join(t):
+    """Purchases with the latest view of the user."""
+    rows = _stream(t).select("event_id", "user_id", "event_type", "value", F.unix_micros("ts").alias("at"))
+    views = rows.where("event_type = 'view'").select("user_id", "at", F.col("value").alias("seen"))
+    joined = keyed.latest_version_join(rows.where("event_type = 'purchase'"), views, "user_id", "at", "event_id", "seen")
+    return run.append_table(joined)
+
+
+_ROLL = """SELECT event_id, user_id, CAST(count(*) OVER w AS BIGINT) AS n, round(sum(value) OVER w, 4) AS total,
+           min(value) OVER w AS low, max(value) OVER w AS high FROM events
+           WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("stream_rolling", _ROLL)
+def stream_rolling(t):
+    """A rolling aggregate per record from keyed state, over several micro-batches."""
+    stream = run.replay(run.with_event_time(t.events, "ts"), _STEPS)
+    rows = stream.select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    out = keyed.rolling(rows, "user_id", ["at", "event_id"], "value", ["event_id"])
+    return run.append_table(out).withColumn("total", F.round("total", 4))
+
+
+@query(
+    "stream_count_window",
+    """SELECT user_id, CAST(idx // 4 AS BIGINT) AS "window", round(sum(value), 4) AS total FROM
+       (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events)
+       GROUP BY user_id, idx // 4 HAVING count(*) = 4""",
+)
+def stream_count_window(t):
+    rows = _stream(t).select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    out = keyed.count_windows(rows, "user_id", ["at", "event_id"], "value", 4)
+    return run.append_table(out).withColumn("total", F.round("total", 4))
+
+
+@query("trigger_delta_topspeed")
+def trigger_delta_topspeed(t):
+    """Fires when a user's value has moved by 100; best record of the last two days."""
+    rows = _stream(t).select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    out = keyed.delta_windows(rows, "user_id", ["at", "event_id"], "at", "value", "value", 100.0, 2 * 86_400_000_000)
+    return run.append_table(out)
+
+
+_STEPS = ["day(ts) <= 10", "day(ts) > 10 AND day(ts) <= 20", "day(ts) > 20"]
+
+
+def _signed(t):
+    """Events as additions, and every error event taken back in the last step."""
+    added = t.events.select("event_id", "user_id", "event_type", "ts", "value", F.lit(1).alias("sign"))
+    taken = added.where("event_type = 'error'").withColumn("sign", F.lit(-1)).withColumn("ts", F.lit("2024-01-31").cast("timestamp_ntz"))
+    return added.unionByName(taken)
+
+
+@query(
+    "stream_groupby_changelog",
+    """SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events
+       WHERE event_type <> 'error' GROUP BY 1""",
+)
+def stream_groupby_changelog(t):
+    """A retracting group-by over three micro-batches, consolidated to the table it stands for."""
+    cents = _signed(t).withColumn("value", F.col("value") * 1.0)
+    log = run.append_table(keyed.changelog(run.replay(cents, _STEPS), "user_id", "value"))
+    return keyed.consolidate(log).withColumn("total", F.round("total", 4))
+
+
+@query(
+    "retraction_nested",
+    """SELECT n, CAST(count(*) AS BIGINT) AS users FROM
+       (SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type <> 'error' GROUP BY 1) GROUP BY 1""",
+)
+def retraction_nested(t):
+    """Counts of counts: the second level reads the retractions of the first."""
+    log = run.append_table(keyed.changelog(run.replay(_signed(t), _STEPS), "user_id", "value"))
+    second = log.groupBy("n").agg(F.sum(F.when(F.col("op") == "+", 1).otherwise(-1)).alias("users"))
+    return second.where("users > 0")
+
+
+_ARRIVAL = "(ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL 5 DAY ELSE INTERVAL 0 DAY END)"
+_LATE_SQL = f"""
+  WITH s AS (SELECT *, CASE WHEN {_ARRIVAL} < TIMESTAMP '2024-01-11' THEN 0 WHEN {_ARRIVAL} < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS step FROM events),
+       m AS (SELECT a.step, max(b.ts) AS seen FROM (SELECT DISTINCT step FROM s) a LEFT JOIN s b ON b.step < a.step GROUP BY 1)"""
+
+
+def _late_stream(t):
+    wait = F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 5 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    rows = run.with_event_time(t.events.withColumn("arrival", F.col("ts") + wait), "ts")
+    first = "arrival < TIMESTAMP_NTZ '2024-01-11'"
+    second = "arrival >= TIMESTAMP_NTZ '2024-01-11' AND arrival < TIMESTAMP_NTZ '2024-01-21'"
+    return run.replay(rows, [first, second, "arrival >= TIMESTAMP_NTZ '2024-01-21'"])
+
+
+@query(
+    "stream_late_split",
+    f"""{_LATE_SQL} SELECT event_id, coalesce(ts < seen - INTERVAL 1 DAY, false) AS late FROM s JOIN m USING (step)""",
+)
+def stream_late_split(t):
+    """Late rows go to their own output."""
+    good, late = order.split_late(_late_stream(t), "ts", 86_400)
+    return good.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
+@query(
+    "stream_sort",
+    f"""{_LATE_SQL}, kept AS (SELECT s.* FROM s JOIN m USING (step) WHERE seen IS NULL OR ts > seen - INTERVAL 1 DAY)
+        SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS place FROM kept
+        WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+)
+def stream_sort(t):
+    """Event-time order across micro-batches; late rows are dropped."""
+    rows = order.sort_stream(_late_stream(t).select("event_id", "ts"), "ts", 86_400)
+    return calc.zip_with_index(rows, ["_batch", "ts", "event_id"], "place").select("event_id", "place")
+
+
+@query(
+    "stream_feedback",
+    """SELECT event_id, CAST(greatest(0, floor(log2(value)) + 1) AS INTEGER) AS round,
+              value / pow(2, greatest(0, floor(log2(value)) + 1)) AS value FROM events""",
+)
+def stream_feedback(t):
+    """Values are halved until they drop below 1."""
+    rows = _stream(t).select("event_id", "value")
+    return order.feedback(rows, lambda df: df.withColumn("value", F.col("value") / 2), F.col("value") < 1)
+
+
+@query(
+    "stream_inactivity_timer",
+    f"""SELECT user_id, CAST(count(*) AS BIGINT) AS n, epoch_us(max(ts)) // 1000 AS latest_ms FROM events GROUP BY 1
+        HAVING epoch_us(max(ts)) // 1000 + 6 * 3600000 < (SELECT epoch_us(max(ts)) // 1000 FROM events)""",
+)
+def stream_inactivity_timer(t):
+    """Users without a record for six hours, found by event-time timers."""
+    rows = _stream(t).withWatermark("ts", "0 seconds").select("user_id", "ts")
+    with run.rocksdb_state(t.spark):
+        return run.append_table(processors.inactivity(rows, "user_id", "ts", 6 * 3_600_000))
+
+
+@query(
+    "stream_state_ttl",
+    "SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY ALL",
+)
+def stream_state_ttl(t):
+    """Map state whose idle entries expire after an hour of processing time."""
+    rows = _stream(t).select("user_id", "event_type")
+    with run.rocksdb_state(t.spark):
+        seen = run.append_table(processors.sightings(rows, "user_id", "event_type", 3_600_000))
+    return seen.groupBy("user_id", "event_type").agg(F.max("n").alias("n"))
+
+
+@query(
+    "stream_state_read",
+    "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1",
+)
+def stream_state_read(t):
+    """The state of a running count, read back from its checkpoint."""
+    checkpoint = run.checkpoint_path(t.spark)
+    run.batch_log(_stream(t).groupBy("event_type").count(), "update", checkpoint)
+    state = t.spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col("key.event_type").alias("event_type"), F.col("value.count").alias("n"))
