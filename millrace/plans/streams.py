@@ -298,7 +298,7 @@ def stream_inactivity_timer(t):
 def stream_state_ttl(t):
     """Map state whose idle entries expire after an hour of processing time."""
     rows = _stream(t).select("user_id", "event_type")
-    with run.rocksdb_state(t.spark):
+    with run.rocksdb_state(t.spark, idle_batches=False):
         seen = run.append_table(processors.sightings(rows, "user_id", "event_type", 3_600_000))
     return seen.groupBy("user_id", "event_type").agg(F.max("n").alias("n"))
 

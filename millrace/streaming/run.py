@@ -14,20 +14,28 @@ from millrace.session import ROCKSDB_PROVIDER
 from millrace.sources.tables import Tables
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 
 
 @contextmanager
-def rocksdb_state(spark: SparkSession):
-    """List, map and timer state needs the RocksDB provider; the earlier setting is put back."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB_PROVIDER)
+def rocksdb_state(spark: SparkSession, idle_batches: bool = True):
+    """List, map and timer state needs the RocksDB provider; the earlier settings are put back.
+
+    Processing-time state asks for another batch without end, so a bounded run of it must be started
+    with ``idle_batches`` off.
+    """
+    wanted = {PROVIDER: ROCKSDB_PROVIDER, IDLE_BATCHES: str(idle_batches).lower()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def with_event_time(df: DataFrame, time: str) -> DataFrame:
