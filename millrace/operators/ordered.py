@@ -191,3 +191,21 @@ def over_time(
     frame = W.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
     framed = placed.select(*df.columns, "_own", "_bucket", *parts.first(lambda c: c.over(frame)))
     return framed.where("_own = _bucket").select(*df.columns, *parts.finish())
+
+
+def next_seen(
+    df: DataFrame, keys: list[str], order: list[str], column: str, name: str, sliced: bool = False, slices: int | None = None
+) -> DataFrame:
+    """The first non-null ``column`` strictly after each row of the key."""
+    rows = df if sliced else slice_rows(df, keys, order, slices)
+    filled = F.when(F.col(column).isNotNull(), F.struct(*order))
+    summary = rows.groupBy(SLICE, *keys).agg(F.min_by(column, filled).alias("_first"))
+    later = W.partitionBy(*keys).orderBy(F.desc(SLICE)).rowsBetween(W.unboundedPreceding, -1)
+    nearest = F.last("_first", ignorenulls=True).over(later)
+    picked = summary.withColumn("_next", nearest).where(F.col("_next").isNotNull())
+    carry = picked.select(SLICE, *keys, F.struct(F.col("_next").alias("first")).alias("_carry"))
+    frame = W.partitionBy(SLICE, *keys).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, -1)
+    here = rows.withColumn("_seen", F.last(column, ignorenulls=True).over(frame))
+    both = _attach(here, carry, keys)
+    out = both.select(*rows.columns, F.coalesce(F.col("_seen"), F.col("_carry.first")).alias(name))
+    return out if sliced else out.drop(SLICE)
