@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import joins, ordered
-from millrace.scratch import written
+from millrace.scratch import written, written_and_measured
 
 ONCE, OPTIONAL, PLUS, STAR = "", "?", "+", "*"
 
@@ -275,11 +275,10 @@ def skip(matches: DataFrame, keys: list[str], to: str = "next") -> DataFrame:
         targets = state.where("kept AND jump IS NOT NULL").select("_key", F.col("jump").alias("id")).distinct()
         hops = state.select("_key", F.col("id").alias("jump"), F.col("jump").alias("_further"))
         grown = state.join(targets.withColumn("_hit", F.lit(True)), ["_key", "id"], "left").join(hops, ["_key", "jump"], "left")
-        state = written(
-            grown.select("_key", "id", F.col("_further").alias("jump"), (F.col("kept") | F.coalesce("_hit", F.lit(False))).alias("kept")),
-            "links",
-        )
-        if state.where("jump IS NOT NULL").isEmpty():
+        kept = F.col("kept") | F.coalesce("_hit", F.lit(False))
+        doubled = grown.select("_key", "id", F.col("_further").alias("jump"), kept.alias("kept"))
+        state, seen = written_and_measured(doubled, "links", open=F.count("jump"))
+        if seen["open"] == 0:
             break
     chosen = state.where("kept").select("_key.*", F.col("id").alias("start_idx"))
     return table.join(chosen, [*keys, "start_idx"], "left_semi")
