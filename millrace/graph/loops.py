@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.graph.frame import Graph
 from millrace.iterate import bulk_iterate, delta_iterate, until_unchanged
-from millrace.scratch import written
+from millrace.scratch import written, written_and_measured
 
 UNREACHED = 1.7976931348623157e308
 
@@ -197,8 +197,8 @@ def transitive_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     known, fresh = base, base
     for _ in range(max_rounds):
         longer = fresh.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
-        fresh = written(longer.join(known, ["src", "dst"], "left_anti"), "paths")
-        if fresh.isEmpty():
+        fresh, seen = written_and_measured(longer.join(known, ["src", "dst"], "left_anti"), "paths")
+        if seen["rows"] == 0:
             return known
-        known = written(known.unionByName(fresh), "closure")
+        known = known.unionByName(fresh)
     return known

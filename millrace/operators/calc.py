@@ -118,7 +118,7 @@ def sample_fraction(df: DataFrame, fraction: float, replace: bool = False, seed:
 def split_exactly(df: DataFrame, fractions: list[float], identity: list[str], seed: int = 0) -> list[DataFrame]:
     """Disjoint parts with exact sizes ``round(cumulative fraction * rows)``."""
     total = sum(fractions)
-    shuffled = zip_with_index(df.withColumn("_w", _weight(identity, seed)), ["_w", *identity], "_idx")
+    shuffled = written(zip_with_index(df.withColumn("_w", _weight(identity, seed)), ["_w", *identity], "_idx"), "split")
     rows = shuffled.count()
     parts, begin, share = [], 0, 0.0
     for fraction in fractions:

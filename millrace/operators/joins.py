@@ -28,15 +28,18 @@ def hot_keys(df: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = 0.02, salts: int = 32
+    left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: float = 0.02, salts: int = 32,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join on same-named keys; hot left keys are salted, the matching right rows repeated.
 
     Only right rows of hot keys are repeated, so the extra volume is ``salts`` copies of few rows.
+    ``profile`` is the frame to count keys on, when ``left`` is dear to compute twice (say, a join
+    that keeps the shares of an input).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("swap the sides: the right side is the one that may be repeated")
-    hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left if profile is None else profile, keys, share).withColumn("_hot", F.lit(True)))
     turn = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     numbered = left.withColumn("_turn", turn)
     salted_left = numbered.join(hot, keys, "left").withColumn(

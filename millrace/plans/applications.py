@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -105,6 +105,19 @@ def json_word_count(t):
     return words.groupBy("role", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_paths(rows: DataFrame, payload: str, rules: DataFrame, column: str, most: int = 200) -> DataFrame:
+    """Add ``known``: the value of every JSON path that the rules name, read once per row.
+
+    The paths are counted first; past ``most`` of them the rules belong in several groups.
+    """
+    named = rules.select(F.explode(F.col(f"{column}.path")).alias("path")).distinct().limit(most + 1).collect()
+    if len(named) > most:
+        raise ValueError(f"rules name more than {most} different paths")
+    entries = [part for r in named for part in (F.lit(r["path"]), F.get_json_object(payload, r["path"]))]
+    known = F.create_map(*entries) if entries else F.create_map().cast("map<string,string>")
+    return rows.withColumn("known", known)
+
+
 @query(
     "alert_counts",
     """WITH p AS (SELECT event_id, user_id, ts, event_type, json_extract_string(props, '$.k') AS k FROM events),
@@ -121,8 +134,8 @@ def alert_counts(t):
     rules = rows.where("event_type = 'signup'").select(
         "user_id", F.col("event_id").alias("alert_id"), F.col("ts").alias("since"), F.array(kind, rule).alias("rules")
     ).dropDuplicates(["user_id", "alert_id"])
-    met = rows.join(rules, "user_id").where("ts > since")
-    qualified = met.where("forall(rules, r -> get_json_object(payload, r.path) = r.value)")
+    met = with_paths(rows, "payload", rules, "rules").join(rules, "user_id").where("ts > since")
+    qualified = met.where("forall(rules, r -> known[r.path] = r.value)")
     counted = ordered.running(
         qualified.select("event_id", "user_id", "ts", "alert_id"), ["user_id", "alert_id"], ["ts", "event_id"], {"fired": ("count", "*")}
     )

@@ -106,7 +106,7 @@ def join_skewed_keys(t):
     lines = t.lineitem.select(F.col("l_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"), "l_quantity")
     orders = t.orders.select(F.col("o_orderkey").alias("orderkey"), "o_orderstatus")
     parts = t.part.select(F.col("p_partkey").alias("partkey"), "p_brand")
-    both = joins.skew_join(joins.skew_join(lines, orders, ["orderkey"]), parts, ["partkey"])
+    both = joins.skew_join(joins.skew_join(lines, orders, ["orderkey"]), parts, ["partkey"], profile=lines)
     return both.groupBy("o_orderstatus", "p_brand").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")
     )

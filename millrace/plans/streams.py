@@ -158,7 +158,7 @@ def stream_static_join(t):
 )
 def stream_latest_version_join(t):
     """Purchases with the latest view of the user."""
-    rows = _stream(t).select("event_id", "user_id", "event_type", "value", F.unix_micros("ts").alias("at"))
+    rows = run.stream_table(t, "events", "ts", 1 << 30).select("event_id", "user_id", "event_type", "value", F.unix_micros("ts").alias("at"))
     views = rows.where("event_type = 'view'").select("user_id", "at", F.col("value").alias("seen"))
     joined = keyed.latest_version_join(rows.where("event_type = 'purchase'"), views, "user_id", "at", "event_id", "seen")
     return run.append_table(joined)
@@ -185,7 +185,7 @@ def stream_rolling(t):
        GROUP BY user_id, idx // 4 HAVING count(*) = 4""",
 )
 def stream_count_window(t):
-    rows = _stream(t).select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    rows = run.stream_table(t, "events", "ts", 1 << 30).select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
     out = keyed.count_windows(rows, "user_id", ["at", "event_id"], "value", 4)
     return run.append_table(out).withColumn("total", F.round("total", 4))
 
@@ -193,7 +193,7 @@ def stream_count_window(t):
 @query("trigger_delta_topspeed")
 def trigger_delta_topspeed(t):
     """Fires when a user's value has moved by 100; best record of the last two days."""
-    rows = _stream(t).select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    rows = run.stream_table(t, "events", "ts", 1 << 30).select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
     out = keyed.delta_windows(rows, "user_id", ["at", "event_id"], "at", "value", "value", 100.0, 2 * 86_400_000_000)
     return run.append_table(out)
 

@@ -103,10 +103,11 @@ def write_lines(df: DataFrame, path: str, template=None) -> None:
 
 
 def write_bucketed(df: DataFrame, path: str, time: str, pattern: str = "yyyy-MM-dd--HH", form: str = "parquet", max_records: int | None = None) -> None:
-    """One folder per formatted time; rows of a bucket are gathered first so that files stay few and large."""
+    """One folder per formatted time. Rows of a bucket are gathered so that files stay few and large; a
+    rebalance splits a bucket that is too large for one task."""
     rows = df.withColumn("bucket", F.date_format(time, pattern))
-    spread = rows.repartition("bucket", F.pmod(F.monotonically_increasing_id(), F.lit(4)))
-    writer = spread.write.format(form).partitionBy("bucket")
+    gathered = rows.hint("rebalance", F.col("bucket"))
+    writer = gathered.write.format(form).partitionBy("bucket")
     if max_records:
         writer = writer.option("maxRecordsPerFile", max_records)
     writer.save(path)

@@ -51,11 +51,14 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return files.getFileStatus(hadoop_path).isDirectory()
 
 
-def stream_table(t: Tables, name: str, time: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """A given table as a bounded stream of its files."""
+def stream_table(t: Tables, name: str, time: str | None = None, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A given table as a bounded stream of its files.
+
+    ``bytes_per_trigger`` bounds a micro-batch, and with it what a task with Python state holds of a key.
+    """
     reader = t.spark.readStream.schema(getattr(t, name).schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     if is_folder(t.spark, t.path(name)):
         stream = reader.parquet(t.path(name))
     else:
@@ -64,11 +67,21 @@ def stream_table(t: Tables, name: str, time: str | None = None, files_per_trigge
 
 
 def replay(df: DataFrame, steps: list) -> DataFrame:
-    """A stream that delivers the rows matching each predicate of ``steps`` as one micro-batch, in order."""
-    path = new_path(df.sparkSession, "replay")
-    for step in steps:
-        df.where(step).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A stream that delivers the rows matching each predicate of ``steps`` as one micro-batch, in order.
+
+    Every step is written as the same number of files, which is the read limit of the stream. Rows are
+    dealt out in turn, so with at least ``files`` rows in some input partition no file stays empty.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, "replay")
+    sizes = df.agg(*[F.count_if(F.expr(step)).alias(f"s{i}") for i, step in enumerate(steps)]).first()
+    kept = [(step, size) for step, size in zip(steps, sizes, strict=True) if size]
+    inputs = df.rdd.getNumPartitions()
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(1, min([shuffled, *[size // inputs for _, size in kept]]))
+    for step, _ in kept:
+        df.where(step).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def checkpoint_path(spark: SparkSession) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -93,6 +94,8 @@ def check(spark, con, folder: str, name: str, queries, oracles):
 
 
 def main():
+    from pyspark.sql import SparkSession
+
     import __spark_entry__ as entry
     from millrace.session import build_session
 
@@ -100,7 +103,10 @@ def main():
     queries, oracles = entry.queries(), entry.oracle_sql()
     names = sys.argv[2:] or sorted(queries)
     wanted = [n for n in queries if any(n == w or (w.endswith("*") and n.startswith(w[:-1])) for w in names)]
-    spark = build_session("compare", "local[8]", **{
+    if os.environ.get("PLAIN"):  # a session that knows nothing of this library
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config(
+            "spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.getActiveSession() or build_session("compare", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
