@@ -132,6 +132,138 @@ def triadic_census(graph: Graph) -> DataFrame:
     return counts.select((every - t1 - t2 - t3).alias("t0"), t1.alias("t1"), t2.alias("t2"), t3.alias("t3"))
 
 
+def edge_metrics(graph: Graph) -> DataFrame:
+    """One row: how many wedges a triangle or rectangle search would look at, in all and at most per vertex.
+
+    Edges point to the end of higher degree; a triangle search pairs out-edges, a rectangle search also
+    pairs every out-edge with every in-edge.
+    """
+    pairs = written(once(graph), "pairs")
+    degree = _degree(pairs)
+    ranked = pairs.join(degree.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a").join(
+        degree.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b"
+    )
+    up = F.struct("da", "a") < F.struct(F.col("db").alias("da"), F.col("b").alias("a"))
+    ends = ranked.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("a").alias("id"), up.cast("bigint").alias("o")),
+                F.struct(F.col("b").alias("id"), (~up).cast("bigint").alias("o")),
+            )
+        ).alias("e")
+    ).select("e.*")
+    sides = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum(1 - F.col("o")).alias("i"))
+    narrow = (F.col("o") * (F.col("o") - 1) / 2).cast("bigint")
+    wide = narrow + F.col("o") * F.col("i")
+    return sides.agg(
+        F.coalesce(F.sum(narrow), F.lit(0)).alias("triangle_triplets"),
+        F.coalesce(F.sum(wide), F.lit(0)).alias("rectangle_triplets"),
+        F.coalesce(F.max(narrow), F.lit(0)).alias("max_triangle_triplets"),
+        F.coalesce(F.max(wide), F.lit(0)).alias("max_rectangle_triplets"),
+    )
+
+
+def _dyads(graph: Graph) -> DataFrame:
+    """Connected pairs x < y with ``way``: 1 for x -> y only, 2 for y -> x only, 3 for both."""
+    directed = graph.edges.where("src <> dst").select("src", "dst").distinct()
+    way = F.when(F.col("src") < F.col("dst"), 1).otherwise(2)
+    sides = directed.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), way.alias("way"))
+    return sides.groupBy("x", "y").agg(F.sum("way").alias("way"))
+
+
+def vertex_metrics_directed(graph: Graph) -> DataFrame:
+    """One row: vertices, one-way and two-way edges, triplets and the greatest degrees."""
+    dyads = _dyads(graph)
+    near = dyads.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("x").alias("id"), (F.col("way") != 2).alias("o"), (F.col("way") != 1).alias("i")),
+                F.struct(F.col("y").alias("id"), (F.col("way") != 1).alias("o"), (F.col("way") != 2).alias("i")),
+            )
+        ).alias("e")
+    ).select("e.*")
+    counted = near.groupBy("id").agg(F.count(F.lit(1)).alias("d"), F.count_if("o").alias("o"), F.count_if("i").alias("i"))
+    each = graph.vertices.select("id").join(counted, "id", "left").fillna(0, ["d", "o", "i"])
+    wedges = (F.col("d") * (F.col("d") - 1) / 2).cast("bigint")
+    totals = each.agg(
+        F.count(F.lit(1)).alias("vertices"), F.sum(wedges).alias("triplets"), F.max("d").alias("max_degree"),
+        F.max("o").alias("max_out_degree"), F.max("i").alias("max_in_degree"), F.max(wedges).alias("max_triplets"),
+    )
+    ways = dyads.agg(F.struct(F.count_if(F.col("way") < 3).alias("one"), F.count_if(F.col("way") == 3).alias("two")).alias("w"))
+    return totals.withColumn("_w", ways.scalar()).select(
+        "vertices", F.col("_w.one").alias("one_way"), F.col("_w.two").alias("two_way"), "triplets", "max_degree",
+        "max_out_degree", "max_in_degree", "max_triplets",
+    )
+
+
+# The sixteen triad classes in their usual order.
+TRIADS = ("003", "012", "102", "021D", "021U", "021C", "111D", "111U", "030T", "030C", "201", "120D", "120U", "120C", "210", "300")
+
+
+def triadic_census_directed(graph: Graph) -> DataFrame:
+    """(triad, n) for the sixteen classes of directed vertex triples.
+
+    Triples joined in the middle only are counted from each vertex's numbers of outgoing, incoming and
+    two-way neighbours; the corners of triangles are taken off, triangles are classed one by one, and
+    triples with one edge or none follow from the totals.
+    """
+    dyads = written(_dyads(graph), "dyads")
+    sides = dyads.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("x").alias("id"), F.element_at(F.array(*map(F.lit, "oim")), F.col("way").cast("int")).alias("k")),
+                F.struct(F.col("y").alias("id"), F.element_at(F.array(*map(F.lit, "iom")), F.col("way").cast("int")).alias("k")),
+            )
+        ).alias("e")
+    ).select("e.*")
+    near = sides.groupBy("id").agg(*[F.count_if(F.col("k") == k).alias(k) for k in "oim"])
+
+    def pairs(k):
+        return F.sum((F.col(k) * (F.col(k) - 1) / 2).cast("bigint"))
+
+    wedges = near.agg(
+        pairs("o").alias("oo"), pairs("i").alias("ii"), pairs("m").alias("mm"), F.sum(F.col("o") * F.col("i")).alias("io"),
+        F.sum(F.col("m") * F.col("i")).alias("im"), F.sum(F.col("m") * F.col("o")).alias("mo"),
+    )
+    tri = triangles(graph)
+    for x, y in ("ab", "ac", "bc"):
+        tri = tri.join(dyads.select(F.col("x").alias(x), F.col("y").alias(y), F.col("way").cast("int").alias(x + y)), [x, y])
+
+    def side(way, first):
+        return F.element_at(F.array(*map(F.lit, "oim" if first else "iom")), F.col(way))
+
+    corners = [(("ab", True), ("ac", True)), (("ab", False), ("bc", True)), (("ac", False), ("bc", False))]
+    kinds = F.array(*[F.array_join(F.array_sort(F.array(side(*p), side(*q))), "") for p, q in corners])
+    shapes = tri.select(kinds.alias("k")).select("k", F.size(F.filter(F.flatten(F.transform("k", lambda c: F.split(c, ""))), lambda c: c == "m")).alias("m"))
+    has = lambda c: F.array_contains("k", c)
+    name = (
+        F.when(F.col("m") == 6, "300").when(F.col("m") == 4, "210")
+        .when(F.col("m") == 2, F.when(has("oo"), "120D").when(has("ii"), "120U").otherwise("120C"))
+        .otherwise(F.when(has("oo"), "030T").otherwise("030C"))
+    )
+    classes = shapes.groupBy(name.alias("triad"), "k").agg(F.count(F.lit(1)).alias("n"))
+    # a few dozen rows: triangle classes by their corners
+    closed: dict[str, int] = dict.fromkeys(TRIADS, 0)
+    corner_counts: dict[str, int] = {}
+    for row in classes.collect():
+        closed[row["triad"]] += row["n"]
+        for corner in row["k"]:
+            corner_counts[corner] = corner_counts.get(corner, 0) + row["n"]
+    total = {k: v or 0 for k, v in wedges.first().asDict().items()}
+    opened = {kind: n - corner_counts.get(kind, 0) for kind, n in total.items()}
+    census = dict(closed)
+    census |= {"021D": opened["oo"], "021U": opened["ii"], "021C": opened["io"], "111D": opened["im"], "111U": opened["mo"], "201": opened["mm"]}
+    ways = dyads.agg(F.count_if(F.col("way") < 3).alias("one"), F.count_if(F.col("way") == 3).alias("two")).first()
+    n = graph.vertices.count()
+    two_way = {"111D": 1, "111U": 1, "201": 2, "120D": 1, "120U": 1, "120C": 1, "210": 2, "300": 3}
+    edges = {t: (2 if t in ("021D", "021U", "021C", "111D", "111U", "201") else 3) for t in TRIADS[3:]}
+    census["102"] = ways["two"] * (n - 2) - sum(two_way.get(t, 0) * census[t] for t in TRIADS[3:])
+    census["012"] = ways["one"] * (n - 2) - sum((edges[t] - two_way.get(t, 0)) * census[t] for t in TRIADS[3:])
+    census["003"] = n * (n - 1) * (n - 2) // 6 - sum(census[t] for t in TRIADS[1:])
+    spark = graph.vertices.sparkSession
+    return spark.createDataFrame([(t, census[t]) for t in TRIADS], "triad string, n bigint")
+
+
 def neighbour_similarity(graph: Graph, measure: str, at_least: float) -> DataFrame:
     """Vertex pairs (a < b) by shared neighbours: see :func:`similar_sets` for the measures."""
     pairs = written(once(graph), "pairs")

@@ -233,6 +233,33 @@ def _find_any(df, keys, order, pattern: Pattern, columns, time, split: int) -> D
     return _finish(found, keys, pattern, "_all", time)
 
 
+def follow_where(
+    df: DataFrame, keys: list[str], order: list[str], time: str, begin: Column, related: Column, columns: list[str],
+    seconds: int, every: bool = False,
+) -> DataFrame:
+    """Two stages whose second condition looks at the first match: rows ``a_*`` and ``b_*``.
+
+    ``related`` is written over ``a_`` and ``b_`` columns. The first fitting later row is taken (or every
+    one), within ``seconds``; the pairs are made per (key, time bucket) and reduced to one per start in
+    each task.
+    """
+    kept = list(dict.fromkeys([*order, *columns, time]))
+    a = df.where(begin).select(*keys, *[F.col(c).alias(f"a_{c}") for c in kept])
+    b = df.select(*keys, *[F.col(c).alias(f"b_{c}") for c in kept])
+    later = F.struct(*[F.col(f"b_{c}").alias(c) for c in order]) > F.struct(*[F.col(f"a_{c}").alias(c) for c in order])
+    near = joins.interval_join(a, b, keys, f"a_{time}", f"b_{time}", seconds, 0).where(later & related)
+    span = F.unix_micros(F.col(f"b_{time}").cast("timestamp")) - F.unix_micros(F.col(f"a_{time}").cast("timestamp"))
+    near = near.where(span < seconds * 1_000_000)
+    shown = [*keys, *[f"{side}_{c}" for side in "ab" for c in columns]]
+    if every:
+        return near.select(*shown)
+    starts = [f"a_{c}" for c in kept]
+    first = near.groupBy(*keys, *starts).agg(
+        F.min_by(F.struct(*[f"b_{c}" for c in columns]), F.struct(*[f"b_{c}" for c in order])).alias("_b")
+    )
+    return first.select(*keys, *[f"a_{c}" for c in columns], "_b.*")
+
+
 def timed_out(df: DataFrame, keys: list[str], order: list[str], pattern: Pattern, columns: list[str], time: str) -> DataFrame:
     """Start rows whose match did not complete in time, once the stream is past the limit."""
     done = find(df, keys, order, pattern, [*columns, time], time)

@@ -192,6 +192,54 @@ def graph_triadic_census(t):
     return local.triadic_census(_graph(t))
 
 
+@query(
+    "graph_edge_metrics",
+    f"""WITH {_PAIRS}, o AS (SELECT p.a, p.b, (x.degree, p.a) < (y.degree, p.b) AS up FROM p JOIN d x ON x.id = p.a JOIN d y ON y.id = p.b),
+        s AS (SELECT id, CAST(sum(o) AS BIGINT) AS o, CAST(sum(1 - o) AS BIGINT) AS i FROM
+          (SELECT a AS id, up::INT AS o FROM o UNION ALL SELECT b, (NOT up)::INT FROM o) GROUP BY 1)
+        SELECT CAST(sum(o * (o - 1) // 2) AS BIGINT) AS triangle_triplets, CAST(sum(o * (o - 1) // 2 + o * i) AS BIGINT) AS rectangle_triplets,
+          CAST(max(o * (o - 1) // 2) AS BIGINT) AS max_triangle_triplets, CAST(max(o * (o - 1) // 2 + o * i) AS BIGINT) AS max_rectangle_triplets FROM s""",
+)
+def graph_edge_metrics(t):
+    return local.edge_metrics(_graph(t))
+
+
+@query(
+    "graph_vertex_metrics_directed",
+    f"""WITH {_PAIRS}, s AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), o AS (SELECT src AS id, count(*) AS o FROM s GROUP BY 1),
+        i AS (SELECT dst AS id, count(*) AS i FROM s GROUP BY 1)
+        SELECT CAST(count(*) AS BIGINT) AS vertices, CAST(2 * (SELECT count(*) FROM p) - (SELECT count(*) FROM s) AS BIGINT) AS one_way,
+          CAST((SELECT count(*) FROM s) - (SELECT count(*) FROM p) AS BIGINT) AS two_way,
+          CAST(sum(coalesce(degree, 0) * (coalesce(degree, 0) - 1) // 2) AS BIGINT) AS triplets, CAST(max(degree) AS BIGINT) AS max_degree,
+          CAST(max(o) AS BIGINT) AS max_out_degree, CAST(max(i) AS BIGINT) AS max_in_degree, CAST(max(degree * (degree - 1) // 2) AS BIGINT) AS max_triplets
+        FROM v LEFT JOIN d USING (id) LEFT JOIN o USING (id) LEFT JOIN i USING (id)""",
+)
+def graph_vertex_metrics_directed(t):
+    return local.vertex_metrics_directed(_graph(t))
+
+
+@query("graph_triadic_census_directed")
+def graph_triadic_census_directed(t):
+    """Sixteen counts; checked against full enumeration in the tests."""
+    return local.triadic_census_directed(_graph(t))
+
+
+@query(
+    "graph_euclidean_weights",
+    """WITH e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
+         ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
+       SELECT src, dst, round(sqrt((x.p_size - y.p_size) ** 2 + (x.p_retailprice / 100 - y.p_retailprice / 100) ** 2), 6) AS weight
+       FROM e JOIN part x ON src = x.p_partkey JOIN part y ON dst = y.p_partkey""",
+)
+def graph_euclidean_weights(t):
+    """Edges weighted by the distance of their ends."""
+    point = F.struct(F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 100).alias("y"))
+    vertices = t.part.select(F.col("p_partkey").alias("id"), point.alias("value"))
+    rows = Graph(vertices, _succession(t).withColumn("value", F.lit(None).cast("double"))).triplets()
+    gap = F.pow(F.col("src_value.x") - F.col("dst_value.x"), 2) + F.pow(F.col("src_value.y") - F.col("dst_value.y"), 2)
+    return rows.select("src", "dst", F.round(F.sqrt(gap), 6).alias("weight"))
+
+
 _SHARED = """s AS MATERIALIZED (SELECT x.id AS a, y.id AS b, CAST(count(*) AS BIGINT) AS shared, sum(1 / ln(m.degree)) AS aa
   FROM n x JOIN n y ON x.near = y.near AND x.id < y.id JOIN d m ON m.id = x.near GROUP BY ALL)"""
 

@@ -86,6 +86,19 @@ def pattern_followed_by_any(t):
     return found.select("user_id", F.col("a.first.event_id").alias("a_id"), F.col("b.first.event_id").alias("b_id"))
 
 
+@query(
+    "pattern_iterative",
+    """SELECT a.user_id, a.event_id AS a_event_id, arg_min(b.event_id, (b.ts, b.event_id)) AS b_event_id FROM events a JOIN events b
+       ON a.user_id = b.user_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.ts < a.ts + INTERVAL 2 DAY AND b.value > 2 * a.value
+       WHERE a.event_type = 'click' GROUP BY a.user_id, a.event_id""",
+)
+def pattern_iterative(t):
+    """A click followed by the first event of more than twice its value (iterative condition, C1)."""
+    return match.follow_where(
+        _events(t), ["user_id"], ORDER, "ts", _is("click"), F.col("b_value") > 2 * F.col("a_value"), ["event_id", "value"], 2 * 86_400
+    ).select("user_id", "a_event_id", "b_event_id")
+
+
 @query(
     "pattern_timed_out",
     """SELECT user_id, event_id FROM events a WHERE event_type = 'signup' AND ts + INTERVAL 1 DAY <= (SELECT max(ts) FROM events)

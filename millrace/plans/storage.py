@@ -106,10 +106,13 @@ def io_sequence_file(t):
     return files.read_sequence_file(t.spark, path, "id bigint, name string")
 
 
-@query("io_values", "SELECT r_name, weight FROM region JOIN (VALUES (0, 1.5::DOUBLE), (1, 2.5), (3, 0.5)) v(k, weight) ON r_regionkey = k")
+@query("io_values", "SELECT c_custkey, c_acctbal * weight AS weighted FROM customer JOIN (VALUES ('BUILDING', 1.5::DOUBLE), ('MACHINERY', 2.5)) v(k, weight) ON c_mktsegment = k")
 def io_values(t):
     """A literal table joined to a given one."""
-    return t.spark.sql("SELECT r_name, weight FROM {region} JOIN VALUES (0, 1.5D), (1, 2.5D), (3, 0.5D) AS v(k, weight) ON r_regionkey = k", region=t.region)
+    return t.spark.sql(
+        "SELECT c_custkey, c_acctbal * weight AS weighted FROM {customer} JOIN VALUES ('BUILDING', 1.5D), ('MACHINERY', 2.5D) AS v(k, weight) ON c_mktsegment = k",
+        customer=t.customer,
+    )
 
 
 @query("io_sequence", "SELECT CAST(i AS BIGINT) AS id, o_totalprice FROM (SELECT unnest(generate_series(0, (SELECT max(o_orderkey) FROM orders))) AS i) JOIN orders ON o_orderkey = i")

@@ -190,6 +190,27 @@ def stream_count_window(t):
     return run.append_table(out).withColumn("total", F.round("total", 4))
 
 
+@query(
+    "stream_connected_rules",
+    """SELECT b.event_id, b.user_id, max(s.value) AS bar FROM events b JOIN events s ON s.user_id = b.user_id AND s.event_type = 'signup' AND s.ts < b.ts
+       WHERE b.event_type = 'purchase' GROUP BY b.event_id, b.user_id, b.value HAVING b.value > max(s.value)""",
+)
+def stream_connected_rules(t):
+    """Two connected streams sharing the state of a user: purchases above the highest bar set so far."""
+    rows = run.stream_table(t, "events", "ts", 1 << 30)
+    bars = rows.where("event_type = 'signup'").select("user_id", F.unix_micros("ts").alias("at"), "value")
+    buys = rows.where("event_type = 'purchase'").select("user_id", F.unix_micros("ts").alias("at"), "event_id", "value")
+    joined = keyed.connect(bars, buys, "user_id", "at")
+
+    def bar(state, row):
+        return max(state or 0.0, row["value"])
+
+    def check(state, row):
+        return [(row["event_id"], state)] if state is not None and row["value"] > state else []
+
+    return run.append_table(keyed.co_process(joined, "user_id", bar, check, "event_id bigint, bar double", "double"))
+
+
 @query("trigger_delta_topspeed")
 def trigger_delta_topspeed(t):
     """Fires when a user's value has moved by 100; best record of the last two days."""

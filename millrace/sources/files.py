@@ -77,6 +77,35 @@ def read_sequence_file(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.createDataFrame(spark.sparkContext.sequenceFile(path), schema)
 
 
+def read_hadoop(spark: SparkSession, path: str, input_format: str, key: str, value: str, schema: str, conf: dict | None = None) -> DataFrame:
+    """Any Hadoop input format, by class names, as a key and a value column."""
+    pairs = spark.sparkContext.newAPIHadoopFile(path, input_format, key, value, conf=conf)
+    return spark.createDataFrame(pairs, schema)
+
+
+def read_catalog(spark: SparkSession, table: str, columns: list[str] | None = None, partitions: str | None = None) -> DataFrame:
+    """A catalog (Hive) table with a projection and a partition predicate, both pushed into the scan."""
+    rows = spark.table(table)
+    rows = rows.where(partitions) if partitions else rows
+    return rows.select(*columns) if columns else rows
+
+
+def monitor(
+    spark: SparkSession, path: str, schema: StructType | str, form: str = "text", glob: str | None = None, files_per_trigger: int | None = None, **options
+) -> DataFrame:
+    """Files of a folder as a stream, whose names match ``glob``.
+
+    Start it with ``trigger(availableNow=True)`` to read what is there once, or with a processing-time
+    trigger to go on watching.
+    """
+    reader = spark.readStream.format(form).schema(schema).options(**options)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(path)
+
+
 def read_graph_csv(spark: SparkSession, edges: str, vertices: str | None = None, id_type: str = "bigint", value_type: str = "double", **options):
     """Edges (src, dst, value) and, if given, vertices (id, value); without them, the edges' endpoints."""
     from millrace.graph.frame import Graph

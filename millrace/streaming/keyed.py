@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -119,13 +120,34 @@ def delta_windows(
     )
 
 
-def connect(left: DataFrame, right: DataFrame, key: str, left_tag: str = "l", right_tag: str = "r") -> DataFrame:
-    """Two streams as one tagged stream, so that both share the state of their key."""
-    a = left.select(key, F.lit(left_tag).alias("side"), F.to_json(F.struct("*")).alias("body"))
-    b = right.select(key, F.lit(right_tag).alias("side"), F.to_json(F.struct("*")).alias("body"))
+def connect(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame:
+    """Two streams as one tagged stream (key, at, side, body), so that both share the state of their key."""
+    a = left.select(key, at, F.lit(0).alias("side"), F.to_json(F.struct("*")).alias("body"))
+    b = right.select(key, at, F.lit(1).alias("side"), F.to_json(F.struct("*")).alias("body"))
     return a.unionByName(b)
 
 
+def co_process(connected: DataFrame, key: str, first: Callable, second: Callable, output: str, kind: str) -> DataFrame:
+    """Shared keyed state: ``first(state, row) -> state`` and ``second(state, row) -> [output tuples]``.
+
+    ``connected`` comes from :func:`connect` with the time column ``at``; the state is one value of type
+    ``kind``, None before the first row of the first stream.
+    """
+    key_kind = dict(connected.dtypes)[key]
+    names = [part.split()[0] for part in output.split(",")]
+
+    def step(name, rows, state):
+        held, out = (state[0] if state else None), []
+        for side, body in zip(rows["side"], rows["body"], strict=True):
+            if side == 0:
+                held = first(held, json.loads(body))
+            else:
+                out += [(name[0], *values) for values in second(held, json.loads(body))]
+        return pd.DataFrame(out, columns=[key, *names]), (None if held is None else (held,))
+
+    return keyed(connected, [key], ["at", "side"], step, f"{key} {key_kind}, {output}", f"held {kind}")
+
+
 def latest_version_join(
     probes: DataFrame, versions: DataFrame, key: str, at: str, probe_id: str, value: str
 ) -> DataFrame:

@@ -145,3 +145,47 @@ def test_set_operations(spark, graph):
     assert added.edges.count() == 8
     moved = graph.translate_ids(F.col("id") + 100)
     assert moved.edges.agg(F.min("src")).first()[0] == 100 and moved.invalid_edges().count() == 0
+
+
+def test_metrics(graph):
+    assert tuple(local.edge_metrics(graph).first()) == (2, 6, 1, 3)
+    assert tuple(local.vertex_metrics_directed(graph).first()) == (6, 7, 0, 13, 4, 2, 3, 6)
+
+
+def test_directed_census(spark, graph):
+    got = [r["n"] for r in local.triadic_census_directed(graph).collect()]
+    assert got == [3, 8, 0, 1, 2, 4, 0, 0, 2, 0, 0, 0, 0, 0, 0, 0]
+    assert [r["n"] for r in local.triadic_census_directed(graph.undirected()).collect()] == [3, 0, 8, 0, 0, 0, 0, 0, 0, 0, 7, 0, 0, 0, 0, 2]
+
+
+def test_directed_census_by_enumeration(spark):
+    import itertools
+    import random
+
+    random.seed(9)
+    pairs = {(a, b) for a in range(12) for b in range(12) if a != b and random.random() < 0.35}
+
+    def shape(trio):
+        out = []
+        for a, b, c in itertools.permutations(trio):
+            way = lambda x, y: "m" if (x, y) in pairs and (y, x) in pairs else ">" if (x, y) in pairs else "<" if (y, x) in pairs else "-"
+            out.append(way(a, b) + way(b, c) + way(a, c))
+        return min(out)
+
+    # one example of every class, as the ways of a-b, b-c and a-c
+    examples = {"003": "---", "012": ">--", "102": "m--", "021D": "<>-", "021U": "><-", "021C": ">>-", "111D": "m<-", "111U": "m>-", "030T": "><>",
+                "030C": ">><", "201": "mm-", "120D": "<>m", "120U": "><m", "120C": ">>m", "210": ">mm", "300": "mmm"}
+    turn = {">": "<", "<": ">", "m": "m", "-": "-"}
+
+    def canonical(text):
+        ab, bc, ac = text
+        ways = {(0, 1): ab, (1, 2): bc, (0, 2): ac}
+        ways |= {(y, x): turn[w] for (x, y), w in list(ways.items())}
+        return min(ways[a, b] + ways[b, c] + ways[a, c] for a, b, c in itertools.permutations(range(3)))
+
+    names = {canonical(text): name for name, text in examples.items()}
+    want = dict.fromkeys(examples, 0)
+    for trio in itertools.combinations(range(12), 3):
+        want[names[shape(trio)]] += 1
+    g = Graph.from_edges(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"))
+    assert {r["triad"]: r["n"] for r in local.triadic_census_directed(g).collect()} == want

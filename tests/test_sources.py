@@ -115,3 +115,30 @@ def test_test_sources(spark):
 def test_function_from_properties():
     made = from_properties({"class": "datetime:timedelta", "constructor": [1, 2]})
     assert made.days == 1 and made.seconds == 2
+
+
+def test_monitor_by_name(spark, tmp_path):
+    from millrace.streaming import run
+
+    (tmp_path / "a.log").write_text("x\n")
+    (tmp_path / "b.tmp").write_text("y\n")
+    stream = files.monitor(spark, str(tmp_path), "value string", glob="*.log")
+    assert [r[0] for r in run.append_table(stream).collect()] == ["x"]
+
+
+def test_hadoop_format(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ny\n")
+    rows = files.read_hadoop(
+        spark, str(tmp_path), "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable",
+        "org.apache.hadoop.io.Text", "at bigint, line string")
+    assert sorted(r["line"] for r in rows.collect()) == ["x", "y"]
+
+
+def test_session_statements(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    spark.sql("CREATE OR REPLACE TEMP VIEW doubled AS SELECT id * 2 AS x FROM numbers")
+    assert {"numbers", "doubled"} <= {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    assert [tuple(r)[:2] for r in spark.sql("DESCRIBE doubled").collect()] == [("x", "bigint")]
+    assert "Physical Plan" in spark.sql("EXPLAIN SELECT * FROM doubled").first()[0]
+    spark.sql("DROP VIEW doubled")
+    assert files.read_catalog(spark, "numbers", ["id"], "id > 0").count() == 2
