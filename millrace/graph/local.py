@@ -288,42 +288,60 @@ def similar_sets(members: DataFrame, measure: str, at_least: float) -> DataFrame
 
     An owner offers its items from the rarest on, as long as the items from there on could still reach
     the score. The first common item of a pair that reaches it is offered by both, so nothing is lost,
-    while a hub, being common, is hardly ever offered. Candidates are scored exactly by looking the
-    items of the smaller set up in the other; no set is ever collected.
+    while a hub, being common, is hardly ever offered. Items offered by both are counted as the pairs are
+    found; any other common item comes after the earlier of the two cuts, so looking that owner's few
+    held-back items up in the other set completes the count. No set is ever collected.
     """
     if at_least <= 0:
         raise ValueError("the least score must be positive")
     members = written(members, "members")
     frequency = members.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
     weight = 1.0 / F.ln(F.greatest(F.col("freq"), F.lit(2)).cast("double"))
+    w = weight if measure == "adamic_adar" else F.lit(1.0)
     sizes = members.groupBy("owner").agg(F.count(F.lit(1)).alias("size"))
-    known = members.join(frequency, "item").withColumn("w", weight if measure == "adamic_adar" else F.lit(1.0))
+    known = members.join(frequency, "item").withColumn("w", w).join(sizes, "owner")
     order = ["freq", "item"]
     if measure == "adamic_adar":
         totals = known.groupBy("owner").agg(F.sum("w").alias("all"))
-        sliced = ordered.running(known, ["owner"], order, {"before": ("sum", "w")}, exclusive=True).join(totals, "owner")
+        ranked = ordered.running(known, ["owner"], order, {"before": ("sum", "w")}, exclusive=True).join(totals, "owner")
+        held = F.lit(0)
         offered = F.col("all") - F.coalesce("before", F.lit(0.0)) >= at_least - 1e-9
     else:
-        sliced = ordered.numbered(known, ["owner"], order, "place")
+        ranked = ordered.numbered(known, ["owner"], order, "place")
         needed = F.ceil(F.lit(float(at_least)) * F.col("size") - 1e-9) if measure == "jaccard" else F.lit(int(at_least))
+        held = (needed - 1).cast("bigint")
         offered = F.col("size") - F.col("place") >= needed
-    offers = written(sliced.join(sizes, "owner").where(offered).select("owner", "item", "size"), "offers")
-    left = offers.select(F.col("owner").alias("a"), F.col("size").alias("size_a"), "item")
-    right = offers.select(F.col("owner").alias("b"), F.col("size").alias("size_b"), "item")
+    ranked = ranked.select("owner", "item", "freq", "w", "size", held.alias("held"), offered.alias("offered"))
+    ranked = written(ranked, "ranked")
+    cuts = ranked.where("offered").groupBy("owner").agg(F.max(F.struct("freq", "item")).alias("cut"))
+    offers = written(ranked.where("offered").join(cuts, "owner").select("owner", "item", "w", "size", "held", "cut"), "offers")
+    left = offers.select(F.col("owner").alias("a"), F.struct("size", "held", "cut").alias("of_a"), "item", "w")
+    right = offers.select(F.col("owner").alias("b"), F.struct("size", "held", "cut").alias("of_b"), "item")
     met = left.join(right, "item").where("a < b")
     if measure == "jaccard":
-        met = met.where(F.least("size_a", "size_b") >= F.lit(at_least) * F.greatest("size_a", "size_b") - 1e-9)
-    candidates = met.select("a", "b", "size_a", "size_b").distinct()
-    a_smaller = F.col("size_a") <= F.col("size_b")
+        least, most = F.least("of_a.size", "of_b.size"), F.greatest("of_a.size", "of_b.size")
+        met = met.where(least >= F.lit(at_least) * most - 1e-9)
+    pairs = met.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum"), F.min("of_a").alias("of_a"), F.min("of_b").alias("of_b")
+    )
+    if measure == "jaccard":
+        # shared / (size_a + size_b - shared) >= t, with at most the larger held-back count still to come
+        required = F.lit(at_least / (1 + at_least)) * (F.col("of_a.size") + F.col("of_b.size"))
+        pairs = pairs.where(F.col("n") + F.greatest("of_a.held", "of_b.held") >= required - 1e-9)
+    candidates = written(pairs, "candidates")
+    a_first = F.col("of_a.cut") <= F.col("of_b.cut")
     lookups = candidates.select(
-        "*", F.when(a_smaller, F.col("a")).otherwise(F.col("b")).alias("owner"),
-        F.when(a_smaller, F.col("b")).otherwise(F.col("a")).alias("_other"),
+        "a", "b", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("owner"),
+        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("_other"),
+    )
+    back = ranked.where("NOT offered").select("owner", "item", "w")
+    more = lookups.join(back, "owner").select("a", "b", F.col("_other").alias("owner"), "item", "w").join(members, ["owner", "item"])
+    extra = more.groupBy("a", "b").agg(F.count(F.lit(1)).alias("more"), F.sum("w").alias("more_sum"))
+    scored = candidates.join(extra, ["a", "b"], "left").select(
+        "a", "b", (F.col("of_a.size") + F.col("of_b.size")).alias("sizes"),
+        (F.col("n") + F.coalesce("more", F.lit(0))).alias("shared"), (F.col("sum") + F.coalesce("more_sum", F.lit(0.0))).alias("weight"),
     )
-    items = known.select("owner", "item", "w")
-    common = lookups.join(items, "owner").select("a", "b", "size_a", "size_b", F.col("_other").alias("owner"), "item", "w")
-    hits = common.join(members, ["owner", "item"])
-    scored = hits.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("shared"), F.sum("w").alias("weight"))
-    distinct = F.col("size_a") + F.col("size_b") - F.col("shared")
+    distinct = F.col("sizes") - F.col("shared")
     score = {"jaccard": F.col("shared") / distinct, "shared": F.col("shared").cast("double"), "adamic_adar": F.col("weight")}
     out = scored.select("a", "b", "shared", distinct.alias("distinct"), score[measure].alias("score"))
     return out.where(F.col("score") >= at_least - 1e-9)
