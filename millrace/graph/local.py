@@ -308,7 +308,8 @@ def similar_sets(members: DataFrame, measure: str, at_least: float) -> DataFrame
         offered = F.col("all") - F.coalesce("before", F.lit(0.0)) >= at_least - 1e-9
     else:
         ranked = ordered.numbered(known, ["owner"], order, "place")
-        needed = F.ceil(F.lit(float(at_least)) * F.col("size") - 1e-9) if measure == "jaccard" else F.lit(int(at_least))
+        share = F.greatest(F.ceil(F.lit(float(at_least)) * F.col("size") - 1e-9), F.lit(1))
+        needed = share if measure == "jaccard" else F.lit(max(1, int(at_least)))
         held = (needed - 1).cast("bigint")
         offered = F.col("size") - F.col("place") >= needed
     ranked = ranked.select("owner", "item", "freq", "w", "size", held.alias("held"), offered.alias("offered"))
