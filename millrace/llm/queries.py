@@ -41,3 +41,11 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.seekable import token_files_digest
 
     return token_files_digest(spark, table(spark, folder, "documents"))
+
+
+@query("op2_credential_linking")
+def credential_linking(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    from millrace.llm.secrets import secret_digest
+
+    return secret_digest(table(spark, folder, "documents"))
