@@ -49,3 +49,19 @@ def credential_linking(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.secrets import secret_digest
 
     return secret_digest(table(spark, folder, "documents"))
+
+
+@query("op6_quality_trees")
+def quality_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    from millrace.llm.quality import quality_scores
+
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_string_tiling")
+def string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items, whole or in parts in any order."""
+    from millrace.llm.tiling import contamination
+
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
