@@ -65,3 +65,13 @@ def string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.tiling import contamination
 
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_cross_polytope")
+def cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm.neighbours import neighbours
+
+    return neighbours(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
