@@ -75,3 +75,11 @@ def cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.neighbours import neighbours
 
     return neighbours(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+@query("op4_chosen_path_join")
+def chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near copies among all documents: five-word shingles, a Jaccard index of 0.8 or more."""
+    from millrace.llm.chosen_path import similar_classes
+
+    return similar_classes(table(spark, folder, "documents")).drop("row")
