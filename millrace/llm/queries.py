@@ -83,3 +83,11 @@ def chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.chosen_path import similar_classes
 
     return similar_classes(table(spark, folder, "documents")).drop("row")
+
+
+@query("op8_chain_language")
+def chain_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    from millrace.llm.language import predicted_languages
+
+    return predicted_languages(table(spark, folder, "documents"))
