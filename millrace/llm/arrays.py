@@ -19,13 +19,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     return pc.fill_null(values.cast(pa.string()), "")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about :data:`SLICE_BYTES` of text, one row at least."""
+def sliced(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
-        part = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+        part = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // limit
         cuts = np.flatnonzero(np.diff(part)) + 1
         edges = [0, *cuts.tolist(), batch.num_rows]
         for begin, end in zip(edges, edges[1:]):

@@ -91,3 +91,13 @@ def chain_language(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.language import predicted_languages
 
     return predicted_languages(table(spark, folder, "documents"))
+
+
+@query("op5_ngram_trie")
+def ngram_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document by a model of the documents that are not held out."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm.ngram_model import is_held_out, scores
+
+    return scores(table(spark, folder, "documents"), is_held_out(F.col("doc_id")))
