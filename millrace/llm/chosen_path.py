@@ -441,10 +441,11 @@ def one_of_each(docs: DataFrame, least: float = LEAST, recall: float = RECALL, s
     """
     classes = written(similar_classes(docs, least, recall, shingle), "near-copies")
     # a class is known by the smallest id in it; texts without words are classes of their own
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    alone = classes.where((F.col("n_links") == 0)).select(F.col("row").alias("_row"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    alone = classes.where((F.col("n_links") == 0)).select("row")
     kept = classes.where(F.col("n_links") > 0).groupBy("class_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("least")
     )
-    rows = alone.unionByName(kept.select(F.col("least.row").alias("_row")))
-    return marked.join(rows, "_row", "left_semi").select(docs.columns)
+    rows = alone.unionByName(kept.select(F.col("least.row").alias("row")))
+    return marked.join(rows, "row", "left_semi").select("doc.*")

@@ -157,7 +157,11 @@ def place(
     weights: tuple[float, float, float] = (1.0, 0.02, 0.02),
     measure: str = "norm",
 ) -> DataFrame:
-    """``pieces`` (any columns, with ``length``) with ``sequence_id`` and ``offset``; offsets have no gaps."""
+    """``pieces`` (any columns, with ``length``) with ``sequence_id`` and ``offset``; offsets have no gaps.
+
+    Columns of the input with the names of the new ones (or of the four inner ones) are replaced.
+    """
+    pieces = pieces.drop("sequence_id", "offset", "_part", "_rank", "_before", "_total")
     fields = pieces.schema.simpleString()[len("struct<") : -1]
     limit = capacity.longest()
 

@@ -198,7 +198,8 @@ def masked(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
     Other rows and columns stay as they are. The document's own number joins the spans to it, so that the
     input must be a table on disk (a plain scan), which numbers its rows alike each time.
     """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row"))
     spans = secret_spans(docs, scope).where("kind is not null")
     furthest = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.when(F.col("start") > F.coalesce(F.max("end").over(furthest), F.lit(-1)), 1).otherwise(0)
@@ -206,19 +207,21 @@ def masked(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
         "_run", F.sum("_new").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
     )
     merged = runs.groupBy("row", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    whole = merged.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
-    kept_from = lambda at: F.when(at == 0, F.lit(0)).otherwise(F.element_at("_cuts", at)["end"])
+    whole = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    text = F.col("doc.text")
+    kept_from = lambda at: F.when(at == 0, F.lit(0)).otherwise(F.element_at("cuts", at)["end"])
     part = lambda cut, at: F.concat(
-        F.substring(F.col("text"), kept_from(at) + 1, cut["start"] - kept_from(at)), F.lit(mask)
+        F.substring(text, kept_from(at) + 1, cut["start"] - kept_from(at)), F.lit(mask)
     )
-    last = F.element_at("_cuts", -1)["end"]
-    rebuilt = F.concat(
-        F.array_join(F.transform("_cuts", part), ""), F.substring(F.col("text"), last + 1, F.length("text"))
-    )
-    joined = rows.join(whole, "_row", "left").withColumn("_text", F.coalesce(rebuilt, "text"))
-    changed = {"text": F.col("_text")}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_cuts").isNotNull(), F.length("_text")).otherwise(F.col("n_chars")).cast(
-            docs.schema["n_chars"].dataType
-        )
-    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    last = F.element_at("cuts", -1)["end"]
+    rebuilt = F.concat(F.array_join(F.transform("cuts", part), ""), F.substring(text, last + 1, F.length(text)))
+    joined = rows.join(whole, "row", "left").withColumn("new", F.coalesce(rebuilt, text))
+    shown = []
+    for c, kind in docs.dtypes:
+        if c == "text":
+            shown.append(F.col("new").alias(c))
+        elif c == "n_chars":
+            shown.append(F.when(F.col("cuts").isNotNull(), F.length("new").cast(kind)).otherwise(F.col("doc.n_chars")).alias(c))
+        else:
+            shown.append(F.col(f"doc.`{c}`").alias(c))
+    return joined.select(*shown)
