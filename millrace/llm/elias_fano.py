@@ -67,21 +67,20 @@ class Monotone:
         place = word * 64 + _in_word(self.high[word], at - self.ones[word])
         return ((place - at).astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(at)
 
-    def _zero(self, rank: np.ndarray) -> np.ndarray:
-        """Place of zero number ``rank``, or the end."""
-        beyond = rank >= self.zeros[-1]
-        safe = np.where(beyond, 0, rank)
-        word = np.searchsorted(self.zeros, safe, side="right") - 1
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have high bits below each of ``high``: the ones before zero number ``high - 1``."""
+        rank = high - 1
+        inside = (rank >= 0) & (rank < self.zeros[-1])
+        safe = np.where(inside, rank, 0)
+        word = np.minimum(np.searchsorted(self.zeros, safe, side="right") - 1, len(self.high) - 1)
         place = word * 64 + _in_word(self.high[word] ^ ALL, safe - self.zeros[word])
-        return np.where(beyond, len(self.high) * 64, place)
+        return np.where(inside, np.minimum(place - safe, self.count), np.where(rank < 0, 0, self.count))
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """First place with a value not below each of ``values`` (``count`` if there is none)."""
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        begin = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1 - high, 0)
-        end = np.minimum(np.maximum(self._zero(high) - high, 0), self.count)
-        begin = np.minimum(begin, self.count)
+        begin, end = self._below(high), self._below(high + 1)
         wanted = values & ((ONE << np.uint64(self.low_bits)) - ONE)
         while True:
             open_ = np.flatnonzero(begin < end)
@@ -172,15 +171,14 @@ def _padded(codes: np.ndarray) -> np.ndarray:
 
 
 def quantised(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(one byte for each value, codebook): bins of equal numbers of values, each shown by its mean."""
+    """(one byte for each value, codebook): bins of equal width, each shown by the mean of its values.
+
+    No value is shown by one further away than a 256th of the range.
+    """
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(levels)
-    distinct, back, many = np.unique(values, return_inverse=True, return_counts=True)
-    if len(distinct) <= levels:
-        book = np.concatenate([distinct, np.full(levels - len(distinct), distinct[-1])])
-        return back.astype(np.uint8), book
-    middle = np.cumsum(many) - many / 2
-    of = np.minimum((middle * levels / len(values)).astype(np.int64), levels - 1)
-    total = np.bincount(of, distinct * many, levels)
-    count = np.bincount(of, many, levels)
-    return of[back].astype(np.uint8), total / np.maximum(count, 1)
+    low, width = float(values.min()), float(values.max() - values.min())
+    codes = np.minimum(((values - low) * (levels / width)).astype(np.int64), levels - 1) if width else np.zeros(len(values), np.int64)
+    count = np.bincount(codes, minlength=levels)
+    # differences are added up, so that a bin of one value shows exactly that value
+    return codes.astype(np.uint8), low + np.bincount(codes, values - low, levels) / np.maximum(count, 1)

@@ -106,6 +106,8 @@ class Chain:
     def marginals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(probability of each language for each word with a letter, offsets per text)."""
         codes, words, offsets = letters_of(texts)
+        if not self.languages:
+            return np.zeros((len(codes), 0)), offsets
         used, at = np.unique(codes, return_inverse=True)
         e = self.scores(words.take(pa.array(used)))[at] if len(codes) else np.zeros((0, len(self.languages)))
         alpha, beta = forward_backward(e, self.transitions, offsets)

@@ -214,7 +214,7 @@ def pairs_sent(rows: DataFrame, numbers: DataFrame, known: Counts) -> DataFrame:
         base = np.add.reduceat(unigram, first)
         seen = np.add.reduceat((word >= 0).astype(np.int64), first)
         alone = before < 0  # after an unknown word only the unigram is known
-        own = np.bincount(doc[alone], unigram[alone], len(sizes))
+        own = np.bincount(doc[alone], unigram[alone], len(sizes)).astype(np.float64)
         chunk = int(key[0])
         out = [(-1 - chunk, chunk, packed(listed.view(np.uint64), null, held, sizes, seen, base, own))]
         before, word, doc = before[~alone], word[~alone], doc[~alone]
@@ -319,7 +319,7 @@ def shards_scored(sent: DataFrame, known: Counts, folder: str) -> DataFrame:
         out = []
         for k in range(len(listed)):
             mine = chunk == k
-            sums = np.bincount(doc[mine], of_row[mine])
+            sums = np.bincount(doc[mine], of_row[mine]).astype(np.float64)
             held_by = np.flatnonzero(np.bincount(doc[mine]))
             out.append((listed[k], 1, packed(held_by, sums[held_by])))
         return pd.DataFrame(out, columns=["chunk", "kind", "data"])
