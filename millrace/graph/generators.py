@@ -81,16 +81,13 @@ def grid(spark: SparkSession, dimensions: list[tuple[int, bool]]) -> tuple[DataF
 
 
 def echo(spark: SparkSession, n: int, degree: int) -> tuple[DataFrame, DataFrame]:
-    """A regular graph of even degree less than ``n``, neighbours as far apart as possible."""
-    if degree % 2 and n % 2:
-        raise ValueError("vertex count times degree must be even")
+    """A regular graph, neighbours as far apart as possible; either ``n`` or ``degree`` is even, not both."""
+    if (degree % 2 == 0) == (n % 2 == 0) or not 0 < degree < n:
+        raise ValueError("the vertex count or the degree is even, but not both, and the degree is the smaller")
     half = n // 2
-    if n % 2 == 0 and degree % 2:
+    if degree % 2:
         first = half - (degree - 1) // 2
         return circulant(spark, n, first, half - first + 1)
-    if n % 2 == 0:
-        first = half - degree // 2
-        return circulant(spark, n, first, degree // 2)
     return circulant(spark, n, half - degree // 2 + 1, degree // 2)
 
 

@@ -125,11 +125,14 @@ def triadic_census(graph: Graph) -> DataFrame:
     closed = triangle_counts(graph).agg((F.coalesce(F.sum("triangles"), F.lit(0)) / 3).cast("bigint").alias("t"))
     counts = vertex_metrics(graph).select("vertices", "edges", "triplets").withColumn("t3", closed.scalar())
     n, m = F.col("vertices").cast("decimal(38,0)"), F.col("edges").cast("decimal(38,0)")
-    t3 = F.col("t3")
-    t2 = F.col("triplets") - 3 * t3
-    t1 = (m * (n - 2)).cast("bigint") - 2 * t2 - 3 * t3
-    every = F.call_function("div", n * (n - 1) * (n - 2), F.lit(6).cast("decimal(38,0)")).cast("bigint")
-    return counts.select((every - t1 - t2 - t3).alias("t0"), t1.alias("t1"), t2.alias("t2"), t3.alias("t3"))
+    wide = "decimal(38,0)"
+    t3 = F.col("t3").cast(wide)
+    t2 = F.col("triplets").cast(wide) - 3 * t3
+    t1 = m * (n - 2) - 2 * t2 - 3 * t3
+    # one of two neighbours is even and one of three is divisible by three, so each division is exact
+    pairs = F.floor((n * (n - 1)).cast("decimal(30,0)") / F.lit(2).cast("decimal(1,0)")).cast(wide)
+    every = F.floor((pairs * (n - 2)).cast("decimal(37,0)") / F.lit(3).cast("decimal(1,0)")).cast(wide)
+    return counts.select(*[c.cast(wide).alias(f"t{i}") for i, c in enumerate((every - t1 - t2 - t3, t1, t2, t3))])
 
 
 def edge_metrics(graph: Graph) -> DataFrame:

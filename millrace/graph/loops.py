@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from millrace.scratch import written, written_and_measured
 UNREACHED = 1.7976931348623157e308
 
 
-def pregel(graph: Graph, message: Column, combine: Column, apply: Column, active: Column, max_rounds: int) -> DataFrame:
+def pregel(graph: Graph, message: Column, combine: Column, apply: Column, active: Column, max_rounds: int | None = None) -> DataFrame:
     """Vertex-centric iteration.
 
     ``message`` is computed per edge from ``src_value``, ``src``, ``dst`` and ``edge_value``; ``combine``
@@ -50,7 +51,7 @@ def scatter_gather(graph: Graph, message: Column, combine: Column, update: Colum
     return bulk_iterate(graph.vertices, step, max_rounds)[0]
 
 
-def shortest_paths(graph: Graph, source: Column, max_rounds: int = 1000) -> DataFrame:
+def shortest_paths(graph: Graph, source: Column, max_rounds: int | None = None) -> DataFrame:
     """Single-source shortest paths over double edge values; unreached vertices get the greatest double."""
     start = F.when(F.col("id") == source, F.lit(0.0)).otherwise(F.lit(UNREACHED))
     begun = Graph(graph.vertices.select("id", start.alias("value")), graph.edges)
@@ -64,14 +65,14 @@ def shortest_paths(graph: Graph, source: Column, max_rounds: int = 1000) -> Data
     )
 
 
-def propagate_minimum(graph: Graph, max_rounds: int = 1000) -> DataFrame:
+def propagate_minimum(graph: Graph, max_rounds: int | None = None) -> DataFrame:
     """Smallest value reachable against the edges, by changed-only rounds; rounds grow with the diameter."""
     return pregel(
         graph, F.col("src_value"), F.min("message"), F.col("message"), F.col("message") < F.col("value"), max_rounds
     )
 
 
-def connected_components(graph: Graph, max_rounds: int = 100) -> DataFrame:
+def connected_components(graph: Graph, max_rounds: int | None = None) -> DataFrame:
     """(id, component): the smallest id of each component.
 
     Alternating large-star and small-star steps: every vertex links its neighbours to its smallest
@@ -190,15 +191,19 @@ def hits(graph: Graph, max_rounds: int = 10) -> DataFrame:
     return bulk_iterate(start, step, max_rounds)[0]
 
 
-def transitive_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """All (src, dst) with a path. New paths only are extended, so each is joined once."""
+def transitive_closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """All (src, dst) with a path. New paths only are extended, so each is joined once.
+
+    Raises if there are still new paths after ``max_rounds``.
+    """
     base = written(edges.select("src", "dst").distinct(), "closure")
     hop = base.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     known, fresh = base, base
-    for _ in range(max_rounds):
+    for turn in itertools.count(1):
         longer = fresh.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
         fresh, seen = written_and_measured(longer.join(known, ["src", "dst"], "left_anti"), "paths")
         if seen["rows"] == 0:
             return known
+        if max_rounds is not None and turn >= max_rounds:
+            raise RuntimeError(f"there are still new paths after {max_rounds} rounds")
         known = known.unionByName(fresh)
-    return known

@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Occurrences of one element of a multiset that one task writes out at a time.
+REPEATS = 1 << 16
+
+
 def avg_keep_type(column: str, kind: str) -> Column:
-    """AVG that keeps a whole-number type: the quotient is truncated."""
+    """AVG that keeps a whole-number type: the quotient is truncated. Sums of bigints do not overflow."""
     if kind in ("tinyint", "smallint", "int", "bigint"):
-        sums, n = F.sum(F.col(column).cast("bigint")), F.count(column)
-        return F.when(n > 0, F.call_function("div", sums, n)).cast(kind)
+        wide = "decimal(38,0)" if kind == "bigint" else "bigint"
+        sums, n = F.sum(F.col(column).cast(wide)), F.count(column)
+        return F.when(n > 0, F.call_function("div", sums, n.cast(wide))).cast(kind)
     return F.avg(column)
 
 
@@ -45,14 +50,19 @@ def unnest_multiset(df: DataFrame, column: str, name: str) -> DataFrame:
     """One row per element occurrence of a multiset; null or empty gives no rows."""
     rest = [c for c in df.columns if c != column]
     entries = df.select(*rest, F.explode(column).alias(name, "_n"))
-    return entries.select(*rest, name, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).drop("_i")
+    # a large count is cut into stretches that are dealt out before they are repeated
+    stretch = F.explode(F.sequence(F.lit(0), F.call_function("div", F.col("_n") - 1, F.lit(REPEATS))))
+    cut = entries.select(*rest, name, "_n", stretch.alias("_k")).repartition(*rest, name, "_k")
+    many = F.least(F.col("_n") - F.col("_k") * REPEATS, F.lit(REPEATS)).cast("int")
+    return cut.select(*rest, name, F.explode(F.array_repeat(F.lit(1), many)).alias("_i")).drop("_i")
 
 
 def checksum(df: DataFrame) -> DataFrame:
     """Order-free checksum and row count: the sum of a 32-bit digest of every row's text."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
     digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("n"), sum0(digest).cast("bigint").alias("checksum"))
+    total = sum0(digest.cast("decimal(38,0)"))
+    return df.agg(F.count(F.lit(1)).alias("n"), total.cast("decimal(38,0)").alias("checksum"))
 
 
 def summarize(df: DataFrame) -> DataFrame:

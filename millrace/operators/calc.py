@@ -130,5 +130,5 @@ def split_exactly(df: DataFrame, fractions: list[float], identity: list[str], se
 
 
 def custom_partition(df: DataFrame, number: Column, partitions: int) -> DataFrame:
-    """Send rows to the partition group named by ``number`` (any whole number)."""
-    return df.repartition(partitions, F.pmod(number, F.lit(partitions)))
+    """Put each row into the very partition named by ``number`` (any whole number, modulo ``partitions``)."""
+    return df.repartitionById(partitions, F.pmod(number, F.lit(partitions)).cast("int"))

@@ -134,7 +134,7 @@ def temporal_join(
         F.col(key).alias("_key"),
         F.col(version_time).alias("_at"),
         F.lit(0).alias("_side"),
-        F.col(version_tie).cast("string").alias("_tie"),
+        F.col(version_tie).alias("_tie"),
         payload.alias("_version"),
         F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"),
     )
@@ -142,7 +142,7 @@ def temporal_join(
         F.col(key).alias("_key"),
         F.col(left_time).alias("_at"),
         F.lit(1).alias("_side"),
-        F.lit(None).cast("string").alias("_tie"),
+        F.lit(None).cast(versions.select(version_tie).schema[0].dataType).alias("_tie"),
         F.lit(None).cast(versions.select(payload).schema[0].dataType).alias("_version"),
         F.struct("*").alias("_row"),
     )

@@ -109,19 +109,28 @@ def find(
     ``columns`` are kept for the first and last row of each stage. An optional stage that is skipped is
     null.
     """
+    if pattern.pending and pattern.pending[0] == "between":
+        raise ValueError("not_followed_by needs a stage after it")
+    if pattern.window is not None and time is None:
+        raise ValueError("within needs the time column")
     stages = pattern.stages
+    late = [s.name for s in stages[1:] if s.times in (PLUS, STAR) and s.greedy]
+    if pattern.window is not None and (late or (stages[0].times == STAR and stages[0].greedy)):
+        raise ValueError(f"with a time limit a greedy repeated stage opens the pattern, once or more: {late}")
     anywhere = [i for i, s in enumerate(stages) if s.link == "followed_by_any"]
     if anywhere:
         return _find_any(df, keys, order, pattern, columns, time, anywhere[-1])
     needed = sorted({*columns, *( [time] if time else [])})
     flags = [s.condition.alias(f"_c{i}") for i, s in enumerate(stages)]
     flags += [s.absent[1].alias(f"_n{i}") for i, s in enumerate(stages) if s.absent]
+    if pattern.pending:
+        flags.append(pattern.pending[1].alias("_n_end"))
     rows = df.select(*keys, *[c for c in dict.fromkeys([*order, *needed]) if c not in keys], *flags)
     sliced = ordered.slice_rows(rows, keys, order)
     state = written(ordered.numbered(sliced, keys, order, "_idx", sliced=True), "numbered")
     tail = None
     for i in reversed(range(len(stages))):
-        state = written(_back(state, keys, order, stages, i, needed, tail), "stage")
+        state = written(_back(state, keys, order, pattern, i, needed, tail, time), "stage")
         tail = f"_t{i}"
     found = state.where(F.col("_t0").isNotNull())
     return _finish(found, keys, pattern, "_t0", time)
@@ -148,13 +157,18 @@ def _joined(value: Column, stages, i: int, tail: Column | None) -> Column:
     return F.struct(value.alias(stages[i].name), *rest)
 
 
-def _back(state: DataFrame, keys, order, stages, i: int, columns, tail: str | None) -> DataFrame:
+def _back(state: DataFrame, keys, order, pattern: Pattern, i: int, columns, tail: str | None, time: str | None) -> DataFrame:
     """Add ``_t{i}``: the match of stages i.. that starts at the row itself."""
+    stages = pattern.stages
     stage, rows = stages[i], state
     spot, fits = _spot(columns), F.col(f"_c{i}")
     if tail is None:
         after = F.lit(True)
         rest = None
+        if pattern.pending:  # the row after the last stage must not fit
+            rows = ordered.following(rows, keys, order, {"_no": "_n_end"}, sliced=True)
+            rows = rows.withColumn("_after", ~F.coalesce("_no", F.lit(False))).drop("_no")
+            after = F.col("_after")
     else:
         rows = _link(rows, keys, order, stages, i + 1, tail)
         after, rest = F.col("_after").isNotNull(), F.col("_after")
@@ -172,7 +186,25 @@ def _back(state: DataFrame, keys, order, stages, i: int, columns, tail: str | No
     good = marked.where(fits & after).select(
         *keys, "_run", F.col("_idx").alias("_close"), F.struct(spot.alias("last"), (rest if rest is not None else F.lit(None).cast("boolean")).alias("rest")).alias("_end")
     )
-    if stage.greedy:
+    if stage.greedy and pattern.window is not None:
+        # the last row of the run whose match ends in time: later rows of a run end later
+        def micros(c):
+            return F.unix_micros(c.cast("timestamp"))
+
+        last = [F.col(f"_end.rest.{s.name}.last.{time}") for s in reversed(stages[1:])] if rest is not None else []
+        ends = good.withColumn("_at", micros(F.coalesce(*last, F.col(f"_end.last.{time}"))))
+        limit = int(pattern.window * 1_000_000)
+        shape = F.struct(F.col("_close").alias("close"), F.col("_end").alias("end"))
+        history = ends.select(*keys, "_run", "_at", F.lit(0).alias("_side"), F.col("_close").alias("_tie"), shape.alias("_pick"))
+        probes = marked.withColumn("_at", micros(F.col(time)) + limit).withColumn("_side", F.lit(-1)).withColumn("_tie", F.col("_idx"))
+        probes = probes.withColumnRenamed(ordered.SLICE, "_own_slice")
+        both = ordered.latest_seen(
+            probes.unionByName(history, allowMissingColumns=True), [*keys, "_run"], ["_at", "_side", "_tie"], "_pick", "_last"
+        ).where("_side = -1").drop("_pick", "_at", "_side", "_tie").withColumnRenamed("_own_slice", ordered.SLICE)
+        both = both.withColumn("_close", F.col("_last.close")).withColumn("_end", F.col("_last.end")).drop("_last")
+        usable = fits & F.col("_close").isNotNull() & (F.col("_idx") <= F.col("_close"))
+        both = written(both, "bounded")
+    elif stage.greedy:
         ends = good.groupBy(*keys, "_run").agg(F.max("_close").alias("_close"), F.max_by("_end", "_close").alias("_end"))
         both = marked.join(ends, [*keys, "_run"], "left")
         usable = fits & F.col("_close").isNotNull() & (F.col("_idx") <= F.col("_close"))
@@ -220,7 +252,7 @@ def _find_any(df, keys, order, pattern: Pattern, columns, time, split: int) -> D
     """Matches of the stages before the link, joined to those after it inside the time window."""
     if pattern.window is None or time is None:
         raise ValueError("followed_by_any needs within and the time column")
-    head = replace(pattern, stages=pattern.stages[:split])
+    head = replace(pattern, stages=pattern.stages[:split], pending=None)
     first, *rest = pattern.stages[split:]
     body = replace(pattern, stages=(replace(first, link="next", absent=None), *rest))
     a = find(df, keys, order, head, columns, time)

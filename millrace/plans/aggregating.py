@@ -320,7 +320,8 @@ def summarize_columns(t):
 )
 def checksum(t):
     joined = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"))
-    return aggregates.checksum(joined.select("n_nationkey", "n_name", "n_regionkey", "c_custkey"))
+    found = aggregates.checksum(joined.select("n_nationkey", "n_name", "n_regionkey", "c_custkey"))
+    return found.withColumn("checksum", F.col("checksum").cast("bigint"))
 
 
 @query(

@@ -189,7 +189,7 @@ def graph_vertex_metrics(t):
         SELECT CAST(n * (n - 1) * (n - 2) // 6 - t1 - t2 - t3 AS BIGINT) AS t0, CAST(t1 AS BIGINT) AS t1, CAST(t2 AS BIGINT) AS t2, CAST(t3 AS BIGINT) AS t3 FROM q""",
 )
 def graph_triadic_census(t):
-    return local.triadic_census(_graph(t))
+    return local.triadic_census(_graph(t)).select(*[F.col(f"t{i}").cast("bigint").alias(f"t{i}") for i in range(4)])
 
 
 @query(

@@ -227,8 +227,7 @@ def temporal_join_asof(t):
         "event_id", F.col("user_id").alias("k"), F.timestamp_micros(base + micros * 80).cast("timestamp_ntz").alias("at")
     )
     history = t.orders.select(F.col("o_custkey").alias("k"), "o_orderdate", "o_orderkey", "o_totalprice")
-    tie = history.withColumn("tie", F.lpad(F.col("o_orderkey").cast("string"), 20, "0"))
-    joined = joins.temporal_join(probe, tie, "k", "at", "o_orderdate", "tie", ["o_orderkey", "o_totalprice"])
+    joined = joins.temporal_join(probe, history, "k", "at", "o_orderdate", "o_orderkey", ["o_orderkey", "o_totalprice"])
     return joined.select("event_id", "k", "o_orderkey", "o_totalprice")
 
 

@@ -271,12 +271,13 @@ def sample_poisson(t):
 
 @query(
     "custom_partition",
-    "SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+    """SELECT CAST((o_custkey * 31) % 16 AS INTEGER) AS partition, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total
+       FROM orders GROUP BY 1""",
 )
 def custom_partition(t):
-    """Rows placed by a computed partition number, then aggregated."""
-    placed = calc.custom_partition(t.orders, F.col("o_custkey") * 31, 16)
-    return placed.groupBy("o_orderstatus").agg(
+    """Rows placed by a computed partition number: what each partition holds."""
+    placed = calc.custom_partition(t.orders, F.col("o_custkey") * 31, 16).withColumn("partition", F.spark_partition_id())
+    return placed.groupBy("partition").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")
     )
 

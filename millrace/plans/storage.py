@@ -170,9 +170,9 @@ def declared_environment(t):
     tables = {name: {"path": t.path(name)} for name in ("events", "orders")}
     views = {
         "dear_events": "SELECT event_id, user_id AS k, TIMESTAMP_NTZ '2001-01-01' + (ts - TIMESTAMP_NTZ '2024-01-01') AS at FROM events WHERE value > 50",
-        "order_history": "SELECT o_custkey AS k, o_orderdate, o_orderkey, lpad(CAST(o_orderkey AS STRING), 20, '0') AS tie FROM orders",
+        "order_history": "SELECT o_custkey AS k, o_orderdate, o_orderkey FROM orders",
     }
-    temporal = {"versions": {"history": "order_history", "key": "k", "time": "o_orderdate", "tie": "tie"}}
+    temporal = {"versions": {"history": "order_history", "key": "k", "time": "o_orderdate", "tie": "o_orderkey"}}
     made = describe.register_all(t.spark, {"tables": tables, "views": views, "temporal": temporal})
     return made["versions"].join(t.spark.table("dear_events"), "at", ["o_orderkey"]).select("event_id", "o_orderkey")
 

@@ -1,22 +1,27 @@
 """Written intermediate tables in the folder the cluster shares.
 
 Loops and multi-pass operators cut their lineage here: the rows are written as Parquet to the
-folder named by ``spark.checkpoint.dir`` and read back, so a lost executor never loses them.
+folder named by ``spark.checkpoint.dir`` and read back, so a lost executor never loses them. Loops
+remove a round's table once the next one is written; what is left of a session's tables goes when
+its JVM ends.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_folders: dict[str, str] = {}
+_own_folders: set[str] = set()
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one only on a local master with none set."""
+    """The shared folder of this session; a folder of its own only inside one process (``local[n]``) with none set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -24,7 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     already = context.getCheckpointDir()
     if already:
         return already
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = context.applicationId
     if app not in _local_folders:
@@ -33,16 +38,38 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path as it names it)."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()), named
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in a part of it that is removed when this session's JVM ends."""
+    own = f"{shared_folder(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if own not in _own_folders:
+        files, named = _file_system(spark, own)
+        files.mkdirs(named)
+        files.deleteOnExit(named)
+        _own_folders.add(own)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the table behind a frame that :func:`written` returned; other frames are left alone."""
+    path = _paths.pop(df, None)
+    if path:
+        files, named = _file_system(df.sparkSession, path)
+        files.delete(named, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a frame that reads the written rows."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
 
 
 def written_and_measured(df: DataFrame, label: str, **measures) -> tuple[DataFrame, dict]:

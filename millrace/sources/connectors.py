@@ -14,7 +14,8 @@ def kafka_source(
 ) -> dict[str, str]:
     """Reader options. ``topics`` is a list or a pattern; start is earliest, latest, group, timestamp or specific.
 
-    A stream that has a checkpoint goes on from there, whatever the start mode.
+    ``group`` goes on from what a consumer group has committed; Spark does not read these offsets, so the
+    caller gives them in ``offsets``. A stream that has a checkpoint goes on from there, whatever the start mode.
     """
     import json
 
@@ -26,7 +27,9 @@ def kafka_source(
     if start in ("earliest", "latest"):
         options["startingOffsets"] = start
     elif start == "group":
-        options["startingOffsets"] = "latest"
+        if not offsets:
+            raise ValueError("start at a group's position needs its committed offsets {topic: {partition: offset}}")
+        options["startingOffsets"] = json.dumps(offsets)
     elif start == "timestamp":
         if timestamp_ms is None:
             raise ValueError("start at a timestamp needs timestamp_ms")
@@ -166,43 +169,31 @@ def batch_sink(form: str, options: dict[str, str], mode: str = "append") -> Call
     return write
 
 
-def rate(spark: SparkSession, per_second: int, ramp_up: str | None = None, partitions: int | None = None) -> DataFrame:
-    """A constant or ramped test stream (timestamp, value)."""
-    reader = spark.readStream.format("rate").option("rowsPerSecond", per_second)
-    if ramp_up:
-        reader = reader.option("rampUpTime", ramp_up)
-    if partitions:
-        reader = reader.option("numPartitions", partitions)
-    return reader.load()
-
-
-def bursts(spark: SparkSession, per_batch: int, start_ms: int, advance_ms: int) -> DataFrame:
-    """A test stream that delivers a fixed number of rows with every micro-batch."""
-    options = {"rowsPerBatch": per_batch, "startTimestamp": start_ms, "advanceMillisPerBatch": advance_ms}
-    return spark.readStream.format("rate-micro-batch").options(**options).load()
-
-
-def socket(spark: SparkSession, host: str, port: int) -> DataFrame:
-    """Lines from a socket, for trials only: it cannot be replayed after a failure."""
-    return spark.readStream.format("socket").options(host=host, port=port).load()
-
-
-# The line format of the edit feed; groups are title, flags, diff url, user, byte change and summary.
-EDIT_LINE = r"\[\[(.*)\]\]\s(.*)\s(.*)\s\*\s(.*)\s\*\s\(\+?(.\d*)\)\s(.*)"
+# The parts of a line of the edit feed: [[title]] flags url * user * (signed bytes) summary
+EDIT_PARTS = {
+    "title": r"\[\[(?<title>.+?)\]\]",
+    "flags": r"(?<flags>[A-Z!]*)",
+    "url": r"(?<url>https?://\S+)",
+    "user": r"\* (?<user>.+?) \*",
+    "bytes": r"\((?<bytes>[+-]?[0-9]+)\)",
+    "summary": r"(?<summary>.*)",
+}
+EDIT_LINE = "^" + " ".join(EDIT_PARTS.values()) + "$"
 
 
 def edit_events(lines: DataFrame, column: str = "value") -> DataFrame:
     """Edit events out of text lines; lines of another shape are dropped."""
-    def part(i):
-        return F.regexp_extract(column, EDIT_LINE, i)
 
-    flags = part(2)
+    def part(name):
+        return F.regexp_extract(column, EDIT_LINE, list(EDIT_PARTS).index(name) + 1)
+
+    flags = part("flags")
     return lines.where(F.col(column).rlike(EDIT_LINE)).select(
-        part(1).alias("title"),
-        part(3).alias("diff_url"),
-        part(4).alias("user"),
-        part(5).cast("int").alias("byte_diff"),
-        part(6).alias("summary"),
+        part("title").alias("title"),
+        part("url").alias("diff_url"),
+        part("user").alias("user"),
+        part("bytes").cast("int").alias("byte_diff"),
+        part("summary").alias("summary"),
         flags.contains("N").alias("is_new"),
         flags.contains("M").alias("is_minor"),
         flags.contains("B").alias("is_bot"),

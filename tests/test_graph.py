@@ -115,7 +115,7 @@ def test_hits_is_normalised(graph):
         (lambda s: generators.grid(s, [(2, False), (3, False), (4, False)]), 24, 92),
         (lambda s: generators.grid(s, [(5, True), (4, True)]), 20, 80),
         (lambda s: generators.circulant(s, 10, 4, 2), 10, 30),
-        (lambda s: generators.echo(s, 10, 4), 10, 40),
+        (lambda s: generators.echo(s, 10, 3), 10, 30),
         (lambda s: generators.empty(s, 3), 3, 0),
     ],
 )

@@ -76,7 +76,7 @@ def test_kafka_options():
     made = connectors.kafka_source("h:1", ["a", "b"], "specific", {"a": {"0": 5}}, group="g")
     assert made["subscribe"] == "a,b" and made["startingOffsets"] == '{"a": {"0": 5}}' and made["kafka.group.id"] == "g"
     assert connectors.kafka_source("h:1", "a.*", "timestamp", timestamp_ms=7)["startingTimestamp"] == "7"
-    for bad in ({"start": "never"}, {"start": "specific"}, {"start": "timestamp"}):
+    for bad in ({"start": "never"}, {"start": "group"}, {"start": "specific"}, {"start": "timestamp"}):
         with pytest.raises(ValueError):
             connectors.kafka_source("h:1", ["a"], **bad)
 
@@ -108,10 +108,6 @@ def test_edit_lines(spark):
     assert len(got) == 1 and (got[0]["title"], got[0]["user"], got[0]["byte_diff"], got[0]["is_new"], got[0]["is_bot"]) == ("Some title", "Some User", -12, True, False)
 
 
-def test_test_sources(spark):
-    assert connectors.rate(spark, 10).isStreaming and connectors.bursts(spark, 5, 0, 1000).isStreaming
-
-
 def test_function_from_properties():
     made = from_properties({"class": "datetime:timedelta", "constructor": [1, 2]})
     assert made.days == 1 and made.seconds == 2
