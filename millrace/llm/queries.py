@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.sql import NEAR_COPIES, SECRETS
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -43,7 +45,7 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files_digest(spark, table(spark, folder, "documents"))
 
 
-@query("op2_credential_linking")
+@query("op2_credential_linking", SECRETS)
 def credential_linking(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets of every document."""
     from millrace.llm.secrets import secret_digest
@@ -77,7 +79,22 @@ def cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
-@query("op4_chosen_path_join")
+@query(
+    "op3_merkle_audit",
+    "SELECT page_id, 'changed' AS status, CAST(count(*) AS BIGINT) AS records FROM pages WHERE page_id % 97 = 13 GROUP BY page_id",
+)
+def merkle_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as WARC files, a replica with a turned bit in some records, and the audit that finds them."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm.warc import audit, replicate, write_warc
+
+    index = write_warc(table(spark, folder, "pages"))
+    copies = replicate(index, damage=F.col("page_id") % 97 == 13)
+    return audit(index, copies).groupBy("page_id", "status").agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("op4_chosen_path_join", NEAR_COPIES)
 def chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near copies among all documents: five-word shingles, a Jaccard index of 0.8 or more."""
     from millrace.llm.chosen_path import similar_classes
