@@ -176,36 +176,56 @@ def latest_version_join(
     )
 
 
-def changelog(stream: DataFrame, key: str, value: str) -> DataFrame:
+def changelog(stream: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
     """Grouped count and sum as a changelog: ``-`` with the old row, then ``+`` with the new one.
 
-    Rows are added up in every task before the shuffle, so a hot key sends one row per task.
-    ``sign`` is an input column of +1 (add) or -1 (retract); a group that falls to zero is deleted, and
-    a retraction for an unknown key is dropped.
+    ``sign`` is an input column of +1 (add) or -1 (retract); a group that falls to zero is deleted, and a
+    retraction for an unknown key is dropped. Nothing is emitted for a group that ends a micro-batch as it was.
+
+    Rows are folded in every task before the shuffle, so a hot key sends one row per task and Arrow batch. A fold of rows in their
+    order keeps the net change, how far the count falls on the way, and the sum behind its lowest point:
+    a group that gets down to nothing there begins anew, whatever it held. ``order`` names a column that
+    orders the rows of a micro-batch; folds follow each other by their first row.
     """
     kind = dict(stream.dtypes)[key]
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                signed = pd.DataFrame({key: batch[key], "n": batch["sign"], "total": batch[value] * batch["sign"]})
-                yield signed.groupby(key, as_index=False, dropna=False).sum()
-
-    partial = stream.mapInPandas(combine, f"{key} {kind}, n bigint, total double")
+            if not len(batch):
+                continue
+            rows = batch.sort_values(order, kind="stable") if order else batch
+            group = rows.groupby(key, sort=False, dropna=False)
+            rows = rows.assign(_v=rows[value] * rows["sign"], _n=group["sign"].cumsum(), _place=range(len(rows)))
+            group = rows.groupby(key, sort=False, dropna=False)
+            rows = rows.assign(_s=group["_v"].cumsum(), _low=group["_n"].transform("min").clip(upper=0))
+            group = rows.groupby(key, sort=False, dropna=False)
+            out = group.agg(n=("sign", "sum"), total=("_v", "sum"), low=("_low", "first"), place=("_place", "min")).reset_index()
+            lowest = rows[rows["_n"] == rows["_low"]].groupby(key, sort=False, dropna=False)["_s"].last().rename("_at").reset_index()
+            out = out.merge(lowest, on=key, how="left")
+            out["tail"] = out["total"] - out["_at"].fillna(0.0)
+            out["first"] = rows.iloc[out["place"]][order].astype("int64").to_numpy() if order else out["place"]
+            yield out[[key, "first", "n", "total", "low", "tail"]]
+
+    signed = stream if order is None else stream.withColumn(order, F.col(order).cast("bigint"))
+    partial = signed.mapInPandas(combine, f"{key} {kind}, first bigint, n bigint, total double, low bigint, tail double")
 
     def step(name, rows, state):
-        if state is None and rows["n"].sum() <= 0:
-            return rows.iloc[0:0], None
         n, total = state or (0, 0.0)
-        new = (n + int(rows["n"].sum()), total + float(rows["total"].sum()))
+        for net, added, low, tail in zip(rows["n"], rows["total"], rows["low"], rows["tail"], strict=True):
+            if n + low <= 0:
+                n, total = int(net - low), float(tail)
+            else:
+                n, total = n + int(net), total + float(added)
+        new = (n, total) if n > 0 else None
         out = []
-        if state is not None:
-            out.append(("-", name[0], n, total))
-        if new[0] > 0:
-            out.append(("+", name[0], *new))
-        return pd.DataFrame(out, columns=["op", key, "n", "total"]), (new if new[0] > 0 else None)
+        if new != (tuple(state) if state else None):
+            out += [("-", name[0], *state)] if state else []
+            out += [("+", name[0], *new)] if new else []
+        return pd.DataFrame(out, columns=["op", key, "n", "total"]), new
 
-    return keyed(partial, [key], [key], step, f"op string, {key} {kind}, n bigint, total double", "n bigint, total double")
+    return keyed(
+        partial, [key], ["first"], step, f"op string, {key} {kind}, n bigint, total double", "n bigint, total double"
+    )
 
 
 def consolidate(log: DataFrame) -> DataFrame:

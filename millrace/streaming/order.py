@@ -50,6 +50,8 @@ def split_late(stream: DataFrame, time: str, lateness_seconds: int) -> tuple[Dat
 def sort_stream(stream: DataFrame, time: str, delay_seconds: int) -> DataFrame:
     """Rows in event-time order: each batch releases what the watermark has passed, late rows are dropped.
 
+    When the input is used up, the rows that still wait follow as a last batch.
+
     The result carries ``_batch``; every batch's rows are later than those of the batches before it, so
     (``_batch``, time) is the output order. Rows not yet passed wait in a table for the next batch.
     """
@@ -71,16 +73,22 @@ def sort_stream(stream: DataFrame, time: str, delay_seconds: int) -> DataFrame:
             f"{out}/_batch={number}"
         )
         rows.where(at > mark).write.mode("overwrite").parquet(f"{wait}/{number}")
+        last[:] = [number]
 
+    last: list[int] = []
     each_batch(stream, work)
+    if last:
+        rest = spark.read.schema(stream.schema).parquet(f"{wait}/{last[0]}")
+        count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rest.repartitionByRange(count, time).sortWithinPartitions(time).write.mode("overwrite").parquet(f"{out}/_batch={last[0] + 1}")
     return spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
 
 
-def feedback(stream: DataFrame, body, leave, max_rounds: int = 1000) -> DataFrame:
+def feedback(stream: DataFrame, body, leave, max_rounds: int | None = None) -> DataFrame:
     """Feedback loop: each micro-batch runs through ``body`` until every row meets ``leave``.
 
     Rows that leave are written; the others go round again, as a written table. The result has the
-    column ``round``: how often the row went through the body.
+    column ``round``: how often the row went through the body. Raises if rows are left after ``max_rounds``.
     """
     spark = stream.sparkSession
     out, loop = new_path(spark, "left"), new_path(spark, "loop")
@@ -99,7 +107,7 @@ def feedback(stream: DataFrame, body, leave, max_rounds: int = 1000) -> DataFram
             turn += 1
             if rows.isEmpty():
                 return
-            if turn > max_rounds:
+            if max_rounds is not None and turn > max_rounds:
                 raise RuntimeError(f"rows still circulate after {max_rounds} rounds")
 
     each_batch(stream, work)

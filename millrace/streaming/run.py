@@ -88,19 +88,51 @@ def checkpoint_path(spark: SparkSession) -> str:
     return new_path(spark, "checkpoint")
 
 
-def append_table(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
-    """Append sink: run what is available, then read the written rows."""
+#: Later than any event; still inside the range of nanosecond times.
+END_OF_TIME = "2261-01-01"
+
+
+def ending(stream: DataFrame, time: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(the stream with an end, what to call when its input is used up).
+
+    A bounded source ends with the greatest watermark: the call delivers one row of nulls at the end of time,
+    after which every window, session and timer of real rows is over. Its own window never closes.
+    """
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, "end")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(files)
+
+    def finish() -> None:
+        end = {time: F.lit(END_OF_TIME)}
+        row = [end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+        spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(path)
+
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)), finish
+
+
+def append_table(stream: DataFrame, checkpoint: str | None = None, finish: Callable[[], None] | None = None) -> DataFrame:
+    """Append sink: run what is available, then read the written rows.
+
+    With ``finish`` (see :func:`ending`) the query goes on from its checkpoint once the end is delivered.
+    """
     spark = stream.sparkSession
-    path = new_path(spark, "append")
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint or checkpoint_path(spark))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    path, checkpoint = new_path(spark, "append"), checkpoint or checkpoint_path(spark)
+
+    def available() -> None:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    available()
+    if finish is not None:
+        finish()
+        available()
     return spark.read.schema(stream.schema).parquet(path)
 
 

@@ -67,7 +67,7 @@ def test_late_rows_go_aside(late_stream):
 
 def test_stream_sort(late_stream):
     out = order.sort_stream(late_stream, "ts", 10).orderBy("_batch", "ts").collect()
-    assert [r["at"] for r in out] == [10, 16, 20, 31, 40]
+    assert [r["at"] for r in out] == [10, 16, 20, 31, 40, 50]
 
 
 def test_left_outer_stream_join(spark):
@@ -91,3 +91,38 @@ def test_metrics_of_a_run(spark):
     stream = run.replay(table(spark, [(1,), (2,)], "v int"), ["true"])
     done = run.each_batch(stream.observe("seen", F.count(F.lit(1)).alias("n")), lambda batch, number: batch.count())
     assert sum(p["observedMetrics"]["seen"]["n"] for p in done.recentProgress if "seen" in p["observedMetrics"]) == 2
+
+
+@pytest.mark.parametrize(
+    "signs,want",
+    [
+        ([-1, 1, 1], (2, 5.0)),  # a retraction of what was never there is dropped
+        ([1, -1, -1, 1], (1, 4.0)),
+        ([1, 1, -1], (1, 0.0)),
+        ([-1, -1], None),
+        ([1, -1], None),
+    ],
+)
+def test_changelog_in_one_batch(spark, signs, want):
+    rows = [(i, "k", float(i + 1) if s > 0 or i == 0 else float(i), s) for i, s in enumerate(signs)]
+    df = table(spark, rows, "at int, word string, v double, sign int").coalesce(1)
+    path = new_path(spark, "one")
+    df.write.parquet(path)
+    stream = spark.readStream.schema(df.schema).parquet(path)
+    log = run.append_table(keyed.changelog(stream, "word", "v", "at")).collect()
+    held = total = 0
+    for s, v in [(r[3], r[2]) for r in rows]:
+        if s < 0 and not held:
+            continue
+        held, total = held + s, total + s * v
+        total = total if held else 0
+    assert [(r["op"], r["n"], r["total"]) for r in log] == ([("+", held, total)] if held else [])
+    assert (held or None) == (want[0] if want else None)
+
+
+def test_bounded_streams_give_all_windows(spark):
+    rows = table(spark, [(0, 10), (0, 70), (1, 130), (1, 3600)], "step int, at bigint").withColumn("ts", F.timestamp_seconds("at"))
+    stream, finish = run.ending(run.replay(rows, ["step = 0", "step = 1"]), "ts")
+    counts = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 minute").alias("w")).count()
+    got = run.append_table(counts.select(F.unix_seconds("w.start").alias("s"), "count"), finish=finish)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 1), (60, 1), (120, 1), (3600, 1)]
