@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -10,8 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from millrace.session import build_session
 
+    shared = tempfile.mkdtemp(prefix="millrace-tests-")
     session = build_session(
-        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+        "tests", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": shared,
                                 "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
