@@ -51,6 +51,26 @@ def scatter_gather(graph: Graph, message: Column, combine: Column, update: Colum
     return bulk_iterate(graph.vertices, step, max_rounds)[0]
 
 
+def gather_sum_apply(graph: Graph, gather: Column, combine: Column, apply: Column, max_rounds: int | None = None) -> DataFrame:
+    """Vertices gather from all their in-neighbours: ``gather`` is over ``src_value`` and ``edge_value``, ``combine`` an
+    aggregate over ``gathered``, ``apply`` the new value from ``value`` and ``gathered``.
+
+    In a round only vertices with a neighbour that changed in the last one gather; it ends when none changes.
+    """
+    edges = written(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "edges")
+
+    def improve(work: DataFrame, solution: DataFrame, turn: int) -> DataFrame:
+        called = edges.join(work.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
+        near = edges.join(called, "dst", "left_semi").join(
+            solution.select(F.col("id").alias("src"), F.col("value").alias("src_value")), "src"
+        )
+        summed = near.select(F.col("dst").alias("id"), gather.alias("gathered")).groupBy("id").agg(combine.alias("gathered"))
+        applied = solution.join(summed, "id").select("id", "value", apply.alias("_new"))
+        return applied.where(~F.col("_new").eqNullSafe(F.col("value"))).select("id", F.col("_new").alias("value"))
+
+    return delta_iterate(graph.vertices, graph.vertices, "id", improve, max_rounds)[0]
+
+
 def shortest_paths(graph: Graph, source: Column, max_rounds: int | None = None) -> DataFrame:
     """Single-source shortest paths over double edge values; unreached vertices get the greatest double."""
     start = F.when(F.col("id") == source, F.lit(0.0)).otherwise(F.lit(UNREACHED))

@@ -50,6 +50,14 @@ def skew_join(
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
+def flat_join(left: DataFrame, right: DataFrame, keys: list[str], results: Column, schema_name: str = "result", how: str = "inner") -> DataFrame:
+    """Join with a function of the pair: ``results`` is an array over the columns of both sides, one row out for each element.
+
+    An empty or null array drops the pair (J6).
+    """
+    return left.join(right, keys, how).select(*keys, F.explode(results).alias(schema_name))
+
+
 def scalar_filter(df: DataFrame, aggregate: DataFrame, condition) -> DataFrame:
     """Join with a one-row aggregate (J4): ``condition(scalar)`` gives the predicate."""
     return df.where(condition(aggregate.scalar()))

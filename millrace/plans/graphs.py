@@ -295,6 +295,33 @@ def graph_minimum_propagation(t):
     return loops.propagate_minimum(_graph(t))
 
 
+def _round(i):
+    return f"""v{i} AS MATERIALIZED (SELECT x.id, least(x.value, min(y.value)) AS value FROM v{i - 1} x LEFT JOIN e ON e.dst = x.id
+      LEFT JOIN v{i - 1} y ON y.id = e.src GROUP BY x.id, x.value)"""
+
+
+@query(
+    "graph_scatter_gather",
+    f"WITH {_EDGES}, v0 AS (SELECT id, id AS value FROM v), {_round(1)}, {_round(2)}, {_round(3)} SELECT id, value FROM v3",
+)
+def graph_scatter_gather(t):
+    """Three rounds of sending the smallest id seen to the out-neighbours."""
+    return loops.scatter_gather(
+        _graph(t), F.col("src_value"), F.min("message"), F.least("value", "message"), 3
+    )
+
+
+@query(
+    "graph_gather_sum_apply",
+    f"""WITH RECURSIVE {_EDGES}, c(id, value) USING KEY (id) AS (SELECT id, id FROM v UNION
+          SELECT e.dst, min(c.value) FROM c JOIN e ON c.id = e.src JOIN recurring.c r ON r.id = e.dst WHERE c.value < r.value GROUP BY e.dst)
+        SELECT id, value FROM c""",
+)
+def graph_gather_sum_apply(t):
+    """The smallest id from which a vertex can be reached, gathered from in-neighbours until nothing changes."""
+    return loops.gather_sum_apply(_graph(t), F.col("src_value"), F.min("gathered"), F.least("value", "gathered"))
+
+
 @query(
     "graph_sssp",
     f"""WITH RECURSIVE {_EDGES}, c(id, value) USING KEY (id) AS (

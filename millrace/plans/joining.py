@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from millrace.operators import aggregates, joins
+from millrace.operators import aggregates, joins, sessions
 from millrace.plans.registry import query
 
 _PAIR = "SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM"
@@ -273,6 +273,47 @@ def window_join_tumble(t):
     return joined.select("click_id", "buy_id", "user_id", "window_start")
 
 
+@query(
+    "window_join_slide",
+    f"""WITH c AS (SELECT *, time_bucket(INTERVAL 3 HOUR, click_ts) - INTERVAL 3 HOUR * unnest([0, 1]) AS w FROM {_CLICKS}),
+             b AS (SELECT *, time_bucket(INTERVAL 3 HOUR, buy_ts) - INTERVAL 3 HOUR * unnest([0, 1]) AS w FROM {_BUYS})
+        SELECT click_id, buy_id, c.user_id, c.w AS window_start FROM c JOIN b ON c.user_id = b.user_id AND c.w = b.w""",
+)
+def window_join_slide(t):
+    """Pairs in one sliding window; a pair is in as many windows as hold both."""
+    clicks, buys = _clicks_buys(t)
+    joined = joins.window_join(clicks, buys, ["user_id"], "click_ts", "buy_ts", "6 hours", "3 hours")
+    return joined.select("click_id", "buy_id", "user_id", "window_start")
+
+
+@query(
+    "window_join_session",
+    """WITH u AS (SELECT event_id, event_type, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before
+                  FROM events WHERE event_type IN ('click', 'purchase')),
+            s AS (SELECT *, sum(CASE WHEN ts <= before + INTERVAL 2 HOUR THEN 0 ELSE 1 END)
+                  OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM u)
+       SELECT c.event_id AS click_id, b.event_id AS buy_id, c.user_id FROM s c JOIN s b ON c.user_id = b.user_id AND c.s = b.s
+       WHERE c.event_type = 'click' AND b.event_type = 'purchase'""",
+)
+def window_join_session(t):
+    """Pairs in one session of both streams."""
+    clicks, buys = _clicks_buys(t)
+    joined = sessions.session_join(clicks, buys, ["user_id"], "click_ts", "buy_ts", 2 * 3600)
+    return joined.select("click_id", "buy_id", "user_id")
+
+
+@query(
+    "join_flat",
+    """SELECT o_orderkey, unnest(CASE WHEN l_quantity > 40 THEN [l_partkey, l_suppkey] WHEN l_quantity > 20 THEN [l_partkey] ELSE [] END) AS part
+       FROM orders JOIN lineitem ON o_orderkey = l_orderkey""",
+)
+def join_flat(t):
+    """A function of the joined pair that gives none, one or several rows."""
+    lines = t.lineitem.withColumnRenamed("l_orderkey", "o_orderkey")
+    parts = F.when(F.col("l_quantity") > 40, F.array("l_partkey", "l_suppkey")).when(F.col("l_quantity") > 20, F.array("l_partkey"))
+    return joins.flat_join(t.orders, lines, ["o_orderkey"], parts, "part")
+
+
 @query(
     "window_cogroup",
     """

@@ -289,6 +289,30 @@ def stream_sort(t):
     return calc.zip_with_index(rows, ["_batch", "ts", "event_id"], "place").select("event_id", "place")
 
 
+@query(
+    "stream_sort_arrivals",
+    f"""{_LATE_SQL} SELECT event_id, CAST(row_number() OVER (ORDER BY step, value, event_id) - 1 AS BIGINT) AS place FROM s""",
+)
+def stream_sort_arrivals(t):
+    """Processing-time order, rows of one time by value."""
+    rows = order.sort_arrivals(_late_stream(t).select("event_id", "value"), ["value", "event_id"])
+    return calc.zip_with_index(rows, ["_batch", "value", "event_id"], "place").select("event_id", "place")
+
+
+@query(
+    "stream_idle_retention",
+    """WITH g AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+            s AS (SELECT *, sum(CASE WHEN ts <= before + INTERVAL 12 HOUR THEN 0 ELSE 1 END)
+                  OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g)
+       SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id, s ORDER BY ts, event_id) AS BIGINT) AS n FROM s""",
+)
+def stream_idle_retention(t):
+    """A running count that is forgotten when its key is idle for twelve hours."""
+    rows = _stream(t).withWatermark("ts", "0 seconds").select("event_id", "user_id", "ts", F.unix_micros("ts").alias("at"))
+    counted = keyed.counts_while_active(rows, "user_id", "at", ["event_id"], 12 * 3_600_000_000)
+    return run.append_table(counted).select("event_id", "user_id", "n")
+
+
 @query(
     "stream_feedback",
     """SELECT event_id, CAST(greatest(0, floor(log2(value)) + 1) AS INTEGER) AS round,

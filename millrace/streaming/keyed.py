@@ -60,6 +60,34 @@ def rolling(stream: DataFrame, key: str, order: list[str], value: str, carry: li
     )
 
 
+def counts_while_active(stream: DataFrame, key: str, at: str, carry: list[str], retention: int) -> DataFrame:
+    """A running count with every record, begun anew for a key that was idle for more than ``retention``.
+
+    ``at`` is event time in microseconds and the stream has a watermark: the state of an idle key is
+    removed once the watermark has passed its last record by ``retention``.
+    """
+    kinds = dict(stream.dtypes)
+
+    def run(name: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(chunks), ignore_index=True).sort_values([at, *carry], kind="stable", ignore_index=True)
+        n, last = held.get if held.exists else (0, None)
+        idle = rows[at].diff() > retention
+        idle.iloc[0] = last is not None and rows[at].iloc[0] - last > retention
+        part = idle.cumsum()
+        place = part.groupby(part).cumcount() + 1 + (part == 0) * n
+        held.update((int(place.iloc[-1]), int(rows[at].iloc[-1])))
+        held.setTimeoutTimestamp(max(int(rows[at].iloc[-1] + retention) // 1000 + 1, held.getCurrentWatermarkMs() + 1))
+        yield rows[[key, *carry]].assign(n=place)
+
+    shown = ", ".join(f"{c} {kinds[c]}" for c in [key, *carry])
+    return stream.groupBy(key).applyInPandasWithState(
+        run, f"{shown}, n bigint", "n bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def count_windows(stream: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
     """A result whenever ``size`` records of a key have arrived; the rest waits in state."""
     kind = dict(stream.dtypes)[key]

@@ -84,6 +84,22 @@ def sort_stream(stream: DataFrame, time: str, delay_seconds: int) -> DataFrame:
     return spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
 
 
+def sort_arrivals(stream: DataFrame, by: list[str]) -> DataFrame:
+    """Rows in order of arrival: a micro-batch is one processing time, its rows are ordered by ``by``.
+
+    (``_batch``, ``by``) is the output order.
+    """
+    spark = stream.sparkSession
+    out = new_path(spark, "arrivals")
+
+    def work(batch: DataFrame, number: int) -> None:
+        count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        batch.repartitionByRange(count, *by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{out}/_batch={number}")
+
+    each_batch(stream, work)
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", LongType())])).parquet(out)
+
+
 def feedback(stream: DataFrame, body, leave, max_rounds: int | None = None) -> DataFrame:
     """Feedback loop: each micro-batch runs through ``body`` until every row meets ``leave``.
 
