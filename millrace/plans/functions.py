@@ -87,6 +87,19 @@ def fn_random(t):
     )
 
 
+@query(
+    "fn_unicode_literals",
+    "SELECT p_partkey, p_brand || ' café 😀 \\' AS plain, p_brand || 'd!t' AS other FROM part",
+)
+def fn_unicode_literals(t):
+    """Literals with escaped characters, the escape chosen."""
+    return t.part.select(
+        "p_partkey",
+        F.concat("p_brand", text.unicode_literal(" caf\\00e9 \\+01F600 \\\\")).alias("plain"),
+        F.concat("p_brand", text.unicode_literal("!0064!!!0074", "!")).alias("other"),
+    )
+
+
 @query(
     "fn_string",
     """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import calc
+from millrace.patterns import stream as pattern_stream
+from millrace.patterns.match import Pattern
 from millrace.plans.registry import query
 from millrace.streaming import keyed, order, processors, run
 
@@ -313,6 +315,51 @@ def stream_idle_retention(t):
     return run.append_table(counted).select("event_id", "user_id", "n")
 
 
+def _pattern_log(t, pattern):
+    stream, end = run.ending(_stream(t).select("event_id", "user_id", "event_type", "ts"), "ts")
+    found = pattern_stream.find(stream.withWatermark("ts", "1 hour"), "user_id", "ts", "event_id", pattern)
+    return run.append_table(found, finish=end)
+
+
+@query(
+    "stream_pattern_within",
+    """SELECT a.user_id, a.event_id AS a_id, arg_min(b.event_id, (b.ts, b.event_id)) AS b_id FROM events a JOIN events b
+       ON a.user_id = b.user_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.event_type = 'purchase' WHERE a.event_type = 'click'
+       GROUP BY a.user_id, a.event_id, a.ts HAVING min(b.ts) < a.ts + INTERVAL 6 HOUR""",
+)
+def stream_pattern_within(t):
+    """Clicks followed by a purchase within six hours, found on the stream."""
+    pattern = Pattern.begin("a", F.col("event_type") == "click").followed_by("b", F.col("event_type") == "purchase").within(6 * 3600)
+    found = _pattern_log(t, pattern).where("kind = 'match'")
+    return found.select("user_id", F.col("ids")[0].alias("a_id"), F.col("ids")[1].alias("b_id"))
+
+
+@query(
+    "stream_pattern_timeout",
+    """SELECT user_id, event_id FROM events a WHERE event_type = 'signup'
+       AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'purchase'
+                       AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.ts < a.ts + INTERVAL 1 DAY)""",
+)
+def stream_pattern_timeout(t):
+    """Signups that see no purchase in a day, as the time-outs of a stream pattern."""
+    pattern = Pattern.begin("a", F.col("event_type") == "signup").followed_by("b", F.col("event_type") == "purchase").within(86_400)
+    return _pattern_log(t, pattern).where("kind = 'timeout'").select("user_id", F.col("ids")[0].alias("event_id"))
+
+
+@query(
+    "stream_pattern_strict",
+    """SELECT user_id, a_id, b_id, c_id FROM (SELECT user_id, event_type, event_id AS a_id, lead(event_id) OVER w AS b_id, lead(event_type) OVER w AS b_type,
+        lead(event_id, 2) OVER w AS c_id, lead(event_type, 2) OVER w AS c_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+        WHERE event_type = 'view' AND b_type = 'click' AND c_type NOT IN ('error', 'click')""",
+)
+def stream_pattern_strict(t):
+    """A view, then a click, then anything but an error or a click, row after row."""
+    kind = F.col("event_type")
+    pattern = Pattern.begin("a", kind == "view").next("b", kind == "click").not_next(kind == "error").next("c", kind != "click")
+    found = _pattern_log(t, pattern)
+    return found.select("user_id", *[F.col("ids")[i].alias(f"{n}_id") for i, n in enumerate("abc")])
+
+
 @query(
     "stream_feedback",
     """SELECT event_id, CAST(greatest(0, floor(log2(value)) + 1) AS INTEGER) AS round,

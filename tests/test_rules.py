@@ -114,3 +114,14 @@ def test_greedy_run_inside_a_time_limit(spark):
     assert found(events(spark, "aaxb"), later, "a", "b") == [(0, 3), (1, 3)]
     with pytest.raises(ValueError):
         found(events(spark, "ab"), Pattern.begin("a", a).next("b", b, "+").within(5), "a", "b")
+
+
+def test_unicode_literals():
+    from millrace.functions import text
+
+    for bad in ("\\00g1", "\\", "\\+0001", "\\+110000", "\\d800"):
+        with pytest.raises(ValueError):
+            text.unicode_literal(bad)
+    for escape in ("a", "+", "'", " ", "\\\\"):
+        with pytest.raises(ValueError):
+            text.unicode_literal("x", escape)

@@ -126,3 +126,31 @@ def test_bounded_streams_give_all_windows(spark):
     counts = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 minute").alias("w")).count()
     got = run.append_table(counts.select(F.unix_seconds("w.start").alias("s"), "count"), finish=finish)
     assert sorted(tuple(r) for r in got.collect()) == [(0, 1), (60, 1), (120, 1), (3600, 1)]
+
+
+def test_patterns_span_batches(spark):
+    from millrace.patterns import match, stream as pattern_stream
+    from millrace.patterns.match import Pattern
+
+    kinds = "abcaxbaabbcaxxb"
+    rows = [(i * 7 % 3, 1, i, 1000 + i * 10, k) for i, k in enumerate(kinds)]  # batches that are out of order
+    df = table(spark, rows, "step int, k int, id int, at int, kind string").withColumn("ts", F.timestamp_seconds("at"))
+    is_ = lambda c: F.col("kind") == c
+    patterns = [
+        Pattern.begin("a", is_("a")).followed_by("b", is_("b")).within(35),
+        Pattern.begin("a", is_("a")).next("b", is_("b")),
+        Pattern.begin("a", is_("a")).not_followed_by(is_("x")).followed_by("b", is_("b")),
+        Pattern.begin("a", is_("a")).not_next(is_("b")).followed_by("b", is_("b")),
+    ]
+    for pattern in patterns:
+        stream, finish = run.ending(run.replay(df, [f"step = {i}" for i in range(3)]), "ts")
+        found = pattern_stream.find(stream.withWatermark("ts", "10 minutes"), "k", "ts", "id", pattern)
+        log = run.append_table(found, finish=finish).collect()
+        got = sorted(tuple(r["ids"]) for r in log if r["kind"] == "match")
+        batch = match.find(df, ["k"], ["ts", "id"], pattern, ["id"], "ts").collect()
+        assert got == sorted((r["a"]["first"]["id"], r["b"]["last"]["id"]) for r in batch)
+        if pattern.window:
+            timed = sorted(r["ids"][0] for r in log if r["kind"] == "timeout")
+            assert timed == [i for i, k in enumerate(kinds) if k == "a" and i not in {a for a, _ in got}]
+    with pytest.raises(ValueError):
+        pattern_stream.Steps(Pattern.begin("a", is_("a"), "+"))
