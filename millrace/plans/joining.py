@@ -102,7 +102,7 @@ def join_hints(t):
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
 )
 def join_skewed_keys(t):
-    """Salted join on a column with few values: every key is hot."""
+    """Salted joins on the fly; no key of these tables is hot (``join_hot_key`` has one)."""
     lines = t.lineitem.select(F.col("l_orderkey").alias("orderkey"), F.col("l_partkey").alias("partkey"), "l_quantity")
     orders = t.orders.select(F.col("o_orderkey").alias("orderkey"), "o_orderstatus")
     parts = t.part.select(F.col("p_partkey").alias("partkey"), "p_brand")
@@ -302,6 +302,23 @@ def window_join_session(t):
     return joined.select("click_id", "buy_id", "user_id")
 
 
+_HOT = "CASE WHEN l_linenumber <= 2 THEN 0 ELSE l_partkey END"
+
+
+@query(
+    "join_hot_key",
+    f"""SELECT k, name, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM (SELECT {_HOT} AS k, l_quantity FROM lineitem)
+        LEFT JOIN (SELECT p_partkey AS k, p_name AS name FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT 0, 'common') USING (k) GROUP BY 1, 2""",
+)
+def join_hot_key(t):
+    """A key with half of the rows: its left rows are salted, its right row repeated."""
+    lines = t.lineitem.select(F.expr(_HOT).cast("bigint").alias("k"), "l_quantity")
+    parts = t.part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").cast("bigint").alias("k"), F.col("p_name").alias("name"))
+    common = t.spark.sql("SELECT 0L AS k, 'common' AS name")
+    joined = joins.skew_join(lines, parts.unionByName(common), ["k"], "left")
+    return joined.groupBy("k", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
 @query(
     "join_flat",
     """SELECT o_orderkey, unnest(CASE WHEN l_quantity > 40 THEN [l_partkey, l_suppkey] WHEN l_quantity > 20 THEN [l_partkey] ELSE [] END) AS part
