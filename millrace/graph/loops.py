@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.graph.frame import Graph
 from millrace.iterate import bulk_iterate, delta_iterate, until_unchanged
-from millrace.scratch import written, written_and_measured
+from millrace.scratch import bucketed, drop, written, written_and_measured
 
 UNREACHED = 1.7976931348623157e308
 
@@ -23,7 +23,7 @@ def pregel(graph: Graph, message: Column, combine: Column, apply: Column, active
     new value from ``value`` and ``message``, and ``active`` says whether the vertex changed. Only
     changed vertices send in the next round.
     """
-    edges = written(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "edges")
+    edges = bucketed(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "src", "edges")
 
     def improve(work: DataFrame, solution: DataFrame, turn: int) -> DataFrame:
         senders = work.select(F.col("id").alias("src"), F.col("value").alias("src_value"))
@@ -32,12 +32,14 @@ def pregel(graph: Graph, message: Column, combine: Column, apply: Column, active
         met = solution.join(received, "id").where(active)
         return met.select("id", apply.alias("value"))
 
-    return delta_iterate(graph.vertices, graph.vertices, "id", improve, max_rounds)[0]
+    out = delta_iterate(graph.vertices, graph.vertices, "id", improve, max_rounds)[0]
+    drop(edges)
+    return out
 
 
 def scatter_gather(graph: Graph, message: Column, combine: Column, update: Column, max_rounds: int) -> DataFrame:
     """Every vertex sends in every round; vertices without messages keep their value."""
-    edges = written(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "edges")
+    edges = bucketed(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "src", "edges")
 
     def step(state: DataFrame, turn: int) -> DataFrame:
         senders = state.select(F.col("id").alias("src"), F.col("value").alias("src_value"))
@@ -48,7 +50,9 @@ def scatter_gather(graph: Graph, message: Column, combine: Column, update: Colum
         value = F.when(F.col("message").isNotNull(), update).otherwise(F.col("value"))
         return state.join(received, "id", "left").select("id", value.alias("value"))
 
-    return bulk_iterate(graph.vertices, step, max_rounds)[0]
+    out = bulk_iterate(graph.vertices, step, max_rounds)[0]
+    drop(edges)
+    return out
 
 
 def gather_sum_apply(graph: Graph, gather: Column, combine: Column, apply: Column, max_rounds: int | None = None) -> DataFrame:
@@ -57,7 +61,7 @@ def gather_sum_apply(graph: Graph, gather: Column, combine: Column, apply: Colum
 
     In a round only vertices with a neighbour that changed in the last one gather; it ends when none changes.
     """
-    edges = written(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "edges")
+    edges = bucketed(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "src", "edges")
 
     def improve(work: DataFrame, solution: DataFrame, turn: int) -> DataFrame:
         called = edges.join(work.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
@@ -68,7 +72,9 @@ def gather_sum_apply(graph: Graph, gather: Column, combine: Column, apply: Colum
         applied = solution.join(summed, "id").select("id", "value", apply.alias("_new"))
         return applied.where(~F.col("_new").eqNullSafe(F.col("value"))).select("id", F.col("_new").alias("value"))
 
-    return delta_iterate(graph.vertices, graph.vertices, "id", improve, max_rounds)[0]
+    out = delta_iterate(graph.vertices, graph.vertices, "id", improve, max_rounds)[0]
+    drop(edges)
+    return out
 
 
 def shortest_paths(graph: Graph, source: Column, max_rounds: int | None = None) -> DataFrame:
@@ -121,7 +127,7 @@ def connected_components(graph: Graph, max_rounds: int | None = None) -> DataFra
 
 def label_propagation(graph: Graph, max_rounds: int) -> DataFrame:
     """Each round a vertex takes the most frequent label sent to it; the greater label wins a tie."""
-    edges = written(graph.edges.select("src", "dst"), "edges")
+    edges = bucketed(graph.edges.select("src", "dst"), "src", "edges")
 
     def step(state: DataFrame, turn: int) -> DataFrame:
         sent = edges.join(state.select(F.col("id").alias("src"), F.col("value").alias("label")), "src")
@@ -129,7 +135,9 @@ def label_propagation(graph: Graph, max_rounds: int) -> DataFrame:
         won = votes.groupBy(F.col("dst").alias("id")).agg(F.max(F.struct("n", "label")).alias("w"))
         return state.join(won, "id", "left").select("id", F.coalesce("w.label", "value").alias("value"))
 
-    return bulk_iterate(graph.vertices, step, max_rounds)[0]
+    out = bulk_iterate(graph.vertices, step, max_rounds)[0]
+    drop(edges)
+    return out
 
 
 def community_detection(graph: Graph, max_rounds: int, delta: float) -> DataFrame:
@@ -138,7 +146,7 @@ def community_detection(graph: Graph, max_rounds: int, delta: float) -> DataFram
     A vertex takes the label with the greatest score sum (the smaller label on a tie); its new score is
     the best single score received for that label.
     """
-    edges = written(graph.edges.select("src", "dst", F.col("value").alias("weight")), "edges")
+    edges = bucketed(graph.edges.select("src", "dst", F.col("value").alias("weight")), "src", "edges")
     start = graph.vertices.select("id", F.col("value").alias("label"), F.lit(1.0).alias("score"))
 
     def step(state: DataFrame, turn: int) -> DataFrame:
@@ -158,7 +166,9 @@ def community_detection(graph: Graph, max_rounds: int, delta: float) -> DataFram
             F.coalesce(F.col("w.best") - moved, F.col("score")).alias("score"),
         )
 
-    return bulk_iterate(start, step, max_rounds)[0].select("id", "label")
+    out = bulk_iterate(start, step, max_rounds)[0].select("id", "label")
+    drop(edges)
+    return out
 
 
 def page_rank(graph: Graph, damping: float = 0.85, max_rounds: int = 20, threshold: float | None = None) -> DataFrame:
@@ -168,7 +178,7 @@ def page_rank(graph: Graph, damping: float = 0.85, max_rounds: int = 20, thresho
     """
     pairs = graph.edges.select("src", "dst")
     fan = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("fan"))
-    edges = written(pairs.join(fan, "src"), "edges")
+    edges = bucketed(pairs.join(fan, "src"), "src", "edges")
     size = graph.vertices.count()
     sinks = graph.vertices.join(fan.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(True).alias("sink"))
     start = graph.vertices.join(sinks, "id", "left").select(
@@ -184,15 +194,18 @@ def page_rank(graph: Graph, damping: float = 0.85, max_rounds: int = 20, thresho
         return joined.select("id", "sink", "rank", F.abs(F.col("rank") - F.col("old")).alias("change"))
 
     stop = None if threshold is None else (lambda seen, before: seen["change"] <= threshold)
-    return bulk_iterate(start, step, max_rounds, {"change": F.sum("change")}, stop)[0].select("id", "rank")
+    out = bulk_iterate(start, step, max_rounds, {"change": F.sum("change")}, stop)[0].select("id", "rank")
+    drop(edges)
+    return out
 
 
 def hits(graph: Graph, max_rounds: int = 10) -> DataFrame:
     """(id, hub, authority), both scaled to length 1 in every round."""
     edges = written(graph.edges.select("src", "dst"), "edges")
+    by = {end: bucketed(edges, end, f"edges-{end}") for end in ("src", "dst")}
 
     def spread(scores: DataFrame, value: str, start: str, end: str, name: str) -> DataFrame:
-        sent = edges.join(scores.select(F.col("id").alias(start), value), start)
+        sent = by[start].join(scores.select(F.col("id").alias(start), value), start)
         return sent.groupBy(F.col(end).alias("id")).agg(F.sum(value).alias(name))
 
     def unit(scores: DataFrame, name: str) -> DataFrame:
@@ -208,7 +221,10 @@ def hits(graph: Graph, max_rounds: int = 10) -> DataFrame:
 
     begin = 1.0 / math.sqrt(max(1, graph.vertices.count()))
     start = graph.vertices.select("id", F.lit(begin).alias("hub"), F.lit(begin).alias("authority"))
-    return bulk_iterate(start, step, max_rounds)[0]
+    out = bulk_iterate(start, step, max_rounds)[0]
+    for table in (edges, *by.values()):
+        drop(table)
+    return out
 
 
 def transitive_closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -217,7 +233,7 @@ def transitive_closure(edges: DataFrame, max_rounds: int | None = None) -> DataF
     Raises if there are still new paths after ``max_rounds``.
     """
     base = written(edges.select("src", "dst").distinct(), "closure")
-    hop = base.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    hop = bucketed(base.select(F.col("src").alias("dst"), F.col("dst").alias("next")), "dst", "hops")
     known, fresh = base, base
     for turn in itertools.count(1):
         longer = fresh.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()

@@ -72,6 +72,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As :func:`written`, hashed on ``key`` into as many sorted buckets as a shuffle has partitions.
+
+    Joins on ``key`` then read it as it lies: only the other side is shuffled. The table is taken out of the
+    catalog at once; the frame keeps the files and their buckets.
+    """
+    spark = df.sparkSession
+    path, name = new_path(spark, label), f"millrace_{uuid.uuid4().hex}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(count, key).write.format("parquet").bucketBy(count, key).sortBy(key)
+    dealt.option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    _paths[table] = path
+    return table
+
+
 def written_and_measured(df: DataFrame, label: str, **measures) -> tuple[DataFrame, dict]:
     """As :func:`written`, with aggregates observed during the same write (no second pass)."""
     measures = measures or {"rows": F.count(F.lit(1))}

@@ -125,3 +125,16 @@ def test_unicode_literals():
     for escape in ("a", "+", "'", " ", "\\\\"):
         with pytest.raises(ValueError):
             text.unicode_literal("x", escape)
+
+
+def test_bucketed_side_is_not_shuffled(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = scratch.bucketed(spark.range(1000).select((F.col("id") % 37).alias("src"), F.col("id").alias("dst")), "src", "edges")
+        joined = edges.join(spark.range(37).select(F.col("id").alias("src"), F.lit(1).alias("v")), "src")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and joined.count() == 1000
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("millrace_")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
