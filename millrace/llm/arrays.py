@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,15 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Texts are worked on in slices of about this many bytes, whatever the size of a Spark batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker waits for the next task with all that it has ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -32,6 +41,7 @@ def sliced(
         edges = [0, *cuts.tolist(), batch.num_rows]
         for begin, end in zip(edges, edges[1:]):
             yield batch.slice(begin, end - begin)
+            give_back()
 
 
 def list_parts(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray]:

@@ -52,7 +52,8 @@ CLASSES = _classes()
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of the values between offsets."""
-    run = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    run = np.zeros(len(values) + 1, np.int32 if len(values) < 1 << 23 else np.int64)
+    np.cumsum(values, out=run[1:])
     return (run[offsets[1:]] - run[offsets[:-1]]).astype(np.float64)
 
 

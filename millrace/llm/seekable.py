@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import sliced, texts_of
-from millrace.llm.tokens import Encoder, vocabulary_path
+from millrace.llm.tokens import TOKENIZED_BYTES, Encoder, vocabulary_path
 from millrace.scratch import new_path
 
 FRAME_IDS = 1 << 20
@@ -142,7 +142,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encoder, writer, at = None, None, ""
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=TOKENIZED_BYTES):
             if writer is None:
                 encoder = Encoder(path)
                 fs, inner = opened(folder)

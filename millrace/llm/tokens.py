@@ -22,6 +22,8 @@ SPACES = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 ODD = rf"^{SPACES}|{SPACES}$|{SPACES}{SPACES}"
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 STRETCH = 1 << 16
+#: Slices of this size are encoded at once: the larger, the fewer pieces are encoded twice.
+TOKENIZED_BYTES = 8 << 20
 BLOCK = 2000
 
 
