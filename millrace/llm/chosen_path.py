@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from millrace.graph.frame import Graph
 from millrace.graph.loops import connected_components
-from millrace.llm.arrays import coded, hashes, mixed, ngram_hashes, sliced, spread, texts_of, words_of
+from millrace.llm.arrays import coded, give_back, hashes, mixed, ngram_hashes, sliced, spread, texts_of, words_of
 from millrace.scratch import written
 
 SHINGLE, LEAST, RECALL = 5, 0.8, 0.999999
@@ -225,11 +225,14 @@ def in_blocks(leaves: DataFrame, leaf: int) -> DataFrame:
     A pair of blocks holds a bounded number of sets and of shingles; a set of a large leaf is in as many as
     the leaf has blocks.
     """
-    sizes = leaves.groupBy("bucket").agg(F.sum("size").alias("items"))
-    by_items = F.ceil(F.col("items") / BLOCK_ITEMS)
+    sizes = leaves.groupBy("bucket", "n").agg(F.sum("size").alias("items"))
     by_sets = F.when(F.col("n") <= leaf, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK_SETS))
-    counted = leaves.join(sizes, "bucket").withColumn("blocks", F.greatest(by_items, by_sets, F.lit(1)).cast("int"))
-    dealt = counted.drop("items").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("items") / BLOCK_ITEMS), by_sets).cast("int")
+    several = sizes.select("bucket", blocks.alias("blocks")).where("blocks > 1")
+    if several.count() <= MOST_BROADCAST:
+        several = F.broadcast(several)
+    counted = leaves.join(several, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = counted.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     ).drop("other", "blocks", "n")
@@ -299,6 +302,7 @@ def with_partners(dealt: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*[pa.array(np.full(len(kept), k, np.int64)) for k in key], pa.array(kept)], [*GROUP, "node"]
                 )
+        give_back()
 
     ordered = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
     return ordered.mapInArrow(run, "bucket long, low long, high long, node long")
@@ -347,6 +351,7 @@ def compared(dealt: DataFrame, least: float) -> DataFrame:
                     [pa.array(v) for v in (node[kept], node[root[kept]], links[kept].sum(axis=1), documents.astype(np.int64))],
                     ["node", "root", "texts", "documents"],
                 )
+        give_back()
 
     ordered = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP)
     return ordered.mapInArrow(run, LINK)
