@@ -38,12 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import coded, hashes, mixed, sliced, spread, texts_of, words_of
+from millrace.llm.arrays import coded, give_back, hashes, mixed, sliced, spread, texts_of, words_of
 from millrace.llm.elias_fano import Trie
 from millrace.llm.seekable import opened
 from millrace.scratch import new_path, written
 
-CHUNK_BYTES, SHARD_TOKENS, PARTS, HEAVY = 24 << 20, 3_000_000, 64, 8
+CHUNK_BYTES, SHARD_TOKENS, PARTS, HEAVY = 16 << 20, 2_000_000, 64, 8
 END = 0  # code of the end token in a chunk
 ROW = "chunk long, data binary, words binary, counts binary"
 
@@ -67,7 +67,7 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
         kind, count = data[at:cut].decode().split(":")
         values = np.frombuffer(data, np.dtype(kind), int(count), cut + 1)
         at = cut + 1 + values.nbytes
-        out.append(values if values.dtype.kind == "f" else values.astype(np.int64))
+        out.append(values if values.dtype.kind == "f" else values.astype(np.int32 if values.itemsize < 4 else np.int64))
     return out
 
 
@@ -202,26 +202,30 @@ def pairs_sent(rows: DataFrame, numbers: DataFrame, known: Counts) -> DataFrame:
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         sizes, tokens, listed, null, held = unpacked(left["data"].iloc[0])
-        ids = np.full(int(tokens.max(initial=0)) + 1, -1, np.int64)
+        # numbers as narrow as they fit: a chunk has millions of tokens
+        ids = np.full(int(tokens.max(initial=0)) + 1, -1, np.int32 if known.words < 1 << 31 else np.int64)
         ids[right["at"].to_numpy()] = right["id"].to_numpy()
-        end = ids[END]
+        end, of_word = ids[END], np.log10(known.unigram(ids))
         word = ids[tokens]
         first = np.cumsum(sizes) - sizes
-        before = np.concatenate([[end], word[:-1]])
+        before = np.concatenate([ids[END : END + 1], word[:-1]])
         before[first] = end
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        unigram = np.log10(known.unigram(word))
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        unigram = of_word[tokens]
         base = np.add.reduceat(unigram, first)
-        seen = np.add.reduceat((word >= 0).astype(np.int64), first)
+        seen = np.add.reduceat(word >= 0, first, dtype=np.int64)
         alone = before < 0  # after an unknown word only the unigram is known
         own = np.bincount(doc[alone], unigram[alone], len(sizes)).astype(np.float64)
+        del unigram, tokens
         chunk = int(key[0])
-        out = [(-1 - chunk, chunk, packed(listed.view(np.uint64), null, held, sizes, seen, base, own))]
-        before, word, doc = before[~alone], word[~alone], doc[~alone]
-        context = known.context(before, word)
-        shard = (mixed(context) % np.uint64(known.shards)).astype(np.int64)
+        out = [(-1 - chunk, chunk, packed(listed.astype(np.int64).view(np.uint64), null, held, sizes, seen, base, own))]
+        word, doc = word[~alone], doc[~alone]
+        context = known.context(before[~alone].astype(np.int64), word)
+        shard = (mixed(context) % np.uint64(known.shards)).astype(np.int32)
+        del before, alone
         order = np.lexsort((doc, word, context, shard))
         context, word, doc, shard = context[order], word[order], doc[order], shard[order]
+        del order
         fresh = np.ones(len(doc), bool)
         fresh[1:] = (np.diff(doc) != 0) | (np.diff(word) != 0) | (np.diff(context) != 0)
         at = np.flatnonzero(fresh)
@@ -239,6 +243,8 @@ def pairs_sent(rows: DataFrame, numbers: DataFrame, known: Counts) -> DataFrame:
                     np.diff(np.append(pair, b - a)), doc[a:b], times[a:b], held,
                 )
                 out.append((int(shard[a]), chunk, blob))
+        del context, word, doc, shard, fresh, at, times, edges
+        give_back()
         return pd.DataFrame(out, columns=["shard", "chunk", "data"])
 
     mine = rows.select("chunk", "data")
@@ -291,19 +297,20 @@ def shards_scored(sent: DataFrame, known: Counts, folder: str) -> DataFrame:
         listed = rows["chunk"].to_list()
         for k, blob in enumerate(rows["data"]):
             keys, sizes, words, docs, of, n, held = unpacked(blob)
-            context.append(np.repeat(np.repeat(np.cumsum(keys), sizes), docs))
-            word.append(np.repeat(words - 1, docs))
+            context.append(np.repeat(np.repeat(np.cumsum(keys, dtype=np.int64), sizes), docs))
+            word.append(np.repeat(words.astype(np.int64) - 1, docs))
             doc.append(of)
             times.append(n)
             learned.append(held[of] == 0)
-            chunk.append(np.full(len(of), k))
+            chunk.append(np.full(len(of), k, np.int32))
         context, word, doc, times, learned, chunk = map(np.concatenate, (context, word, doc, times, learned, chunk))
         order = np.lexsort((word, context))
-        c, w = context[order], word[order]
-        fresh = np.concatenate([[True], (np.diff(c) != 0) | (np.diff(w) != 0)])
-        pair = np.empty(len(order), np.int64)
+        context, word = context[order], word[order]
+        fresh = np.concatenate([[True], (np.diff(context) != 0) | (np.diff(word) != 0)])
+        pair = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
         pair[order] = np.cumsum(fresh) - 1
-        c, w = c[fresh], w[fresh]
+        c, w = context[fresh], word[fresh]
+        del order, context, word
         count = np.bincount(pair, times * learned, len(c)).astype(np.int64)
         seen = count > 0
         data = trie_of(c[seen], w[seen], count[seen], known)
@@ -317,11 +324,14 @@ def shards_scored(sent: DataFrame, known: Counts, folder: str) -> DataFrame:
         score = np.where(there, log, np.where(np.isnan(weight), unigram, weight + unigram))
         of_row = times * score[pair]
         out = []
+        edges = np.searchsorted(chunk, np.arange(len(listed) + 1))
         for k in range(len(listed)):
-            mine = chunk == k
+            mine = slice(edges[k], edges[k + 1])
             sums = np.bincount(doc[mine], of_row[mine]).astype(np.float64)
             held_by = np.flatnonzero(np.bincount(doc[mine]))
             out.append((listed[k], 1, packed(held_by, sums[held_by])))
+        del doc, times, learned, chunk, pair, of_row, score, c, w
+        give_back()
         return pd.DataFrame(out, columns=["chunk", "kind", "data"])
 
     return sent.groupBy("shard").applyInPandas(run, RETURNED)
