@@ -202,9 +202,9 @@ def differing(levels: list[DataFrame], first: int, second: int) -> DataFrame:
     for level in reversed(levels):
         if parents is not None:
             level = level.withColumn("parent", F.shiftright("place", FAN_BITS)).join(parents, "parent", "left_semi")
-        a = level.where(F.col("replica") == first).select("place", F.col("hash").alias("a"))
-        b = level.where(F.col("replica") == second).select("place", F.col("hash").alias("b"))
-        parents = a.join(b, "place", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("place").alias("parent"))
+        of = lambda replica: F.max(F.when(F.col("replica") == replica, F.col("hash")))
+        both = level.groupBy("place").agg(of(first).alias("a"), of(second).alias("b"))
+        parents = both.where(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("place").alias("parent"))
     return parents.withColumnRenamed("parent", "place")
 
 
