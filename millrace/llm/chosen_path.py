@@ -377,9 +377,10 @@ def items_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 def similar_classes(
     docs: DataFrame, least: float = LEAST, recall: float = RECALL, shingle: int = SHINGLE, leaf: int = LEAF
 ) -> DataFrame:
-    """One row for each document, by row number: row, doc_id, class_id, copy_id, n_texts, n_links.
+    """One row for each document, by row number: row, class_no, doc_id, class_id, copy_id, n_texts, n_links.
 
-    ``copy_id`` is the smallest id with the same set, ``class_id`` the smallest id of the linked documents,
+    ``class_no`` numbers the classes, never null: ids may be null or repeated, so that two classes can have one
+    ``class_id``. ``copy_id`` is the smallest id with the same set, ``class_id`` the smallest id of the linked documents,
     ``n_texts`` the number of other sets at least ``least`` alike, ``n_links`` the number of other documents.
     """
     marks = written(signed(docs, shingle), "signed")
@@ -418,23 +419,26 @@ def similar_classes(
         parts = connected_components(Graph.from_edges(edges)).withColumnRenamed("id", "node")
         named = parts.join(sets.select("node", "copy_id"), "node")
         smallest = named.groupBy("component").agg(F.min("copy_id").alias("class_id"))
-        classes = written(named.select("node", "component").join(smallest, "component").select("node", "class_id"), "classes")
+        classes = written(named.select("node", "component").join(smallest, "component").select("node", F.col("component").alias("class_no"), "class_id"), "classes")
     else:
-        classes = sets.select("node", F.col("copy_id").alias("class_id")).where(F.lit(False))
+        classes = sets.select("node", F.col("node").alias("class_no"), F.col("copy_id").alias("class_id")).where(F.lit(False))
     told = (
         sets.select("first", "second", "node", "copy_id", "copies")
         .join(classes, "node", "left")
         .join(counted, "node", "left")
         .select(
-            "first", "second", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
+            "first", "second", "copy_id",
+            # a class of one set has the number of its set; components have the number of one of theirs
+            F.coalesce("class_no", "node").alias("class_no"),
+            F.when(F.col("class_no").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"),
             F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
             (F.coalesce("n_others", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         )
     )
-    shown = ["row", "doc_id", "class_id", "copy_id", "n_texts", "n_links"]
+    shown = ["row", "class_no", "doc_id", "class_id", "copy_id", "n_texts", "n_links"]
     nothing = F.lit(0).cast("long")
     alone = marks.where("size = 0").select(
-        "row", "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), nothing.alias("n_texts"), nothing.alias("n_links")
+        "row", (-1 - F.col("row")).alias("class_no"), "doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), nothing.alias("n_texts"), nothing.alias("n_links")
     )
     return full.select("row", "doc_id", "first", "second").join(told, ["first", "second"]).select(shown).unionByName(alone)
 
@@ -445,11 +449,10 @@ def one_of_each(docs: DataFrame, least: float = LEAST, recall: float = RECALL, s
     The input must be a table on disk (a plain scan), which numbers its rows alike each time.
     """
     classes = written(similar_classes(docs, least, recall, shingle), "near-copies")
-    # a class is known by the smallest id in it; texts without words are classes of their own
     names = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row"))
     alone = classes.where((F.col("n_links") == 0)).select("row")
-    kept = classes.where(F.col("n_links") > 0).groupBy("class_id").agg(
+    kept = classes.where(F.col("n_links") > 0).groupBy("class_no").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("least")
     )
     rows = alone.unionByName(kept.select(F.col("least.row").alias("row")))

@@ -99,7 +99,7 @@ def chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near copies among all documents: five-word shingles, a Jaccard index of 0.8 or more."""
     from millrace.llm.chosen_path import similar_classes
 
-    return similar_classes(table(spark, folder, "documents")).drop("row")
+    return similar_classes(table(spark, folder, "documents")).drop("row", "class_no")
 
 
 @query("op8_chain_language")

@@ -173,6 +173,18 @@ def test_near_copies_like_all_pairs(stored, copies):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, [*by_class.values(), *alone]))
 
 
+def test_one_of_each_keeps_classes_of_one_id_apart(stored, prose):
+    random = np.random.default_rng(12)
+    a, b, c, d, e = (prose(100) for _ in range(5))
+    rows = [document(None, a), document(None, near(a, 1, random)), document(None, b), document(None, b)]  # two classes without ids
+    rows += [document(7, c), document(8, c), document(7, d), document(9, near(d, 1, random)), document(None, e)]  # one id in two
+    docs = stored(rows)
+    assert shown(chosen_path.similar_classes(docs)) == linked(rows)
+    kept = [r["text"].split() for r in chosen_path.one_of_each(docs).collect()]
+    near_to = lambda words, text: len(set(words) & set(text.split())) > 60
+    assert sorted("".join(n for n, t in zip("abcde", (a, b, c, d, e)) if near_to(w, t)) for w in kept) == list("abcde")
+
+
 def test_near_copies_of_nothing(stored):
     assert chosen_path.similar_classes(stored([], parts=1)).count() == 0
     assert chosen_path.one_of_each(stored([], parts=1)).count() == 0
