@@ -106,18 +106,32 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query ids, ids, cosines) of the k nearest rows of each query, its own id left out."""
+    """(query ids, ids, cosines) of the k nearest ids of each query, its own id left out.
+
+    Rows of one id are one candidate before the cut to k: its score is the largest of its rows.
+    """
     if not len(queries) or not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     scale = lambda x: x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+    by_id = np.argsort(ids, kind="stable")
+    rows, ids = rows[by_id], ids[by_id]
+    start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    sizes = np.diff(np.append(start, len(ids)))
     table = scale(queries) @ scale(rows).T
     table[q_ids[:, None] == ids[None, :]] = -np.inf
-    if table.shape[1] > k:
-        least = np.partition(table, -k, axis=1)[:, -k][:, None]
+    tops = np.maximum.reduceat(table, start, axis=1)
+    if tops.shape[1] > k:
+        least = np.partition(tops, -k, axis=1)[:, -k][:, None]
     else:
-        least = np.full((len(table), 1), -2.0)
-    q, r = np.nonzero((table >= least - SLACK) & (table > -np.inf))
+        least = np.full((len(tops), 1), -2.0)
+    # of each id that may be among the k, the rows that may have its largest score
+    floor = np.where((tops >= least - SLACK) & (tops > -np.inf), tops - SLACK, np.inf)
+    q, r = np.nonzero(table >= np.repeat(floor, sizes, axis=1))
     exact = cosines(queries[q], rows[r])
+    order = np.lexsort((-exact, ids[r], q))
+    q, r, exact = q[order], r[order], exact[order]
+    fresh = np.concatenate([[True], (np.diff(q) != 0) | (np.diff(ids[r]) != 0)])[: len(q)]
+    q, r, exact = q[fresh], r[fresh], exact[fresh]
     order = np.lexsort((ids[r], -exact, q))
     q, r, exact = q[order], r[order], exact[order]
     first = np.searchsorted(q, np.arange(len(queries)))

@@ -85,6 +85,22 @@ def test_blocks_and_fallback_are_exact(stored):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == {(q, k + 1, i) for q, w in truth.items() for k, (i, _) in enumerate(w)}
 
 
+def test_an_id_on_many_rows_takes_one_place(stored):
+    random = np.random.default_rng(6)
+    rows = [(i, random.normal(size=16).tolist(), 0) for i in range(60)]
+    for q in (0, 50):  # an id on more than k rows beside each query
+        rows += [(1000 + q, (np.array(rows[q][1]) + random.normal(size=16) / 50).tolist(), 0) for _ in range(20)]
+        rows += [(2000 + q, rows[q][1], 0)] * 9
+    one = np.array([v for _, v, _ in rows]), np.array([i for i, _, _ in rows])
+    for q in (0, 50):
+        _, near_ids, scores = neighbours.best(one[0][q : q + 1], one[1][q : q + 1], *one, 5)
+        assert len(set(near_ids.tolist())) == 5 and near_ids.tolist()[:2] == [2000 + q, 1000 + q]
+        assert near_ids.tolist() == [i for i, _ in exact([(i, v, 0) for i, v in zip(one[1].tolist(), one[0].tolist())])[q]]
+    truth = exact(rows)
+    got = neighbours.neighbours(stored(rows, VECTOR), F.col("id") % 50 == 0, recall=1.0).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, n + 1, i) for q, w in truth.items() for n, (i, _) in enumerate(w)}
+
+
 def test_few_or_no_vectors(stored):
     ask = F.col("id") % 50 == 0
     assert neighbours.neighbours(stored([], VECTOR, parts=1), ask).count() == 0
