@@ -30,6 +30,7 @@ from millrace.llm.arrays import list_parts
 
 TABLES, SAMPLE, RECALL, LONG_BUCKET = 8, 128, 0.96, 1 << 16
 BLOCK_ROWS, LEAST_BLOCK, MOST_BROADCAST = 16_384, 512, 500_000
+CELLS, GATHERED = 1 << 20, 1 << 21  # at once: pairs of a query and a row, components of vectors scored exactly
 SLACK = 1e-9
 ALL = -1  # the table in which everything is in one bucket
 
@@ -117,26 +118,35 @@ def best(queries: np.ndarray, q_ids: np.ndarray, rows: np.ndarray, ids: np.ndarr
     rows, ids = rows[by_id], ids[by_id]
     start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     sizes = np.diff(np.append(start, len(ids)))
-    table = scale(queries) @ scale(rows).T
-    table[q_ids[:, None] == ids[None, :]] = -np.inf
-    tops = np.maximum.reduceat(table, start, axis=1)
-    if tops.shape[1] > k:
-        least = np.partition(tops, -k, axis=1)[:, -k][:, None]
-    else:
-        least = np.full((len(tops), 1), -2.0)
-    # of each id that may be among the k, the rows that may have its largest score
-    floor = np.where((tops >= least - SLACK) & (tops > -np.inf), tops - SLACK, np.inf)
-    q, r = np.nonzero(table >= np.repeat(floor, sizes, axis=1))
-    exact = cosines(queries[q], rows[r])
-    order = np.lexsort((-exact, ids[r], q))
-    q, r, exact = q[order], r[order], exact[order]
-    fresh = np.concatenate([[True], (np.diff(q) != 0) | (np.diff(ids[r]) != 0)])[: len(q)]
-    q, r, exact = q[fresh], r[fresh], exact[fresh]
-    order = np.lexsort((ids[r], -exact, q))
-    q, r, exact = q[order], r[order], exact[order]
-    first = np.searchsorted(q, np.arange(len(queries)))
-    kept = np.arange(len(q)) - first[q] < k
-    return q_ids[q[kept]], ids[r[kept]], exact[kept]
+    unit, units = scale(queries), scale(rows)
+    step, some = max(1, CELLS // len(rows)), max(1, GATHERED // rows.shape[1])
+    out = []
+    for at in range(0, len(queries), step):
+        table = unit[at : at + step] @ units.T
+        names = q_ids[at : at + step]
+        table[names[:, None] == ids[None, :]] = -np.inf
+        tops = np.maximum.reduceat(table, start, axis=1)
+        if tops.shape[1] > k:
+            least = np.partition(tops, -k, axis=1)[:, -k][:, None]
+        else:
+            least = np.full((len(tops), 1), -2.0)
+        # of each id that may be among the k, the rows that may have its largest score
+        floor = np.where((tops >= least - SLACK) & (tops > -np.inf), tops - SLACK, np.inf)
+        q, r = np.nonzero(table >= np.repeat(floor, sizes, axis=1))
+        # ties may be as many as there are pairs: vectors are gathered for some of them at a time
+        exact = np.empty(len(q))
+        for p in range(0, len(q), some):
+            exact[p : p + some] = cosines(queries[at + q[p : p + some]], rows[r[p : p + some]])
+        order = np.lexsort((-exact, ids[r], q))
+        q, r, exact = q[order], r[order], exact[order]
+        fresh = np.concatenate([[True], (np.diff(q) != 0) | (np.diff(ids[r]) != 0)])[: len(q)]
+        q, r, exact = q[fresh], r[fresh], exact[fresh]
+        order = np.lexsort((ids[r], -exact, q))
+        q, r, exact = q[order], r[order], exact[order]
+        first = np.searchsorted(q, np.arange(len(names)))
+        kept = np.arange(len(q)) - first[q] < k
+        out.append((names[q[kept]], ids[r[kept]], exact[kept]))
+    return tuple(np.concatenate(c) for c in zip(*out))
 
 
 def _frame(columns: list, names: list[str]) -> pa.RecordBatch:

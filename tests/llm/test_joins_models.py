@@ -3,6 +3,7 @@
 import collections
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -101,6 +102,17 @@ def test_an_id_on_many_rows_takes_one_place(stored):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, n + 1, i) for q, w in truth.items() for n, (i, _) in enumerate(w)}
 
 
+def test_ties_are_scored_in_bounded_memory():
+    same, ids = np.ones((4000, 32)), np.arange(4000)
+    tracemalloc.start()
+    q, near_ids, scores = neighbours.best(same[:500], ids[:500], same, ids, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6  # all 2 million tied pairs at once are 512 MB for one side
+    assert len(np.unique(scores)) == 1 and (np.bincount(q) == 5).all()
+    assert near_ids.reshape(-1, 5).tolist() == [[i for i in range(6) if i != n][:5] for n in range(500)]
+
+
 def test_few_or_no_vectors(stored):
     ask = F.col("id") % 50 == 0
     assert neighbours.neighbours(stored([], VECTOR, parts=1), ask).count() == 0
