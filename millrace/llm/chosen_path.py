@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from millrace.graph.frame import Graph
 from millrace.graph.loops import connected_components
 from millrace.llm.arrays import coded, give_back, hashes, mixed, ngram_hashes, sliced, spread, texts_of, words_of
-from millrace.scratch import written
+from millrace.scratch import numbered, written
 
 SHINGLE, LEAST, RECALL = 5, 0.8, 0.999999
 WIDTH, BRANCH, LEAF = 64, 2, 128
@@ -99,11 +99,8 @@ def _long(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(row, doc_id, first, second, size, sample): a fingerprint and the sampled tokens of every document's set.
-
-    ``row`` numbers the rows of the input.
-    """
+def signed(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(row, doc_id, first, second, size, sample): a fingerprint and the sampled tokens of every document's set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -125,9 +122,8 @@ def signed(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     ["row", "doc_id", "first", "second", "size", "sample"],
                 )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.mapInArrow(sign, f"row long, doc_id {kind}, first long, second long, size long, sample binary")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("row", "doc_id", "text").mapInArrow(sign, f"row long, doc_id {kind}, first long, second long, size long, sample binary")
 
 
 def chosen(keys: np.ndarray, used: np.ndarray, branch: int) -> np.ndarray:
@@ -357,7 +353,7 @@ def compared(dealt: DataFrame, least: float) -> DataFrame:
     return ordered.mapInArrow(run, LINK)
 
 
-def items_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+def items_of(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(node, items) of the sets ``wanted`` (row, node): the text of one document of each is read again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,21 +365,28 @@ def items_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 lists = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int32)), raw])
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "items"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
     few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-    return rows.join(few, "row").select("node", "text").mapInArrow(run, "node long, items binary")
+    return rows.select("row", "text").join(few, "row").select("node", "text").mapInArrow(run, "node long, items binary")
 
 
 def similar_classes(
     docs: DataFrame, least: float = LEAST, recall: float = RECALL, shingle: int = SHINGLE, leaf: int = LEAF
 ) -> DataFrame:
-    """One row for each document, by row number: row, class_no, doc_id, class_id, copy_id, n_texts, n_links.
+    """One row for each document, by number: row, class_no, doc_id, class_id, copy_id, n_texts, n_links.
 
     ``class_no`` numbers the classes, never null: ids may be null or repeated, so that two classes can have one
     ``class_id``. ``copy_id`` is the smallest id with the same set, ``class_id`` the smallest id of the linked documents,
     ``n_texts`` the number of other sets at least ``least`` alike, ``n_links`` the number of other documents.
     """
-    marks = written(signed(docs, shingle), "signed")
+    return classes_of(numbered(docs.select("doc_id", "text")), least, recall, shingle, leaf)
+
+
+def classes_of(
+    table: DataFrame, least: float = LEAST, recall: float = RECALL, shingle: int = SHINGLE, leaf: int = LEAF
+) -> DataFrame:
+    """:func:`similar_classes` of a table of :func:`numbered`."""
+    rows = table.select("row", "doc.doc_id", "doc.text")
+    marks = written(signed(rows, shingle), "signed")
     full = marks.where("size > 0")
     sets = full.groupBy("first", "second").agg(
         F.min("row").alias("row"),
@@ -410,7 +413,7 @@ def similar_classes(
     dealt = in_blocks(leaves.join(short, "node"), leaf)
     kept = written(with_partners(dealt, least), "partners")
     wanted = kept.select("node").distinct().join(sets.select("node", "row"), "node")
-    items = items_of(docs, wanted, shingle)
+    items = items_of(rows, wanted, shingle)
     again = in_blocks(leaves.join(short, "node"), leaf).join(kept, [*GROUP, "node"])
     links = written(compared(again.join(items, "node"), least), "links")
     counted = links.groupBy("node").agg(F.sum("texts").alias("n_texts"), F.sum("documents").alias("n_others"))
@@ -444,13 +447,9 @@ def similar_classes(
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST, recall: float = RECALL, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each class of near copies: the one with the smallest id, all columns kept.
-
-    The input must be a table on disk (a plain scan), which numbers its rows alike each time.
-    """
-    classes = written(similar_classes(docs, least, recall, shingle), "near-copies")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    """``docs`` with one row of each class of near copies: the one with the smallest id, all columns kept."""
+    marked = numbered(docs)
+    classes = written(classes_of(marked, least, recall, shingle), "near-copies")
     alone = classes.where((F.col("n_links") == 0)).select("row")
     kept = classes.where(F.col("n_links") > 0).groupBy("class_no").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("least")

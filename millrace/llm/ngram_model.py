@@ -20,7 +20,7 @@ probabilities after it still sum to one.
 
 Null texts are empty: one end token. A null id is never held out. Every row is a text of its own whatever its
 id. Without any training text all words are unknown. An empty table gives no rows; other columns are ignored.
-The input must be a table on disk (a plain scan), which deals its rows into the same chunks each time.
+Chunks are written once and read by every pass.
 """
 
 from __future__ import annotations
@@ -342,7 +342,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scores(docs: DataFrame, is_held_out: Column) -> DataFrame:
     """One row for each text: token counts, the unigram score and the model's score (log10)."""
-    rows = chunks(docs, is_held_out)
+    rows = written(chunks(docs, is_held_out), "chunks")
     listed = words_in(rows)
     ids, known = vocabulary(listed)
     numbers = listed.select("hash", "chunk", "at").join(ids, "hash").select("chunk", "at", "id")

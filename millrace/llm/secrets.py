@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.scratch import written
+from millrace.scratch import numbered, written
 
 MARK, INNER, OTHER = "\x01", "\x02", "\x03"
 KEY = r"(?i:password|passwd|secret|token|api_?key)"
@@ -82,16 +82,18 @@ def _kept(kind: Column, value: Column) -> Column:
     return said
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """(row, doc_id, kind, start, end, value) of all strong and weak matches, written once.
 
-    A document without any has one row with null kind. ``row`` numbers the documents.
+    A document without any has one row with null kind. ``row`` numbers the documents (as given, if they
+    are to be joined to the spans again).
     """
     text = F.coalesce("text", F.lit(""))
     clean = F.when(
         text.contains(MARK) | text.contains(INNER), F.translate(text, MARK + INNER, OTHER + OTHER)
     ).otherwise(text)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", clean.alias("text"))
+    number = F.monotonically_increasing_id() if row is None else row
+    rows = docs.select(number.alias("row"), "doc_id", clean.alias("text"))
     both = [_segments(k, pattern, F.col("text")) for k, (_, _, _, pattern) in enumerate(KINDS)]
     split = rows.select("row", "doc_id", *[parts for parts, _ in both])
     parts = split.select("row", "doc_id", F.explode_outer(F.concat(*[listed for _, listed in both])).alias("part"))
@@ -164,9 +166,9 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     return seen.where(~F.col("inside") & complete).select("row", "kind", "start")
 
 
-def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def secret_spans(docs: DataFrame, scope: int = SCOPE, row: Column | None = None) -> DataFrame:
     """All reported spans (row, doc_id, kind, start, end, value); documents without any keep one row of nulls."""
-    spans = candidates(docs)
+    spans = candidates(docs, row)
     confirmed = linked(spans, scope).withColumn("confirmed", F.lit(True))
     weak = F.col("kind").isNotNull() & ~_is("kind", STRONG)
     checked = spans.join(confirmed, ["row", "kind", "start"], "left")
@@ -195,12 +197,10 @@ def secret_digest(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def masked(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span, overlapping ones merged, replaced by ``mask``; n_chars follows the text.
 
-    Other rows and columns stay as they are. The document's own number joins the spans to it, so that the
-    input must be a table on disk (a plain scan), which numbers its rows alike each time.
+    Other rows and columns stay as they are. The document's own number joins the spans to it.
     """
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    spans = secret_spans(docs, scope).where("kind is not null")
+    rows = numbered(docs)
+    spans = secret_spans(rows.select("row", "doc.doc_id", "doc.text"), scope, F.col("row")).where("kind is not null")
     furthest = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.when(F.col("start") > F.coalesce(F.max("end").over(furthest), F.lit(-1)), 1).otherwise(0)
     runs = spans.withColumn("_new", fresh).withColumn(

@@ -72,6 +72,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """(row, doc): the rows of ``df`` as structs with a number each, written once.
+
+    Passes that join on the number must all read this table: a scan may be split otherwise the next time.
+    """
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return written(df.select(F.monotonically_increasing_id().alias("row"), F.struct(*names).alias("doc")), "numbered")
+
+
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """As :func:`written`, hashed on ``key`` into as many sorted buckets as a shuffle has partitions.
 

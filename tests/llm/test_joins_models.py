@@ -1,6 +1,7 @@
 """Neighbours, near copies and the n-gram model against brute force."""
 
 import collections
+import itertools
 import math
 import re
 import tracemalloc
@@ -12,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import chosen_path, neighbours, ngram_model
+from millrace import scratch
+from millrace.llm import chosen_path, neighbours, ngram_model, secrets
 from millrace.llm.elias_fano import Monotone, Trie, quantised
 
 from .conftest import document
@@ -213,6 +215,34 @@ def test_one_of_each_keeps_classes_of_one_id_apart(stored, prose):
     assert sorted("".join(n for n, t in zip("abcde", (a, b, c, d, e)) if near_to(w, t)) for w in kept) == list("abcde")
 
 
+def test_numbers_do_not_hang_on_splits(spark, stored, prose, monkeypatch):
+    """As with executors that come or go, each write is followed by scans that are split in another way."""
+    random = np.random.default_rng(13)
+    texts = [prose(60) for _ in range(40)]
+    rows = [document(i, t + f" password = hunter{i}secret") for i, t in enumerate(texts)]
+    rows += [document(100 + i, near(t, 1, random)) for i, t in enumerate(texts)]
+    docs = stored(rows)
+    bag = lambda frame: sorted(map(str, frame.collect()))
+    ask = ngram_model.is_held_out(F.col("doc_id"))
+    hidden, rated = bag(secrets.masked(docs)), bag(ngram_model.scores(docs, ask).select("doc_id", "n_known", F.round("base_score", 6)))
+    name, sizes = "spark.sql.files.maxPartitionBytes", itertools.cycle(["1k", "128m"])
+    before, real = spark.conf.get(name), scratch.written
+
+    def turning(df, label):
+        out = real(df, label)
+        spark.conf.set(name, next(sizes))
+        return out
+
+    for module in (scratch, chosen_path, secrets, ngram_model):
+        monkeypatch.setattr(module, "written", turning)
+    try:
+        assert shown(chosen_path.similar_classes(docs)) == linked(rows)
+        assert bag(secrets.masked(docs)) == hidden
+        assert bag(ngram_model.scores(docs, ask).select("doc_id", "n_known", F.round("base_score", 6))) == rated
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_near_copies_of_nothing(stored):
     assert chosen_path.similar_classes(stored([], parts=1)).count() == 0
     assert chosen_path.one_of_each(stored([], parts=1)).count() == 0
