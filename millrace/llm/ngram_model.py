@@ -11,12 +11,15 @@ Nothing of the corpus is gathered in one place:
   number on a word has which count), of which there are at most sqrt(2 N);
 * a chunk of texts gets the numbers of its own words by a join with the vocabulary, and sends its pairs of
   words to the shards of their contexts, packed, each pair once with the documents that hold it;
-* a shard counts the training pairs, writes their trie (a file of compact levels) to the shared folder, maps it
-  into memory, looks all pairs up in it and sends sums for each document back.
+* a shard counts the training pairs and writes them down in order; counts of counts of all shards give the
+  discounts;
+* the shard then writes its trie (a file of compact levels) to the shared folder, maps it into memory, looks all
+  pairs up in it and sends sums for each document back.
 
-The number of shards follows the number of tokens. A context that holds a large part of all tokens is cut by
-the number of the word into ``PARTS`` contexts, each with the share of unigram mass that its words have, so that
-probabilities after it still sum to one.
+The number of shards follows the number of tokens. A context that holds a large part of all tokens is *heavy*:
+it is cut by the number of the word into ``PARTS`` contexts, which lie in several shards. There are at most
+``HEAVY`` times as many heavy contexts as shards; the discount mass of each is summed over its parts and told to
+all tasks, so that neither cuts nor shards change a probability (a shard's codebooks round it).
 
 Null texts are empty: one end token. A null id is never held out. Every row is a text of its own whatever its
 id. Without any training text all words are unknown. An empty table gives no rows; other columns are ignored.
@@ -138,7 +141,7 @@ class Counts:
     tokens: int
     words: int
     heavy: int  # words with a smaller number are cut as contexts
-    share: np.ndarray  # of unigram mass, for each of PARTS
+    share: np.ndarray  # of unigram mass, for each of PARTS; not used by the model
     shards: int
 
     def of(self, ids: np.ndarray) -> np.ndarray:
@@ -187,10 +190,7 @@ def vocabulary(listed: DataFrame) -> tuple[DataFrame, Counts]:
     shards = max(1, -(-tokens // SHARD_TOKENS))
     # as many words can be heavy as there are shards, a few times over
     heavy = int(many[count * shards * HEAVY > tokens].sum())
-    mass = {r["p"]: r["m"] for r in ids.groupBy((F.col("id") % PARTS).alias("p")).agg(F.sum(F.col("n") + 1).alias("m")).collect()}
-    share = np.array([mass.get(p, 0) for p in range(PARTS)], np.float64)
-    share[0] += 1  # unknown words
-    known = Counts(np.cumsum(many) - many, count, tokens, total, heavy, share / (tokens + total + 1), shards)
+    known = Counts(np.cumsum(many) - many, count, tokens, total, heavy, np.zeros(0), shards)
     return ids.select("hash", "id"), known
 
 
@@ -221,16 +221,24 @@ def pairs_sent(rows: DataFrame, numbers: DataFrame, known: Counts) -> DataFrame:
         out = [(-1 - chunk, chunk, packed(listed.astype(np.int64).view(np.uint64), null, held, sizes, seen, base, own))]
         word, doc = word[~alone], doc[~alone]
         context = known.context(before[~alone].astype(np.int64), word)
-        shard = (mixed(context) % np.uint64(known.shards)).astype(np.int32)
+        shard = np.empty(len(context), np.int32)
+        for a in range(0, len(context), 1 << 18):
+            shard[a : a + (1 << 18)] = mixed(context[a : a + (1 << 18)]) % np.uint64(known.shards)
         del before, alone
         order = np.lexsort((doc, word, context, shard))
-        context, word, doc, shard = context[order], word[order], doc[order], shard[order]
+        context = context[order]
+        word = word[order]
+        doc = doc[order]
+        shard = shard[order]
         del order
         fresh = np.ones(len(doc), bool)
         fresh[1:] = (np.diff(doc) != 0) | (np.diff(word) != 0) | (np.diff(context) != 0)
         at = np.flatnonzero(fresh)
         times = np.diff(np.append(at, len(doc)))
-        context, word, doc, shard = context[at], word[at], doc[at], shard[at]
+        context = context[at]
+        word = word[at]
+        doc = doc[at]
+        shard = shard[at]
         edges = np.flatnonzero(np.diff(shard)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)]):
             if b > a:
@@ -252,8 +260,12 @@ def pairs_sent(rows: DataFrame, numbers: DataFrame, known: Counts) -> DataFrame:
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts of pairs seen once, twice, more often, from counts of counts."""
-    n = [float((counts == k).sum()) for k in range(1, 5)]
+    """Modified Kneser-Ney discounts of pairs seen once, twice, more often, from the counts of pairs."""
+    return discounts_of([float((counts == k).sum()) for k in range(1, 5)])
+
+
+def discounts_of(n: list[float]) -> np.ndarray:
+    """As :func:`discounts`, from the numbers of pairs seen once to four times."""
     if min(n[:2]) == 0:
         return np.array([0.5, 0.75, 0.9])
     y = n[0] / (n[0] + 2 * n[1])
@@ -261,17 +273,50 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return np.clip(raw, [0.05, 0.1, 0.1], [0.98, 1.9, 2.9])
 
 
-def trie_of(context: np.ndarray, word: np.ndarray, count: np.ndarray, known: Counts) -> bytes:
-    """The trie of sorted training pairs; probabilities are those of the interpolated model."""
-    cut = discounts(count)[np.minimum(count, 3) - 1]
+@dataclass(frozen=True)
+class Model:
+    """What tasks know of the pairs of all shards: discounts, and the back-off weight of each heavy word."""
+
+    cut: np.ndarray
+    weight: np.ndarray
+
+
+def tallied(context: np.ndarray, count: np.ndarray, known: Counts) -> np.ndarray:
+    """Rows (word, n1, n2, n3, n4): pairs of a count of 1 to 4 in all (word -1); pairs of heavy words, n3 with all above."""
+    word = context // PARTS
+    own = word < known.heavy
+    kinds = np.bincount(word[own] * 3 + np.minimum(count[own], 3) - 1, minlength=3 * known.heavy).reshape(-1, 3)
+    at = np.flatnonzero(kinds.any(axis=1))
+    rows = np.zeros((len(at) + 1, 5), np.int64)
+    rows[0] = [-1, *[(count == k).sum() for k in range(1, 5)]]
+    rows[1:, 0], rows[1:, 1:4] = at, kinds[at]
+    return rows
+
+
+def model_of(tallies: list[tuple], known: Counts) -> Model:
+    """The model from the sums of :func:`tallied` over all shards."""
+    sums = {int(t[0]): [float(x) for x in t[1:]] for t in tallies}
+    cut = discounts_of(sums.get(-1, [0.0] * 4))
+    kinds = np.array([sums.get(w, [0.0] * 4)[:3] for w in range(known.heavy)]).reshape(-1, 3)
+    return Model(cut, kinds @ cut / np.maximum(known.of(np.arange(known.heavy)), 1))
+
+
+def trie_of(context: np.ndarray, word: np.ndarray, count: np.ndarray, known: Counts, model: Model | None = None) -> bytes:
+    """The trie of sorted training pairs; probabilities are those of the interpolated model.
+
+    Without a model the pairs are all there are.
+    """
+    model = model_of(tallied(context, count, known).tolist(), known) if model is None else model
+    cut = model.cut[np.minimum(count, 3) - 1]
     head = np.flatnonzero(np.concatenate([[True], np.diff(context) != 0])) if len(context) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(head, len(context)))
-    keys = context[head]
-    total = known.of(keys // PARTS).astype(np.float64)
-    share = np.where(keys // PARTS < known.heavy, known.share[keys % PARTS], 1.0)
-    weight = (np.add.reduceat(cut, head) if len(head) else np.zeros(0)) / total / share
+    before = context[head] // PARTS
+    total = known.of(before).astype(np.float64)
+    weight = (np.add.reduceat(cut, head) if len(head) else np.zeros(0)) / total
+    heavy = before < known.heavy
+    weight[heavy] = model.weight[before[heavy]]
     probability = (count - cut) / np.repeat(total, sizes) + np.repeat(weight, sizes) * known.unigram(word)
-    return Trie.build(keys, sizes, word, np.log10(probability), np.log10(weight))
+    return Trie.build(context[head], sizes, word, np.log10(probability), np.log10(weight))
 
 
 def mapped(uri: str) -> np.ndarray:
@@ -283,58 +328,121 @@ def mapped(uri: str) -> np.ndarray:
         return np.frombuffer(file.read(), np.uint8)
 
 
-RETURNED = "chunk long, kind int, data binary"
+COUNTED = "shard long, chunk long, data binary, tally binary"
 
 
-def shards_scored(sent: DataFrame, known: Counts, folder: str) -> DataFrame:
-    """Learn and answer: a trie for each shard in ``folder``, and sums for the documents of each chunk."""
+def shards_counted(sent: DataFrame, known: Counts) -> DataFrame:
+    """A row for each shard: its pairs in order with their training counts and documents, and their tally."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         if shard < 0:
-            return pd.DataFrame({"chunk": rows["chunk"], "kind": 0, "data": rows["data"]})
+            return rows.assign(tally=None)
         context, word, doc, times, learned, chunk = [], [], [], [], [], []
-        listed = rows["chunk"].to_list()
+        listed = rows["chunk"].to_numpy()
         for k, blob in enumerate(rows["data"]):
             keys, sizes, words, docs, of, n, held = unpacked(blob)
             context.append(np.repeat(np.repeat(np.cumsum(keys, dtype=np.int64), sizes), docs))
-            word.append(np.repeat(words.astype(np.int64) - 1, docs))
+            word.append(np.repeat(words - 1, docs).astype(np.int32 if known.words < 1 << 31 else np.int64))
             doc.append(of)
             times.append(n)
             learned.append(held[of] == 0)
-            chunk.append(np.full(len(of), k, np.int32))
-        context, word, doc, times, learned, chunk = map(np.concatenate, (context, word, doc, times, learned, chunk))
+            chunk.append(np.full(len(of), k, np.int16 if len(listed) < 1 << 15 else np.int32))
+        # one column at a time: old and new rows of all of them would not fit beside each other
+        context = np.concatenate(context)
+        word = np.concatenate(word)
         order = np.lexsort((word, context))
-        context, word = context[order], word[order]
-        fresh = np.concatenate([[True], (np.diff(context) != 0) | (np.diff(word) != 0)])
-        pair = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
-        pair[order] = np.cumsum(fresh) - 1
-        c, w = context[fresh], word[fresh]
-        del order, context, word
-        count = np.bincount(pair, times * learned, len(c)).astype(np.int64)
+        context = context[order]
+        word = word[order]
+        doc = np.concatenate(doc)[order]
+        times = np.concatenate(times)[order]
+        learned = np.concatenate(learned)[order]
+        chunk = np.concatenate(chunk)[order]
+        del order
+        at = np.flatnonzero(np.concatenate([[True], (np.diff(context) != 0) | (np.diff(word) != 0)]))
+        count = np.add.reduceat(times * learned, at).astype(np.int64)
+        c, w = context[at], word[at].astype(np.int64)
+        docs = np.diff(np.append(at, len(context)))
+        del context, word, learned
+        head = np.flatnonzero(np.concatenate([[True], np.diff(c) != 0]))
+        tally = tallied(c[count > 0], count[count > 0], known)
+        blob = packed(
+            listed.view(np.uint64), np.diff(c[head], prepend=0), np.diff(np.append(head, len(c))), w + 1, count, docs, doc, times, chunk
+        )
+        del c, w, count, docs, doc, times, chunk
+        give_back()
+        return pd.DataFrame({"shard": [shard], "chunk": [-1], "data": [blob], "tally": [tally.astype("<i8").tobytes()]})
+
+    return sent.groupBy("shard").applyInPandas(run, COUNTED)
+
+
+def tallies(counted: DataFrame) -> list[tuple]:
+    """The tallies of all shards, added up: one row for all pairs, one for each heavy word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                rows = np.frombuffer(blob, "<i8").reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T.copy()], ["word", "n1", "n2", "n3", "n4"])
+
+    listed = counted.where("shard >= 0").select("tally").mapInArrow(run, "word long, n1 long, n2 long, n3 long, n4 long")
+    names = ["n1", "n2", "n3", "n4"]
+    return [tuple(r) for r in listed.groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).collect()]
+
+
+RETURNED = "chunk long, kind int, data binary"
+
+
+def shards_scored(counted: DataFrame, known: Counts, model: Model, folder: str) -> DataFrame:
+    """Learn and answer: a trie for each shard in ``folder``, and sums for the documents of each chunk."""
+
+    def answered(shard: int, data: bytes) -> pa.RecordBatch:
+        listed, keys, sizes, words, count, docs, doc, times, chunk = unpacked(data)
+        c, w = np.repeat(np.cumsum(keys, dtype=np.int64), sizes), words.astype(np.int64) - 1
+        count = count.astype(np.int64)
         seen = count > 0
-        data = trie_of(c[seen], w[seen], count[seen], known)
+        trie = trie_of(c[seen], w[seen], count[seen], known, model)
         fs, inner = opened(folder)
         fs.create_dir(inner, recursive=True)
         name = f"trie-{shard:08d}-{uuid.uuid4().hex}.eft"
         with fs.open_output_stream(f"{inner}/{name}", compression=None) as file:
-            file.write(data)
+            file.write(trie)
+        del trie
         there, log, weight = Trie.over(mapped(f"{folder}/{name}")).find(c, w)
+        heavy = c // PARTS < known.heavy
+        # a part without a training pair is no context of the trie, but its word is
+        weight[heavy] = np.log10(model.weight[c[heavy] // PARTS])
         unigram = np.log10(known.unigram(w))
         score = np.where(there, log, np.where(np.isnan(weight), unigram, weight + unigram))
-        of_row = times * score[pair]
+        of_row = times * np.repeat(score, docs)
+        del there, log, weight, unigram, score, c, w, heavy, seen
+        order = np.argsort(chunk, kind="stable")
+        doc, of_row = doc[order], of_row[order]
+        edges = np.searchsorted(chunk[order], np.arange(len(listed) + 1))
         out = []
-        edges = np.searchsorted(chunk, np.arange(len(listed) + 1))
         for k in range(len(listed)):
             mine = slice(edges[k], edges[k + 1])
             sums = np.bincount(doc[mine], of_row[mine]).astype(np.float64)
             held_by = np.flatnonzero(np.bincount(doc[mine]))
-            out.append((listed[k], 1, packed(held_by, sums[held_by])))
-        del doc, times, learned, chunk, pair, of_row, score, c, w
-        give_back()
-        return pd.DataFrame(out, columns=["chunk", "kind", "data"])
+            out.append(packed(held_by, sums[held_by]))
+        return _returned(listed, 1, pa.array(out, pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, chunk = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if shard < 0:
+                    yield _returned(np.array([chunk]), 0, batch.column(2).slice(k, 1))
+                else:
+                    yield answered(shard, batch.column(2)[k].as_py())
+                    give_back()
+
+    return counted.select("shard", "chunk", "data").mapInArrow(run, RETURNED)
+
 
-    return sent.groupBy("shard").applyInPandas(run, RETURNED)
+def _returned(chunks_: np.ndarray, kind: int, data: pa.Array) -> pa.RecordBatch:
+    kinds = np.full(len(chunks_), kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(chunks_.astype(np.int64)), pa.array(kinds), data], ["chunk", "kind", "data"])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -347,7 +455,9 @@ def scores(docs: DataFrame, is_held_out: Column) -> DataFrame:
     ids, known = vocabulary(listed)
     numbers = listed.select("hash", "chunk", "at").join(ids, "hash").select("chunk", "at", "id")
     sent = pairs_sent(rows, numbers, known)
-    back = shards_scored(sent, known, new_path(docs.sparkSession, "tries"))
+    counted = written(shards_counted(sent, known), "pairs")
+    model = model_of(tallies(counted), known)
+    back = shards_scored(counted, known, model, new_path(docs.sparkSession, "tries"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["kind"] == 0]["data"].iloc[0]

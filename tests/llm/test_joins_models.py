@@ -357,6 +357,21 @@ def test_probabilities_sum_to_one():
     assert abs(p.sum() - 1) < 0.02
 
 
+def test_cuts_and_shards_change_no_score(stored, prose, monkeypatch):
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    taught = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    # "always" is heavy and has one successor in training, others in held-out texts
+    rows = [document(i, "always next " + prose(20)) for i in taught[:300]]
+    rows += [document(i, f"always {prose(1)}") for i in held[:60]]
+    docs = stored(rows)
+    wanted = {w[0]: w for w in model_by_hand(rows, True)}
+    for tokens in (2_000_000, 1500, 400):
+        monkeypatch.setattr(ngram_model, "SHARD_TOKENS", tokens)
+        for g in ngram_model.scores(docs, ngram_model.is_held_out(F.col("doc_id"))).collect():
+            # codebooks round by a 256th of their range
+            assert abs(g["score"] - wanted[g["doc_id"]][6]) <= 0.02 * g["n_tokens"], (tokens, g)
+
+
 def test_no_training_text_and_empty_table(stored):
     held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     docs = stored([document(i, "one two") for i in held])
