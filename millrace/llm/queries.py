@@ -118,3 +118,11 @@ def ngram_trie(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.ngram_model import is_held_out, scores
 
     return scores(table(spark, folder, "documents"), is_held_out(F.col("doc_id")))
+
+
+@query("op11_dialogue_repair")
+def dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    from millrace.llm.dialogue import damaged_and_repaired
+
+    return damaged_and_repaired(table(spark, folder, "conversations"))
