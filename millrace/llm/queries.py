@@ -126,3 +126,11 @@ def dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.dialogue import damaged_and_repaired
 
     return damaged_and_repaired(table(spark, folder, "conversations"))
+
+
+@query("op13_suffix_automata")
+def suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without passages of 13 or more words that an earlier one holds."""
+    from millrace.llm.repeats import repeats_digest
+
+    return repeats_digest(table(spark, folder, "documents"))
