@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -388,15 +389,16 @@ class Automaton:
         words = {w: k for k, w in enumerate(found.pop("words").to_pylist())}
         return Automaton(words, **{c: v.to_numpy() for c, v in found.items()})
 
-    def table(self) -> tuple[dict[int, int], list[int], list[int]]:
-        """(target of state and word, lengths, links) for a walk."""
+    @cached_property
+    def table(self) -> tuple[dict[int, int], list[int], list[int], list[int]]:
+        """(target of state and word, lengths, links, least ids) for walks."""
         keys = self.source * max(len(self.words), 1) + self.word
-        return dict(zip(keys.tolist(), self.target.tolist())), self.length.tolist(), self.link.tolist()
+        return dict(zip(keys.tolist(), self.target.tolist())), self.length.tolist(), self.link.tolist(), self.least_id.tolist()
 
     def matches(self, texts: list[str], ids: list[int], least: int) -> list[list[tuple[int, int]]]:
         """Spans of words of each text under windows of ``least`` words that a passage with a smaller id holds."""
-        step, length, link = self.table()
-        size, known, least_id, out = max(len(self.words), 1), self.words, self.least_id.tolist(), []
+        step, length, link, least_id = self.table
+        size, known, out = max(len(self.words), 1), self.words, []
         for text, own in zip(texts, ids):
             state = matched = 0
             spans: list[tuple[int, int]] = []
