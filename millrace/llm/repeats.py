@@ -103,8 +103,13 @@ class Chunk:
         self.at = spread(counts, self.offsets[:-1])
         self.document = np.repeat(np.arange(len(counts)), counts)
 
-    def sums(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        word = hashes(self.names, seed)[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
+    @cached_property
+    def word_hashes(self) -> np.ndarray:
+        return hashes(self.names)
+
+    def sums(self, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """(running sums of the words' hashes times rising powers, the inverse powers); ``turn`` gives other hashes."""
+        word = mixed(self.word_hashes + np.uint64(turn))[self.codes]
         power = np.full(len(word) + 1, BASE)
         power[:1] = 1
         back = np.full(len(word) + 1, BACK)
@@ -155,8 +160,12 @@ class Chunk:
         place[order] = np.cumsum(new) - 1
         return h[new], g[new], place
 
-    def text(self, begin: int, end: int) -> str:
-        return " ".join(self.names.take(pa.array(self.codes[begin:end])).to_pylist())
+    def texts(self, spans: list[tuple[int, int, int, int]]) -> list[str]:
+        """The words of each span, joined by one space."""
+        begin, end = np.array([s[2] for s in spans], np.int64), np.array([s[3] for s in spans], np.int64)
+        words = self.names.take(pa.array(self.codes[spread(end - begin, begin)]))
+        cuts = np.concatenate([[0], np.cumsum(end - begin)])
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), words), " ").to_pylist()
 
     def runs(self, window: np.ndarray, label: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(label, document, begin, end): words under unbroken runs of windows of one document and label."""
@@ -314,11 +323,12 @@ def passages(keys: DataFrame, windows: DataFrame, least: int) -> DataFrame:
         low, _ = Chunk.bounds(place, ids, int(place.max(initial=-1)) + 1)
         kept = reference & (ids == low[place])
         spans = chunk.runs(chosen[kept], np.zeros(int(kept.sum()), np.int64))
-        out = [(own, True, own, [chunk.text(b, e) for _, _, b, e in spans], [int(chunk.ids[d]) for _, d, _, _ in spans], None)] if spans else []
+        out = [(own, True, own, chunk.texts(spans), [int(chunk.ids[d]) for _, d, _, _ in spans], None)] if spans else []
         later = (shard >= 0) & (first < ids)
         met: dict[int, dict[str, list]] = {}
-        for label, document, begin, end in chunk.runs(chosen[later], shard[later]):
-            found = met.setdefault(label, {}).setdefault(chunk.text(begin, end), [int(chunk.ids[document]), []])
+        spans = chunk.runs(chosen[later], shard[later])
+        for (label, document, begin, _), text in zip(spans, chunk.texts(spans)):
+            found = met.setdefault(label, {}).setdefault(text, [int(chunk.ids[document]), []])
             found[0] = min(found[0], int(chunk.ids[document]))
             found[1].append(begin)
         for label, texts in met.items():
