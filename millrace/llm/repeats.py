@@ -28,7 +28,6 @@ Rows that share an id are not earlier than each other. An empty table gives no r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -40,38 +39,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import coded, give_back, hashes, list_parts, mixed, sliced, spread, texts_of, words_of
+from millrace.llm.chunks import loaded, range_cuts, rows_of, saved, steps
 from millrace.llm.ngram_model import packed, unpacked
-from millrace.llm.seekable import opened
 from millrace.scratch import new_path, written
 
 LEAST, RUN = 13, 7
 CHUNK_BYTES = 8 << 20
 #: Distinct keys or windows that meet in one task.
 KEYS = 1 << 20
-#: Rows (one for each chunk) that go through one copy of an automaton.
-COPY_ROWS = 64
+#: Words that go through one copy of an automaton; a shard that many documents point to has several copies.
+COPY_WORDS = 1 << 20
 BASE, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def saved(folder: str, name: str, columns: dict[str, pa.Array]) -> str:
-    """Write arrays of any lengths to a file of the shared folder."""
-    fs, inner = opened(folder)
-    fs.create_dir(inner, recursive=True)
-    file = f"{name}-{uuid.uuid4().hex}.arrow"
-    row = pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays([0, len(v)], v) for v in columns.values()], list(columns))
-    with fs.open_output_stream(f"{inner}/{file}", compression=None) as stream:
-        with pa.ipc.new_file(stream, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write(row)
-    return f"{folder}/{file}"
-
-
-def loaded(uri: str) -> dict[str, pa.Array]:
-    fs, inner = opened(uri)
-    with fs.open_input_file(inner) as file:
-        row = pa.ipc.open_file(file).get_batch(0)
-    return {name: list_parts(row.column(name))[0] for name in row.schema.names}
-
-
 def write_chunks(docs: DataFrame) -> DataFrame:
     """(chunk, path, words, documents): a row for each file of texts."""
     folder = new_path(docs.sparkSession, "chunks")
@@ -177,21 +157,6 @@ class Chunk:
         return list(zip(label[begin].tolist(), self.document[picked].tolist(), self.at[picked].tolist(), (self.at[window[end]] + self.least).tolist()))
 
 
-def _slices(top: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Cuts of sorted hashes of so many bits into equal ranges, one for each bucket."""
-    edges = np.array([(k << bits) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(top, edges), [len(top)]]).astype(np.int64)
-
-
-def _steps(values: np.ndarray) -> np.ndarray:
-    return np.diff(values, prepend=values[:1] * 0)
-
-
-def _rows(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(columns, kinds.values())], list(kinds))
-
-
 ASKED = {"bucket": pa.int32(), "chunk": pa.int64(), "path": pa.string(), "base": pa.int64(), "data": pa.binary()}
 ASKED_ROW = "bucket int, chunk long, path string, base long, data binary"
 
@@ -201,8 +166,8 @@ def keys_asked(manifest: DataFrame, buckets: int, least: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 key, many, _ = Chunk(row["path"], least).keys()
-                cuts = _slices(key, 48, buckets)
-                yield _rows(ASKED, [(b, row["chunk"], row["path"], 0, packed(_steps(key[i:j]), many[i:j].astype(np.int64))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i])
+                cuts = range_cuts(key, 1 << 48, buckets)
+                yield rows_of(ASKED, [(b, row["chunk"], row["path"], 0, packed(steps(key[i:j]), many[i:j].astype(np.int64))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i])
                 give_back()
 
     return manifest.mapInArrow(run, ASKED_ROW)
@@ -213,13 +178,13 @@ def keys_answered(asked: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         each = [unpacked(data) for data in group["data"].to_pylist()]
-        key = np.concatenate([np.cumsum(steps) for steps, _ in each])
+        key = np.concatenate([np.cumsum(rises) for rises, _ in each])
         many = np.concatenate([flag for _, flag in each]).astype(bool)
         _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
         shared = counts > 1
         shared[inverse[many]] = True
         found = shared[inverse]
-        cuts = np.cumsum([0, *[len(steps) for steps, _ in each]])
+        cuts = np.cumsum([0, *[len(rises) for rises, _ in each]])
         data = [packed(np.packbits(found[a:b]), np.array([b - a])) for a, b in zip(cuts, cuts[1:])]
         return group.set_column(group.schema.get_field_index("data"), "data", pa.array(data, pa.binary()))
 
@@ -243,13 +208,13 @@ def windows_asked(answers: DataFrame, buckets: int, least: int) -> DataFrame:
         chunk = Chunk(rows[0]["path"], least)
         chosen, h, g, place = _candidates(chunk, rows)
         low, high = Chunk.bounds(place, chunk.ids[chunk.document[chosen]], len(h))
-        cuts, out = _slices(h, 64, buckets), []
+        cuts, out = range_cuts(h, 1 << 64, buckets), []
         for b, (i, j) in enumerate(zip(cuts, cuts[1:])):
             if j > i:
                 base = int(low[i:j].min())
-                out.append((b, rows[0]["chunk"], rows[0]["path"], base, packed(_steps(h[i:j]), g[i:j], low[i:j] - base, high[i:j] - low[i:j])))
+                out.append((b, rows[0]["chunk"], rows[0]["path"], base, packed(steps(h[i:j]), g[i:j], low[i:j] - base, high[i:j] - low[i:j])))
         give_back()
-        return pa.Table.from_batches([_rows(ASKED, out)])
+        return pa.Table.from_batches([rows_of(ASKED, out)])
 
     return answers.groupBy("chunk").applyInArrow(run, ASKED_ROW)
 
@@ -291,16 +256,16 @@ def windows_answered(asked: DataFrame) -> DataFrame:
             where[later[a:b]] = place + 1
             begin_id[later[a:b]] = (first_id[a:b] - base)[later[a:b]]
             out.append((r["bucket"], r["chunk"], r["path"], base, packed(where, begin_id, is_reference[a:b].astype(np.int64)), shards.tolist()))
-        return pa.Table.from_batches([_rows(ANSWER, out)])
+        return pa.Table.from_batches([rows_of(ANSWER, out)])
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWER_ROW)
 
 
 PASSAGES = {
     "shard": pa.int64(), "reference": pa.bool_(), "chunk": pa.int64(), "texts": pa.list_(pa.string()), "ids": pa.list_(pa.int64()),
-    "begins": pa.list_(pa.list_(pa.int32())),
+    "begins": pa.list_(pa.list_(pa.int32())), "words": pa.int64(),
 }
-PASSAGES_ROW = "shard long, reference boolean, chunk long, texts array<string>, ids array<long>, begins array<array<int>>"
+PASSAGES_ROW = "shard long, reference boolean, chunk long, texts array<string>, ids array<long>, begins array<array<int>>, words long"
 
 
 def passages(keys: DataFrame, windows: DataFrame, least: int) -> DataFrame:
@@ -308,7 +273,7 @@ def passages(keys: DataFrame, windows: DataFrame, least: int) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not right.num_rows:
-            return pa.Table.from_batches([_rows(PASSAGES, [])])
+            return pa.Table.from_batches([rows_of(PASSAGES, [])])
         rows, answers = left.to_pylist(), sorted(right.to_pylist(), key=lambda r: r["bucket"])
         chunk, own = Chunk(rows[0]["path"], least), rows[0]["chunk"]
         chosen, _, _, place = _candidates(chunk, rows)
@@ -323,7 +288,7 @@ def passages(keys: DataFrame, windows: DataFrame, least: int) -> DataFrame:
         low, _ = Chunk.bounds(place, ids, int(place.max(initial=-1)) + 1)
         kept = reference & (ids == low[place])
         spans = chunk.runs(chosen[kept], np.zeros(int(kept.sum()), np.int64))
-        out = [(own, True, own, chunk.texts(spans), [int(chunk.ids[d]) for _, d, _, _ in spans], None)] if spans else []
+        out = [(own, True, own, chunk.texts(spans), [int(chunk.ids[d]) for _, d, _, _ in spans], None, 0)] if spans else []
         later = (shard >= 0) & (first < ids)
         met: dict[int, dict[str, list]] = {}
         spans = chunk.runs(chosen[later], shard[later])
@@ -332,9 +297,9 @@ def passages(keys: DataFrame, windows: DataFrame, least: int) -> DataFrame:
             found[0] = min(found[0], int(chunk.ids[document]))
             found[1].append(begin)
         for label, texts in met.items():
-            out.append((label, False, own, list(texts), [v[0] for v in texts.values()], [v[1] for v in texts.values()]))
+            out.append((label, False, own, list(texts), *map(list, zip(*texts.values())), sum(t.count(" ") + 1 for t in texts)))
         give_back()
-        return pa.Table.from_batches([_rows(PASSAGES, out)])
+        return pa.Table.from_batches([rows_of(PASSAGES, out)])
 
     return keys.groupBy("chunk").cogroup(windows.groupBy("chunk")).applyInArrow(run, PASSAGES_ROW)
 
@@ -467,7 +432,7 @@ def matched(asked: DataFrame, least: int) -> DataFrame:
                     for a, b in spans:
                         begin += [s + a for s in starts]
                         end += [s + b for s in starts]
-                yield _rows(kinds, [(row["chunk"], begin, end)])
+                yield rows_of(kinds, [(row["chunk"], begin, end)])
                 give_back()
 
     return asked.mapInArrow(run, "chunk long, begin array<int>, end array<int>")
@@ -523,8 +488,9 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     windows = windows_answered(dealt(meet, "bucket", buckets))
     found = written(passages(dealt(keys, "chunk"), dealt(windows, "chunk"), least), "passages")
     automata = write_automata(dealt(found.where("reference").select("shard", "texts", "ids"), "shard"))
-    later = found.where("NOT reference").join(automata, "shard")
-    copy = F.pmod(F.xxhash64("chunk"), F.lit(parts // COPY_ROWS + 1))
+    copies = found.groupBy("shard").agg(F.ceil(F.sum("words") / COPY_WORDS).alias("copies")).join(automata, "shard")
+    later = found.where("NOT reference").join(copies, "shard")
+    copy = F.pmod(F.xxhash64("chunk"), "copies")
     streamed = later.repartition(parts, F.col("shard"), copy).sortWithinPartitions("shard")
     spans = matched(streamed.select("automaton", "chunk", "texts", "ids", "begins"), least)
     return kept_texts(dealt(manifest.select("chunk", "path"), "chunk"), dealt(spans, "chunk"))
