@@ -134,3 +134,11 @@ def suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
     from millrace.llm.repeats import repeats_digest
 
     return repeats_digest(table(spark, folder, "documents"))
+
+
+@query("op12_interval_coalescing")
+def interval_coalescing(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tokenizers aligned over every document."""
+    from millrace.llm.alignment import alignment_digest
+
+    return alignment_digest(table(spark, folder, "documents"))

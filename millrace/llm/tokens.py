@@ -27,6 +27,63 @@ TOKENIZED_BYTES = 8 << 20
 BLOCK = 2000
 
 
+#: What a worker process remembers of pieces: so many of them, and so many of their characters.
+REMEMBERED, REMEMBERED_CHARACTERS = 400_000, 8 << 20
+
+
+class Remembered:
+    """Ids of pieces, kept from slice to slice by a worker process: the pieces met first, within bounds.
+
+    ``encode(pieces, odd)`` gives (ids, offsets) of pieces; the flags go with them.
+    """
+
+    def __init__(self, encode):
+        self.encode, self.left = encode, REMEMBERED_CHARACTERS
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64)
+
+    def __call__(self, pieces: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of pieces."""
+        get = self.place.get
+        place = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(place < 0)
+        fresh = [pieces[k] for k in new.tolist()]
+        ids, offsets = self.encode(fresh, odd[new]) if fresh else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+        known = len(self.place)
+        first, last = self.ends[place], self.ends[np.minimum(place + 1, known)]
+        begin, length = np.where(place < 0, 0, first), np.where(place < 0, 0, last - first)
+        pool = np.concatenate([self.ids[: self.ends[known]], ids.astype(np.int32)])
+        begin[new], length[new] = self.ends[known] + offsets[:-1], np.diff(offsets)
+        self.keep(fresh, ids, offsets)
+        return pool[spread(length, begin)].astype(np.int64), np.concatenate([[0], np.cumsum(length)])
+
+    def keep(self, pieces: list[str], ids: np.ndarray, offsets: np.ndarray) -> None:
+        known, taken = len(self.place), 0
+        for piece in pieces:
+            if known + taken == REMEMBERED or self.left < len(piece):
+                break
+            self.place[piece] = known + taken
+            self.left -= len(piece)
+            taken += 1
+        at, end = self.ends[known], self.ends[known] + offsets[taken]
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), int(end) - len(self.ids)), np.int32)])
+        if known + taken + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), known + taken + 1 - len(self.ends)), np.int64)])
+        self.ids[at:end] = ids[: offsets[taken]]
+        self.ends[known + 1 : known + taken + 1] = at + offsets[1 : taken + 1]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a worker process for this vocabulary, with what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the public tokenizer file lies."""
     import public_tokenizers
@@ -77,6 +134,18 @@ class Encoder:
             counts.append(np.diff(np.append(first, len(got))))
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
+    def pieces(self, pieces: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of pieces that each follow one space; ``odd`` ones hold other white space."""
+        ids, offsets = self.spaced([p for p, o in zip(pieces, odd.tolist()) if not o])
+        if not odd.any():
+            return ids, offsets
+        each = [self.plain(" " + pieces[k]) for k in np.flatnonzero(odd).tolist()]
+        lengths, starts = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        lengths[~odd], starts[~odd] = np.diff(offsets), offsets[:-1]
+        lengths[odd] = [len(e) for e in each]
+        starts[odd] = len(ids) + np.cumsum(lengths[odd]) - lengths[odd]
+        return np.concatenate([ids, *each])[spread(lengths, starts)], np.concatenate([[0], np.cumsum(lengths)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets per text)."""
         n = len(texts)
