@@ -215,6 +215,7 @@ def chunk_columns(batch: pa.RecordBatch, path_a: str, path_b: str) -> dict[str,
     names = distinct.to_pylist()
     odd = pc.match_substring_regex(distinct, f"{ODD}|^$").to_numpy(zero_copy_only=False).astype(bool)
     ids, ends = zip(*[side(names, odd) for side in (remembered_a, remembered_b)])
+    ids = tuple(i.astype(np.int64) for i in ids)
     spaced = pc.binary_join_element_wise("", distinct, " ") if len(distinct) else distinct
     sizes = pc.binary_length(spaced).to_numpy().astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])

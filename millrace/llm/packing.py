@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import sliced, texts_of
-from millrace.llm.tokens import TOKENIZED_BYTES, Encoder, vocabulary_path
+from millrace.llm.tokens import TOKENIZED_BYTES, encoder_of, vocabulary_path
 from millrace.scratch import written
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -67,7 +67,7 @@ def cut(
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for batch in sliced(batches, limit=TOKENIZED_BYTES):
-            encoder = encoder or Encoder(path)
+            encoder = encoder or encoder_of(path)
             ids, offsets = encoder.encode(texts_of(batch))
             rows: list[list] = [[], [], [], [], []]
             kept = []

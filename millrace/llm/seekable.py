@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import sliced, texts_of
-from millrace.llm.tokens import TOKENIZED_BYTES, Encoder, vocabulary_path
+from millrace.llm.tokens import TOKENIZED_BYTES, encoder_of, vocabulary_path
 from millrace.scratch import new_path
 
 FRAME_IDS = 1 << 20
@@ -144,7 +144,7 @@ def write_token_files(
         encoder, writer, at = None, None, ""
         for batch in sliced(batches, limit=TOKENIZED_BYTES):
             if writer is None:
-                encoder = Encoder(path)
+                encoder = encoder_of(path)
                 fs, inner = opened(folder)
                 fs.create_dir(inner, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.zst"

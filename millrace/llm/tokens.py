@@ -2,7 +2,7 @@
 
 Such a vocabulary is applied to each run of non-space characters with one space before it on its own, so a
 text can be cut before any single space between two other characters without changing its ids. The encoder
-uses that: distinct pieces of a slice of texts are encoded once. Texts with other white space at a cut (two
+uses that: distinct pieces of a slice of texts are encoded once, and a worker process keeps those it has met. Texts with other white space at a cut (two
 spaces, a space beside a line end, a space at an end) are encoded as they are, in long stretches between
 such safe cuts.
 """
@@ -28,7 +28,7 @@ BLOCK = 2000
 
 
 #: What a worker process remembers of pieces: so many of them, and so many of their characters.
-REMEMBERED, REMEMBERED_CHARACTERS = 400_000, 8 << 20
+REMEMBERED, REMEMBERED_CHARACTERS = 700_000, 12 << 20
 
 
 class Remembered:
@@ -55,7 +55,7 @@ class Remembered:
         pool = np.concatenate([self.ids[: self.ends[known]], ids.astype(np.int32)])
         begin[new], length[new] = self.ends[known] + offsets[:-1], np.diff(offsets)
         self.keep(fresh, ids, offsets)
-        return pool[spread(length, begin)].astype(np.int64), np.concatenate([[0], np.cumsum(length)])
+        return pool[spread(length, begin)], np.concatenate([[0], np.cumsum(length)])
 
     def keep(self, pieces: list[str], ids: np.ndarray, offsets: np.ndarray) -> None:
         known, taken = len(self.place), 0
@@ -104,6 +104,7 @@ class Encoder:
         self.size = max(words.values()) + 1
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for w, i in words.items() if w.startswith("Ġ")]] = True
+        self.remembered, self.remembered_heads = Remembered(self.pieces), Remembered(self.alone)
 
     def plain(self, text: str) -> np.ndarray:
         """Ids of one text, in stretches."""
@@ -146,32 +147,30 @@ class Encoder:
         starts[odd] = len(ids) + np.cumsum(lengths[odd]) - lengths[odd]
         return np.concatenate([ids, *each])[spread(lengths, starts)], np.concatenate([[0], np.cumsum(lengths)])
 
+    def alone(self, pieces: list[str], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of pieces with nothing before them."""
+        each = [self.plain(p) for p in pieces]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(e) for e in each])])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets per text)."""
-        n = len(texts)
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False).astype(bool)
         values, offsets = list_parts(pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " "))
         codes, distinct = coded(values)
-        heads = np.zeros(len(values), bool)
-        heads[offsets[:-1]] = True  # the first piece of a text has no space before it
-        used = np.zeros(len(distinct), bool)
-        used[codes[~heads]] = True
-        u_ids, u_offsets = self.spaced(distinct.filter(pa.array(used)).to_pylist())
-        slot = np.cumsum(used) - 1
-        h_codes, h_distinct = coded(values.filter(pa.array(heads)))
-        each = [self.plain(t) for t in h_distinct.to_pylist()]
-        for i in np.flatnonzero(odd):
-            h_codes[i] = len(each)
-            each.append(self.plain(texts[int(i)].as_py()))
-        lengths = np.zeros(len(values), np.int64)
-        starts = np.zeros(len(values), np.int64)
-        body = slot[codes[~heads]]
-        lengths[~heads] = np.diff(u_offsets)[body]
-        starts[~heads] = u_offsets[:-1][body]
-        h_lengths = np.array([len(e) for e in each], np.int64)
-        h_starts = len(u_ids) + np.cumsum(h_lengths) - h_lengths
-        lengths[heads] = h_lengths[h_codes]
-        starts[heads] = h_starts[h_codes]
-        pool = np.concatenate([u_ids, *each])
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return pool[spread(lengths, starts)], ends[offsets] if n else np.zeros(1, np.int64)
+        empty = pc.equal(distinct, "").to_numpy(zero_copy_only=False)
+        ids, ends = self.remembered(distinct.to_pylist(), empty)
+        length, start = np.diff(ends)[codes], ends[codes]
+        # the first piece of a text has no space before it
+        head_codes, heads = coded(values.take(pa.array(offsets[:-1])))
+        h_ids, h_ends = self.remembered_heads(heads.to_pylist(), np.zeros(len(heads), bool))
+        h_length, h_start = np.diff(h_ends)[head_codes], len(ids) + h_ends[head_codes]
+        whole = [self.plain(texts[int(i)].as_py()) for i in np.flatnonzero(odd)]
+        h_length[odd] = [len(w) for w in whole]
+        h_start[odd] = len(ids) + len(h_ids) + np.cumsum(h_length[odd]) - h_length[odd]
+        length[offsets[:-1]], start[offsets[:-1]] = h_length, h_start
+        pool = np.concatenate([ids, h_ids, *[w.astype(np.int32) for w in whole]])
+        total = np.concatenate([[0], np.cumsum(length)])
+        # as ``spread``, in half the bytes: a slice has fewer ids than an int32 can count
+        places = np.repeat((start - total[:-1]).astype(np.int32), length)
+        places += np.arange(len(places), dtype=np.int32)
+        return pool.take(places), total[offsets] if len(texts) else np.zeros(1, np.int64)
