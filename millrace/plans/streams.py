@@ -8,7 +8,7 @@ from millrace.operators import calc
 from millrace.patterns import stream as pattern_stream
 from millrace.patterns.match import Pattern
 from millrace.plans.registry import query
-from millrace.streaming import keyed, order, processors, run
+from millrace.streaming import keyed, order, processors, retract, run, temporal
 
 
 def _stream(t):
@@ -256,6 +256,90 @@ def retraction_nested(t):
     return second.where("users > 0")
 
 
+def _changes(rows, at, first, taken):
+    """A table as a changelog in three micro-batches: half of it, the rest, then the rows that ``taken`` takes back."""
+    added = rows.withColumn("sign", F.lit(1)).withColumn("step", F.when(F.expr(first), 0).otherwise(1)).withColumn("at", F.lit(0))
+    gone = rows.where(taken).withColumn("sign", F.lit(-1)).withColumn("step", F.lit(2)).withColumn("at", F.lit(1))
+    return run.replay(added.unionByName(gone), ["step = 0", "step = 1", "step = 2"]).drop("step")
+
+
+_KEPT_ORDERS = "(SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 400000 AND o_orderstatus <> 'P')"
+_KEPT_LINES = "(SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 48 AND l_returnflag <> 'R')"
+_JOINED = "SELECT o_orderkey, l_orderkey, o_totalprice, l_partkey, l_quantity"
+
+
+def _join_changelog(t, how):
+    """Large orders and large line items; pending orders and returned items are taken back at the end."""
+    orders = t.orders.where("o_totalprice > 400000").select("o_orderkey", "o_totalprice", F.col("o_orderkey").alias("k"), "o_orderstatus")
+    lines = t.lineitem.where("l_quantity > 48").select("l_orderkey", "l_partkey", "l_quantity", F.col("l_orderkey").alias("k"), "l_returnflag")
+    left = _changes(orders, "at", "o_orderstatus = 'F'", "o_orderstatus = 'P'").drop("o_orderstatus")
+    right = _changes(lines, "at", "l_returnflag <> 'N'", "l_returnflag = 'R'").drop("l_returnflag")
+    with run.rocksdb_state(t.spark):
+        log = run.append_table(retract.join(left, right, "k", "at", how))
+    # a key may hold equal rows, so that rows are counted and not only kept
+    net = log.groupBy(*[c for c in log.columns if c not in ("op", "k")]).agg(F.sum(F.when(F.col("op") == "+", 1).otherwise(-1)).alias("n"))
+    left_over = net.where("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    return left_over.select("o_orderkey", "l_orderkey", "o_totalprice", "l_partkey", "l_quantity")
+
+
+@query("stream_join_changelog", f"{_JOINED} FROM {_KEPT_ORDERS} JOIN {_KEPT_LINES} ON o_orderkey = l_orderkey")
+def stream_join_changelog(t):
+    """An unbounded inner join whose input is taken back in part."""
+    return _join_changelog(t, "inner")
+
+
+@query("stream_left_join_changelog", f"{_JOINED} FROM {_KEPT_ORDERS} LEFT JOIN {_KEPT_LINES} ON o_orderkey = l_orderkey")
+def stream_left_join_changelog(t):
+    """Orders without items stand padded until the first comes, and again when the last is taken back."""
+    return _join_changelog(t, "left")
+
+
+@query("stream_full_join_changelog", f"{_JOINED} FROM {_KEPT_ORDERS} FULL JOIN {_KEPT_LINES} ON o_orderkey = l_orderkey")
+def stream_full_join_changelog(t):
+    """Both sides padded."""
+    return _join_changelog(t, "full")
+
+
+def _aggregated(t):
+    return retract.aggregate(run.replay(_signed(t), _STEPS), "user_id", "value")
+
+
+@query(
+    "stream_changelog_minmax",
+    """SELECT user_id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high,
+       round(avg(value), 8) AS mean FROM events WHERE event_type <> 'error' GROUP BY 1""",
+)
+def stream_changelog_minmax(t):
+    """Least, greatest and mean under retractions: a bound that is taken back is sought among the values left."""
+    with run.rocksdb_state(t.spark):
+        table = keyed.consolidate(run.append_table(_aggregated(t)))
+    return table.select("user_id", "n", F.round("total", 4).alias("total"), "low", "high", F.round(F.col("total") / F.col("n"), 8).alias("mean"))
+
+
+@query(
+    "stream_changelog_distinct",
+    "SELECT user_id, CAST(count(DISTINCT value) AS BIGINT) AS distinct_values FROM events WHERE event_type <> 'error' GROUP BY 1",
+)
+def stream_changelog_distinct(t):
+    """Distinct values under retractions: a value counts until its last row is taken back."""
+    with run.rocksdb_state(t.spark):
+        table = keyed.consolidate(run.append_table(_aggregated(t)))
+    return table.select("user_id", "distinct_values")
+
+
+@query(
+    "stream_changelog_nested",
+    """SELECT n, CAST(count(*) AS BIGINT) AS users, max(high) AS high FROM
+       (SELECT user_id, CAST(count(*) AS BIGINT) AS n, max(value) AS high FROM events WHERE event_type <> 'error' GROUP BY 1) GROUP BY 1""",
+)
+def stream_changelog_nested(t):
+    """Users by their number of events: a streaming aggregate that consumes the changelog of another."""
+    with run.rocksdb_state(t.spark):
+        sizes = retract.signed(_aggregated(t)).select(F.col("n").alias("size"), "high", "sign")
+        table = keyed.consolidate(run.append_table(retract.aggregate(sizes, "size", "high")))
+    return table.select(F.col("size").alias("n"), F.col("n").alias("users"), "high")
+
+
 _ARRIVAL = "(ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL 5 DAY ELSE INTERVAL 0 DAY END)"
 _LATE_SQL = f"""
   WITH s AS (SELECT *, CASE WHEN {_ARRIVAL} < TIMESTAMP '2024-01-11' THEN 0 WHEN {_ARRIVAL} < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS step FROM events),
@@ -270,6 +354,21 @@ def _late_stream(t):
     return run.replay(rows, [first, second, "arrival >= TIMESTAMP_NTZ '2024-01-21'"])
 
 
+@query(
+    "stream_temporal_join",
+    """SELECT b.event_id, b.user_id, v.value AS seen, v.ts AS seen_at FROM (SELECT * FROM events WHERE event_type = 'purchase') b
+       ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts >= v.ts""",
+)
+def stream_temporal_join(t):
+    """Purchases with the view of the user that was the latest at their own time; a seventh of the rows comes five days late."""
+    stream, finish = run.ending(_late_stream(t), "ts")
+    marked = stream.withWatermark("ts", "6 days")
+    rows = temporal.tagged(marked, "user_id", "ts", F.col("event_type") == "purchase", F.col("event_type") == "view", "event_id", "value")
+    with run.rocksdb_state(t.spark):
+        joined = run.append_table(temporal.as_of_join(rows, "user_id", "event_id", "seen"), finish=finish)
+    return joined.select("event_id", "user_id", "seen", F.timestamp_micros("version_at").cast("timestamp_ntz").alias("seen_at"))
+
+
 @query(
     "stream_late_split",
     f"""{_LATE_SQL} SELECT event_id, coalesce(ts < seen - INTERVAL 1 DAY, false) AS late FROM s JOIN m USING (step)""",
