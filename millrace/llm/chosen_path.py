@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from millrace.graph.frame import Graph
 from millrace.graph.loops import connected_components
 from millrace.llm.arrays import coded, give_back, hashes, mixed, ngram_hashes, sliced, spread, texts_of, words_of
-from millrace.scratch import numbered, written
+from millrace.scratch import drop, numbered, written
 
 SHINGLE, LEAST, RECALL = 5, 0.8, 0.999999
 WIDTH, BRANCH, LEAF = 64, 2, 128
@@ -181,7 +181,7 @@ def leaves_of(sets: DataFrame, runs: int, branch: int = BRANCH, leaf: int = LEAF
     level = sets.select("node", "sample", F.explode(table).alias("root")).select(
         "root.bucket", "root.used", F.lit(total).cast("long").alias("n"), "node", "sample"
     )
-    done, first = [], True
+    done, tables, first = [], [], True
     while True:
         kids = branched(level, branch)
         if first:  # below the root every sampled token is free but the one on the path
@@ -203,6 +203,9 @@ def leaves_of(sets: DataFrame, runs: int, branch: int = BRANCH, leaf: int = LEAF
         if not first:
             shared = shared.join(ended.select("parent"), "parent", "left_anti")
         shared = written(shared.select("bucket", "used", "n", "node"), "buckets")
+        tables += [shared, ended]
+        drop(kids)
+        drop(counts)
         done.append(shared.where(F.col("n") <= leaf).select("bucket", "n", "node"))
         large = shared.where(F.col("n") > leaf)
         first = False
@@ -212,7 +215,10 @@ def leaves_of(sets: DataFrame, runs: int, branch: int = BRANCH, leaf: int = LEAF
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out
+    leaves = written(out, "leaves")
+    for table in tables:
+        drop(table)
+    return leaves
 
 
 def in_blocks(leaves: DataFrame, leaf: int) -> DataFrame:
@@ -382,10 +388,10 @@ def similar_classes(
 
 
 def classes_of(
-    table: DataFrame, least: float = LEAST, recall: float = RECALL, shingle: int = SHINGLE, leaf: int = LEAF
+    numbers: DataFrame, least: float = LEAST, recall: float = RECALL, shingle: int = SHINGLE, leaf: int = LEAF
 ) -> DataFrame:
     """:func:`similar_classes` of a table of :func:`numbered`."""
-    rows = table.select("row", "doc.doc_id", "doc.text")
+    rows = numbers.select("row", "doc.doc_id", "doc.text")
     marks = written(signed(rows, shingle), "signed")
     full = marks.where("size > 0")
     sets = full.groupBy("first", "second").agg(
@@ -396,7 +402,13 @@ def classes_of(
         F.first("sample").alias("sample"),
     )
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
-    leaves = written(leaves_of(sets, runs_for(recall, least), leaf=leaf), "leaves")
+    # the samples take most of the room: what is read later goes without them
+    sampled, measured = sets, marks
+    marks = written(marks.drop("sample"), "signed")
+    full = marks.where("size > 0")
+    sets = written(sets.drop("sample"), "sets")
+    drop(measured)
+    leaves = leaves_of(sampled, runs_for(recall, least), leaf=leaf)
     own = leaves.groupBy("node").agg(F.collect_set("bucket").alias("leaves"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,16 +418,19 @@ def classes_of(
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], _binary(short)], ["node", "size", "copies", "sketch"])
 
     kind = "node long, size long, copies long, sketch binary"
-    short = own.join(sets.select("node", "size", "copies", "sample"), "node")
+    short = own.join(sampled.select("node", "size", "copies", "sample"), "node")
     short = written(
         short.select("node", "size", "copies", "sample").mapInArrow(sketched, kind).join(own, "node"), "sketches"
     )
+    drop(sampled)
     dealt = in_blocks(leaves.join(short, "node"), leaf)
     kept = written(with_partners(dealt, least), "partners")
     wanted = kept.select("node").distinct().join(sets.select("node", "row"), "node")
     items = items_of(rows, wanted, shingle)
     again = in_blocks(leaves.join(short, "node"), leaf).join(kept, [*GROUP, "node"])
     links = written(compared(again.join(items, "node"), least), "links")
+    for table in (leaves, short, kept):
+        drop(table)
     counted = links.groupBy("node").agg(F.sum("texts").alias("n_texts"), F.sum("documents").alias("n_others"))
     edges = written(links.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")).distinct(), "edges")
     if edges.head(1):
