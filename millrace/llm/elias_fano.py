@@ -6,6 +6,8 @@ import struct
 
 import numpy as np
 
+#: Values whose low bits are packed at once; a multiple of 64, so that a slice ends with a whole word.
+SLICE = 1 << 16
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -42,14 +44,14 @@ class Monotone:
         count = len(values)
         top = int(values[-1]) if count else 0
         bits = max((top + 1) // max(count, 1), 1).bit_length() - 1
-        low = np.zeros(0, np.uint8)
-        if bits:
-            low = ((values[:, None] >> np.arange(bits, dtype=np.uint64)) & ONE).astype(np.uint8).ravel()
+        low, places = [], np.arange(bits, dtype=np.uint64)
+        for at in range(0, count if bits else 0, SLICE):  # spread bits take 8 bytes each: a slice at a time
+            low.append(_words(((values[at : at + SLICE, None] >> places) & ONE).astype(np.uint8).ravel()))
         high = np.zeros(count + (top >> bits) + 1, np.uint8)
         if count:
             high[(values >> np.uint64(bits)).astype(np.int64) + np.arange(count)] = 1
         # one spare word, so that two neighbouring words can always be read
-        return Monotone(count, bits, np.append(_words(low), np.uint64(0)).astype("<u8"), _words(high))
+        return Monotone(count, bits, np.concatenate([*low, np.zeros(1, np.uint64)]).astype("<u8"), _words(high))
 
     def lows(self, at: np.ndarray) -> np.ndarray:
         if not self.low_bits:
