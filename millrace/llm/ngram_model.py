@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from millrace.llm.arrays import coded, give_back, hashes, mixed, sliced, spread, texts_of, words_of
 from millrace.llm.elias_fano import Trie
 from millrace.llm.seekable import opened
-from millrace.scratch import new_path, written
+from millrace.scratch import drop, new_path, written
 
 CHUNK_BYTES, SHARD_TOKENS, PARTS, HEAVY = 16 << 20, 2_000_000, 64, 8
 END = 0  # code of the end token in a chunk
@@ -456,6 +456,7 @@ def scores(docs: DataFrame, is_held_out: Column) -> DataFrame:
     numbers = listed.select("hash", "chunk", "at").join(ids, "hash").select("chunk", "at", "id")
     sent = pairs_sent(rows, numbers, known)
     counted = written(shards_counted(sent, known), "pairs")
+    drop(rows)  # the shards hold all that is asked of the texts from here on
     model = model_of(tallies(counted), known)
     back = shards_scored(counted, known, model, new_path(docs.sparkSession, "tries"))
 

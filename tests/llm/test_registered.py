@@ -18,12 +18,14 @@ from .test_text_operators import scanned
 FOLDER = "/root/testdata/sf0.001"
 KEYS = {"op1": "doc_id piece start length ids_crc32 sequence_id offset", "op2": "doc_id n_assign n_access n_hex base_sha256 spans",
         "op5": "doc_id held_out n_tokens n_known train_tokens base_score score", "op6": "doc_id held_out score predicted",
-        "op8": "doc_id held_out lang_pred score", "op9": "query_id rank vec_id score", "op10": "doc_id start n_tokens ids_crc32"}
+        "op8": "doc_id held_out lang_pred score", "op9": "query_id rank vec_id score", "op10": "doc_id start n_tokens ids_crc32",
+        "op11": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+        "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op13": "doc_id n_words n_removed kept_sha256"}
 
 
 def test_names():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(queries.ORACLES) <= set(entry.oracle_sql()) and [n for n, _ in corpus_pipeline.STAGES] == [
         "quality", "near_copies", "benchmark", "secrets", "packing"]
 
