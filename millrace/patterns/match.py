@@ -146,6 +146,12 @@ def _finish(found: DataFrame, keys: list[str], pattern: Pattern, column: str, ti
         if time is None:
             raise ValueError("within needs the time column")
         begin = F.coalesce(*[F.unix_micros(F.col(f"{n}.first.{time}").cast("timestamp")) for n in names])
+        for stage in reversed(pattern.stages[1:]):  # a last stage that needs no row is left out if it comes too late
+            if stage.times not in (OPTIONAL, STAR):
+                break
+            late = F.unix_micros(F.col(f"{stage.name}.last.{time}").cast("timestamp")) - begin >= int(pattern.window * 1_000_000)
+            out = out.withColumn(stage.name, F.when(~F.coalesce(late, F.lit(False)), F.col(stage.name)))
+        out = out.withColumn("end_idx", ends)
         end = F.coalesce(*[F.unix_micros(F.col(f"{n}.last.{time}").cast("timestamp")) for n in reversed(names)])
         out = out.where(end - begin < int(pattern.window * 1_000_000))
     return out
@@ -171,6 +177,11 @@ def _back(state: DataFrame, keys, order, pattern: Pattern, i: int, columns, tail
             after = F.col("_after")
     else:
         rows = _link(rows, keys, order, stages, i + 1, tail)
+        if pattern.pending is None and all(s.times in (OPTIONAL, STAR) and s.absent is None for s in stages[i + 1 :]):
+            # no stage that is left needs a row: the match may end here
+            kind = rows.schema["_after"].dataType
+            empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+            rows = rows.withColumn("_after", F.coalesce("_after", empty) if stages[i + 1].greedy else empty)
         after, rest = F.col("_after").isNotNull(), F.col("_after")
     if stage.times in (ONCE, OPTIONAL):
         once = F.when(fits & after, _joined(_stage_value(spot, spot, F.lit(1)), stages, i, rest))
@@ -220,7 +231,8 @@ def _back(state: DataFrame, keys, order, pattern: Pattern, i: int, columns, tail
     many = F.when(usable, _joined(value, stages, i, F.col("_end.rest") if rest is not None else None))
     if stage.times == STAR and tail is not None:
         none = F.lit(None).cast(_value_type(rows, spot))
-        many = F.coalesce(many, F.when(F.col(tail).isNotNull(), _joined(none, stages, i, F.col(tail))))
+        skip = F.when(F.col(tail).isNotNull(), _joined(none, stages, i, F.col(tail)))
+        many = F.coalesce(many, skip) if stage.greedy else F.coalesce(skip, many)
     return both.withColumn(f"_t{i}", many).drop("_after", "_was", "_starts", "_run", "_close", "_end")
 
 
@@ -252,8 +264,11 @@ def _find_any(df, keys, order, pattern: Pattern, columns, time, split: int) -> D
     """Matches of the stages before the link, joined to those after it inside the time window."""
     if pattern.window is None or time is None:
         raise ValueError("followed_by_any needs within and the time column")
-    head = replace(pattern, stages=pattern.stages[:split], pending=None)
     first, *rest = pattern.stages[split:]
+    if first.absent and first.absent[0] == "between":
+        raise ValueError("not_followed_by cannot stand before followed_by_any")
+    # a negated next row is one that the stages before the link must not be followed by
+    head = replace(pattern, stages=pattern.stages[:split], pending=first.absent)
     body = replace(pattern, stages=(replace(first, link="next", absent=None), *rest))
     a = find(df, keys, order, head, columns, time)
     b = find(df, keys, order, body, columns, time)

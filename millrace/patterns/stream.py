@@ -29,8 +29,8 @@ class Steps:
     def __init__(self, pattern: Pattern):
         if pattern.pending or any(s.times != ONCE or s.link == "followed_by_any" for s in pattern.stages):
             raise ValueError("a stream pattern has single stages, linked by next or followed_by, and ends in a stage")
-        if len(pattern.stages) > NEGATED:
-            raise ValueError(f"a stream pattern has at most {NEGATED} stages")
+        if len(pattern.stages) >= NEGATED:  # the last negation would need the sign of a bigint
+            raise ValueError(f"a stream pattern has at most {NEGATED - 1} stages")
         self.links = [s.link for s in pattern.stages]
         self.absent = [s.absent[0] if s.absent else None for s in pattern.stages]
         self.window = None if pattern.window is None else int(pattern.window * 1_000_000)

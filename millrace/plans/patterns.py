@@ -219,3 +219,16 @@ def state_machine_alerts(t):
     """Illegal transitions per user."""
     found = machine.illegal_transitions(_events(t), "user_id", ORDER, "event_type", TRANSITIONS, "Initial")
     return found.select("event_id", "user_id", "state")
+
+
+@query(
+    "pattern_trailing_optional",
+    """SELECT user_id, event_id AS start_id, CASE WHEN lead(event_type) OVER w = 'purchase' THEN lead(event_id) OVER w ELSE event_id END AS end_id
+       FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY event_type = 'view'""",
+)
+def pattern_trailing_optional(t):
+    """A view, and the purchase that follows at once if there is one."""
+    define = {"a": F.col("event_type") == "view", "b": F.col("event_type") == "purchase"}
+    last = F.coalesce("b.last.event_id", "a.last.event_id")
+    measures = {"start_id": F.col("a.first.event_id"), "end_id": last}
+    return match.match_recognize(t.events, ["user_id"], ["ts", "event_id"], [("a", ""), ("b", "?")], define, measures, ["event_id"])

@@ -50,14 +50,19 @@ def spans(found, *stages):
         ([("b", "+"), ("d", "")], "[ab]+d"),
         ([("a", ""), ("b", "+")], "a[ab]+"),
         ([("a", ""), ("any", "+?"), ("c", "")], "a.+?c"),
+        ([("a", ""), ("b", "?")], "a[ab]?"),
+        ([("a", ""), ("b", "*")], "a[ab]*"),
+        ([("a", ""), ("b", "*?")], "a[ab]*?"),
+        ([("a", ""), ("any", "*?"), ("c", "")], "a.*?c"),
+        ([("a", "+"), ("c", "?"), ("d", "*")], "a+c?d*"),
     ],
 )
 @pytest.mark.parametrize("skip", ["next", "past_last"])
 def test_row_patterns(rows, events, pattern, regex, skip):
     define = {"a": is_("a"), "b": F.col("e").isin("a", "b"), "c": is_("c"), "d": is_("d")}
-    first, last = pattern[0][0], pattern[-1][0]
+    first, last = pattern[0][0], F.coalesce(*[F.col(f"{name}.last.id") for name, _ in reversed(pattern)])
     out = match.match_recognize(
-        rows, ["k"], ORDER, pattern, define, {"s": F.col(f"{first}.first.id"), "e": F.col(f"{last}.last.id")}, ["id"], skip
+        rows, ["k"], ORDER, pattern, define, {"s": F.col(f"{first}.first.id"), "e": last}, ["id"], skip
     )
     want = []
     for k, (path, ids) in paths(events).items():
@@ -141,3 +146,22 @@ def test_state_machine(rows, events):
         else:
             want.append((i, now))
     assert sorted((r["id"], r["state"]) for r in out.collect()) == sorted(want)
+
+
+def test_trailing_optional_within(spark):
+    """A last optional row that comes too late is left out, not the match."""
+    rows = spark.createDataFrame([("k", 0, 0, "a"), ("k", 5, 1, "b"), ("k", 20, 2, "a"), ("k", 40, 3, "b")], "k string, at bigint, id bigint, e string")
+    rows = rows.withColumn("ts", F.timestamp_seconds("at"))
+    pattern = Pattern.begin("a", is_("a")).next("b", is_("b"), "?").within(10)
+    found = match.find(rows, ["k"], ORDER, pattern, ["id"], "ts").select("start_idx", "end_idx").collect()
+    assert sorted(map(tuple, found)) == [(0, 1), (2, 2)]
+
+
+def test_negation_before_followed_by_any(spark):
+    rows = spark.createDataFrame([("k", i, i, e) for i, e in enumerate("acbab")], "k string, at bigint, id bigint, e string")
+    rows = rows.withColumn("ts", F.timestamp_seconds("at"))
+    pattern = Pattern.begin("a", is_("a")).not_next(is_("c")).followed_by_any("b", is_("b")).within(100)
+    found = match.find(rows, ["k"], ORDER, pattern, ["id"], "ts").select("start_idx", "end_idx").collect()
+    assert sorted(map(tuple, found)) == [(3, 4)]
+    with pytest.raises(ValueError):
+        match.find(rows, ["k"], ORDER, Pattern.begin("a", is_("a")).not_followed_by(is_("c")).followed_by_any("b", is_("b")).within(100), ["id"], "ts")
