@@ -8,7 +8,7 @@ from millrace.operators import calc
 from millrace.patterns import stream as pattern_stream
 from millrace.patterns.match import Pattern
 from millrace.plans.registry import query
-from millrace.streaming import keyed, order, processors, retract, run, temporal
+from millrace.streaming import eventtime, keyed, order, processors, retract, run, temporal
 
 
 def _stream(t):
@@ -29,6 +29,26 @@ def _totals():
     return [F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")]
 
 
+_ARRIVAL = "(ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL 5 DAY ELSE INTERVAL 0 DAY END)"
+_LATE_SQL = f"""
+  WITH s AS (SELECT *, CASE WHEN {_ARRIVAL} < TIMESTAMP '2024-01-11' THEN 0 WHEN {_ARRIVAL} < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS step FROM events),
+       m AS (SELECT a.step, max(b.ts) AS seen FROM (SELECT DISTINCT step FROM s) a LEFT JOIN s b ON b.step < a.step GROUP BY 1)"""
+
+
+def _late_stream(t):
+    wait = F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 5 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
+    rows = run.with_event_time(t.events.withColumn("arrival", F.col("ts") + wait), "ts")
+    first = "arrival < TIMESTAMP_NTZ '2024-01-11'"
+    second = "arrival >= TIMESTAMP_NTZ '2024-01-11' AND arrival < TIMESTAMP_NTZ '2024-01-21'"
+    return run.replay(rows, [first, second, "arrival >= TIMESTAMP_NTZ '2024-01-21'"])
+
+
+def _waiting(t):
+    """(events over three micro-batches, a seventh of them five days late, under a watermark that waits for those; the end)."""
+    stream, finish = run.ending(_late_stream(t), "ts")
+    return stream.withWatermark("ts", "6 days"), finish
+
+
 @query(
     "stream_tumble_append",
     f"""SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR AS window_end,
@@ -160,11 +180,13 @@ def stream_static_join(t):
        ASOF JOIN (SELECT * FROM events WHERE event_type = 'view') v ON b.user_id = v.user_id AND b.ts >= v.ts""",
 )
 def stream_latest_version_join(t):
-    """Purchases with the latest view of the user."""
-    rows = run.stream_table(t, "events", "ts", 1 << 30).select("event_id", "user_id", "event_type", "value", F.unix_micros("ts").alias("at"))
-    views = rows.where("event_type = 'view'").select("user_id", "at", F.col("value").alias("seen"))
-    joined = keyed.latest_version_join(rows.where("event_type = 'purchase'"), views, "user_id", "at", "event_id", "seen")
-    return run.append_table(joined)
+    """Purchases with the latest view of the user, rows arriving in order of event time once the watermark has passed them."""
+    stream, finish = _waiting(t)
+    rows = stream.select("ts", "event_id", "user_id", "event_type", "value", F.unix_micros("ts").alias("at"))
+    views = run.above_watermark(rows, "ts", F.col("event_type") == "view").select("ts", "user_id", "at", F.col("value").alias("seen"))
+    buys = run.above_watermark(rows, "ts", F.col("event_type") == "purchase")
+    with run.rocksdb_state(t.spark):
+        return run.append_table(keyed.latest_version_join(buys, views, "user_id", "at", "event_id", "seen", "ts"), finish=finish)
 
 
 _ROLL = """SELECT event_id, user_id, CAST(count(*) OVER w AS BIGINT) AS n, round(sum(value) OVER w, 4) AS total,
@@ -188,9 +210,12 @@ def stream_rolling(t):
        GROUP BY user_id, idx // 4 HAVING count(*) = 4""",
 )
 def stream_count_window(t):
-    rows = run.stream_table(t, "events", "ts", 1 << 30).select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
-    out = keyed.count_windows(rows, "user_id", ["at", "event_id"], "value", 4)
-    return run.append_table(out).withColumn("total", F.round("total", 4))
+    """Every four events of a user, counted in order of event time over micro-batches that bring some of them late."""
+    stream, finish = _waiting(t)
+    rows = stream.select("ts", "event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    with run.rocksdb_state(t.spark):
+        out = run.append_table(keyed.count_windows(rows, "user_id", ["at", "event_id"], "value", 4, "ts"), finish=finish)
+    return out.withColumn("total", F.round("total", 4))
 
 
 @query(
@@ -200,10 +225,10 @@ def stream_count_window(t):
 )
 def stream_connected_rules(t):
     """Two connected streams sharing the state of a user: purchases above the highest bar set so far."""
-    rows = run.stream_table(t, "events", "ts", 1 << 30)
-    bars = rows.where("event_type = 'signup'").select("user_id", F.unix_micros("ts").alias("at"), "value")
-    buys = rows.where("event_type = 'purchase'").select("user_id", F.unix_micros("ts").alias("at"), "event_id", "value")
-    joined = keyed.connect(bars, buys, "user_id", "at")
+    rows, finish = _waiting(t)
+    bars = run.above_watermark(rows, "ts", F.col("event_type") == "signup").select("ts", "user_id", F.unix_micros("ts").alias("at"), "value")
+    buys = run.above_watermark(rows, "ts", F.col("event_type") == "purchase").select("ts", "user_id", F.unix_micros("ts").alias("at"), "event_id", "value")
+    joined = keyed.connect(bars, buys, "user_id", "at", "ts")
 
     def bar(state, row):
         return max(state or 0.0, row["value"])
@@ -211,15 +236,18 @@ def stream_connected_rules(t):
     def check(state, row):
         return [(row["event_id"], state)] if state is not None and row["value"] > state else []
 
-    return run.append_table(keyed.co_process(joined, "user_id", bar, check, "event_id bigint, bar double", "double"))
+    with run.rocksdb_state(t.spark):
+        return run.append_table(keyed.co_process(joined, "user_id", bar, check, "event_id bigint, bar double", "double", "ts"), finish=finish)
 
 
 @query("trigger_delta_topspeed")
 def trigger_delta_topspeed(t):
     """Fires when a user's value has moved by 100; best record of the last two days."""
-    rows = run.stream_table(t, "events", "ts", 1 << 30).select("event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
-    out = keyed.delta_windows(rows, "user_id", ["at", "event_id"], "at", "value", "value", 100.0, 2 * 86_400_000_000)
-    return run.append_table(out)
+    stream, finish = _waiting(t)
+    rows = stream.select("ts", "event_id", "user_id", F.unix_micros("ts").alias("at"), "value")
+    with run.rocksdb_state(t.spark):
+        out = keyed.delta_windows(rows, "user_id", ["at", "event_id"], "at", "value", "value", 100.0, 2 * 86_400_000_000, "ts")
+        return run.append_table(out, finish=finish)
 
 
 _STEPS = ["day(ts) <= 10", "day(ts) > 10 AND day(ts) <= 20", "day(ts) > 20"]
@@ -340,20 +368,6 @@ def stream_changelog_nested(t):
     return table.select(F.col("size").alias("n"), F.col("n").alias("users"), "high")
 
 
-_ARRIVAL = "(ts + CASE WHEN event_id % 7 = 0 THEN INTERVAL 5 DAY ELSE INTERVAL 0 DAY END)"
-_LATE_SQL = f"""
-  WITH s AS (SELECT *, CASE WHEN {_ARRIVAL} < TIMESTAMP '2024-01-11' THEN 0 WHEN {_ARRIVAL} < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS step FROM events),
-       m AS (SELECT a.step, max(b.ts) AS seen FROM (SELECT DISTINCT step FROM s) a LEFT JOIN s b ON b.step < a.step GROUP BY 1)"""
-
-
-def _late_stream(t):
-    wait = F.when(F.col("event_id") % 7 == 0, F.expr("INTERVAL 5 DAY")).otherwise(F.expr("INTERVAL 0 DAY"))
-    rows = run.with_event_time(t.events.withColumn("arrival", F.col("ts") + wait), "ts")
-    first = "arrival < TIMESTAMP_NTZ '2024-01-11'"
-    second = "arrival >= TIMESTAMP_NTZ '2024-01-11' AND arrival < TIMESTAMP_NTZ '2024-01-21'"
-    return run.replay(rows, [first, second, "arrival >= TIMESTAMP_NTZ '2024-01-21'"])
-
-
 @query(
     "stream_temporal_join",
     """SELECT b.event_id, b.user_id, v.value AS seen, v.ts AS seen_at FROM (SELECT * FROM events WHERE event_type = 'purchase') b
@@ -400,6 +414,111 @@ def stream_sort_arrivals(t):
     return calc.zip_with_index(rows, ["_batch", "value", "event_id"], "place").select("event_id", "place")
 
 
+_FRAME = "CAST(count(value) OVER w AS BIGINT) AS n, round(sum(value) OVER w, 4) AS total, min(value) OVER w AS low, max(value) OVER w AS high, round(stddev_samp(value) OVER w, 6) AS deviation"
+
+
+def _framed(t, **frame):
+    rows, finish = _waiting(t)
+    with run.rocksdb_state(t.spark):
+        out = run.append_table(eventtime.over(rows.select("ts", "user_id", "event_id", "value"), "user_id", "ts", ["event_id"], "value", ["event_id"], **frame), finish=finish)
+    return out.withColumn("total", F.round("total", 4)).withColumn("deviation", F.round("deviation", 6))
+
+
+@query(
+    "stream_over_rows",
+    f"SELECT user_id, event_id, {_FRAME} FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
+)
+def stream_over_rows(t):
+    """The last four events of a user at each of them, in order of event time though some come late (O1-O3)."""
+    return _framed(t, rows=3)
+
+
+@query(
+    "stream_over_range",
+    f"SELECT user_id, event_id, {_FRAME} FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW)",
+)
+def stream_over_range(t):
+    """The last two days of a user at each event (O1-O3)."""
+    return _framed(t, micros=2 * 86_400_000_000)
+
+
+def _panes_sql(pane, total, late="coalesce(w >= start + INTERVAL 1 DAY, false)"):
+    """Firings of day windows: rows of one pane come out together; ``total`` says what a firing shows."""
+    return f"""{_LATE_SQL}, r AS (SELECT event_type, value, step, time_bucket(INTERVAL 1 DAY, ts) AS start, seen - INTERVAL 1 DAY AS w FROM s JOIN m USING (step)),
+        p AS (SELECT event_type, start, CASE WHEN {late} THEN step ELSE {pane} END AS pane, count(*) AS n, sum(value) AS total
+              FROM r WHERE NOT coalesce(w >= start + INTERVAL 4 DAY, false) GROUP BY ALL)
+        SELECT event_type, start AS window_start, CAST(row_number() OVER v - 1 AS INTEGER) AS firing, {total}
+        FROM p WINDOW v AS (PARTITION BY event_type, start ORDER BY pane)"""
+
+
+_GROWING = "CAST(sum(n) OVER v AS BIGINT) AS n, round(sum(total) OVER v, 4) AS total"
+
+
+def _panes(t, **rules):
+    stream, finish = run.ending(_late_stream(t).select("event_type", "ts", "value"), "ts")
+    with run.rocksdb_state(t.spark):
+        fired = run.append_table(eventtime.triggered(stream, "event_type", "ts", "value", 86_400, 86_400, 3 * 86_400, **rules), finish=finish)
+    start = F.timestamp_millis("start").cast("timestamp_ntz")
+    fired = fired.where(start < F.lit(run.END_OF_TIME).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY"))  # the end is no window
+    return fired.select("event_type", start.alias("window_start"), "firing", "n", F.round("total", 4).alias("total"))
+
+
+@query("stream_late_updates", _panes_sql("-1", _GROWING))
+def stream_late_updates(t):
+    """Day windows that fire again for rows up to three days late."""
+    return _panes(t)
+
+
+@query("stream_purging_trigger", _panes_sql("-1", "CAST(n AS BIGINT) AS n, round(total, 4) AS total"))
+def stream_purging_trigger(t):
+    """The same windows, emptied by each firing."""
+    return _panes(t, purge=True)
+
+
+@query("stream_processing_trigger", _panes_sql("step", _GROWING))
+def stream_processing_trigger(t):
+    """Windows that fire at each micro-batch, the tick of processing time, before their end as well."""
+    return _panes(t, early=True)
+
+
+@query(
+    "stream_punctuated",
+    f"""{_LATE_SQL}, k AS (SELECT a.step, max(b.ts) - INTERVAL 3 DAY AS mark FROM (SELECT DISTINCT step FROM s) a
+          LEFT JOIN s b ON b.step < a.step AND b.event_type = 'signup' GROUP BY 1),
+        kept AS (SELECT s.* FROM s JOIN k USING (step) WHERE ts >= coalesce(date_trunc('milliseconds', mark), ts)
+                 AND ts < (SELECT date_trunc('milliseconds', max(ts) - INTERVAL 3 DAY) FROM s WHERE event_type = 'signup'))
+        SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS place FROM kept""",
+)
+def stream_punctuated(t):
+    """Signups mark that all is there up to three days before them; rows up to the last mark come out, in order."""
+    stream = eventtime.marked(_late_stream(t), F.when(F.col("event_type") == "signup", F.col("ts") - F.expr("INTERVAL 3 DAYS")))
+    rows = stream.select("ts", "mark_at", "user_id", "event_id")
+
+    def number(name, new, state):
+        begun = state[0] if state else 0
+        return new[["user_id", "event_id"]].assign(place=range(begun + 1, begun + len(new) + 1)), (begun + len(new),)
+
+    with run.rocksdb_state(t.spark):
+        return run.append_table(eventtime.in_order(rows, "user_id", "ts", ["event_id"], number, "user_id bigint, event_id bigint, place bigint", "n bigint"))
+
+
+@query(
+    "stream_rule_updates",
+    """WITH c AS (SELECT event_id % 16 AS rule, ts, event_type, value, lead(ts) OVER (PARTITION BY event_id % 16 ORDER BY ts, event_id) AS until
+                  FROM events WHERE event_type IN ('signup', 'error'))
+       SELECT e.event_id, c.rule, c.value AS bar FROM events e JOIN c ON c.event_type = 'signup' AND c.ts <= e.ts AND (c.until IS NULL OR e.ts < c.until)
+       WHERE e.event_type = 'purchase' AND e.value > c.value""",
+)
+def stream_rule_updates(t):
+    """Signups set a rule, errors remove it; purchases are judged by the rules that are valid at their time."""
+    stream, finish = _waiting(t)
+    kind, copies = F.col("event_type"), int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    rule = F.when(kind.isin("signup", "error"), F.col("event_id") % 16)
+    found = eventtime.judged(stream, "ts", rule, F.when(kind == "signup", F.col("value")), kind == "purchase", "event_id", "value", copies)
+    with run.rocksdb_state(t.spark):
+        return run.append_table(found, finish=finish)
+
+
 @query(
     "stream_idle_retention",
     """WITH g AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),

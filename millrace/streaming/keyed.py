@@ -10,16 +10,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.streaming.eventtime import in_order
+
 Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple | None]]
 
 
-def keyed(stream: DataFrame, keys: list[str], order: list[str], step: Step, output: str, state: str) -> DataFrame:
+def keyed(
+    stream: DataFrame, keys: list[str], order: list[str], step: Step, output: str, state: str, time: str | None = None
+) -> DataFrame:
     """Per key and micro-batch: ``step(key, rows in order, state) -> (rows out, new state)``.
 
     A key's rows of one micro-batch are put in order together, so the read limit of the source
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds what a task holds. A state of None
-    clears the key.
+    clears the key. With the event time ``time`` rows wait until the watermark has passed them
+    (:func:`eventtime.in_order`), so that their order does not depend on the micro-batches.
     """
+    if time is not None:
+        return in_order(stream, keys[0], time, order, step, output, state)
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
@@ -88,8 +95,8 @@ def counts_while_active(stream: DataFrame, key: str, at: str, carry: list[str],
     )
 
 
-def count_windows(stream: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
-    """A result whenever ``size`` records of a key have arrived; the rest waits in state."""
+def count_windows(stream: DataFrame, key: str, order: list[str], value: str, size: int, time: str | None = None) -> DataFrame:
+    """A result whenever ``size`` records of a key have arrived (in order of event time, if given); the rest waits in state."""
     kind = dict(stream.dtypes)[key]
 
     def step(name, rows, state):
@@ -106,12 +113,12 @@ def count_windows(stream: DataFrame, key: str, order: list[str], value: str, siz
         return out, (window + full, values[full * size :])
 
     return keyed(
-        stream, [key], order, step, f"{key} {kind}, window bigint, total double", "window bigint, waiting array<double>"
+        stream, [key], order, step, f"{key} {kind}, window bigint, total double", "window bigint, waiting array<double>", time
     )
 
 
 def delta_windows(
-    stream: DataFrame, key: str, order: list[str], at: str, measure: str, best: str, threshold: float, keep_micros: int
+    stream: DataFrame, key: str, order: list[str], at: str, measure: str, best: str, threshold: float, keep_micros: int, time: str | None = None
 ) -> DataFrame:
     """Delta trigger with a time evictor: when ``measure`` has moved by more than ``threshold`` since the
     last firing, emit the record with the greatest ``best`` among those of the last ``keep_micros``.
@@ -145,17 +152,21 @@ def delta_windows(
         step,
         f"{key} {kind}, fired_at bigint, best_at bigint, best double, held bigint",
         "fired_at double, times array<bigint>, bests array<double>",
+        time,
     )
 
 
-def connect(left: DataFrame, right: DataFrame, key: str, at: str) -> DataFrame:
+def connect(left: DataFrame, right: DataFrame, key: str, at: str, time: str | None = None) -> DataFrame:
     """Two streams as one tagged stream (key, at, side, body), so that both share the state of their key."""
-    a = left.select(key, at, F.lit(0).alias("side"), F.to_json(F.struct("*")).alias("body"))
-    b = right.select(key, at, F.lit(1).alias("side"), F.to_json(F.struct("*")).alias("body"))
+    kept = [key, at, *([time] if time else [])]
+    a = left.select(*kept, F.lit(0).alias("side"), F.to_json(F.struct("*")).alias("body"))
+    b = right.select(*kept, F.lit(1).alias("side"), F.to_json(F.struct("*")).alias("body"))
     return a.unionByName(b)
 
 
-def co_process(connected: DataFrame, key: str, first: Callable, second: Callable, output: str, kind: str) -> DataFrame:
+def co_process(
+    connected: DataFrame, key: str, first: Callable, second: Callable, output: str, kind: str, time: str | None = None
+) -> DataFrame:
     """Shared keyed state: ``first(state, row) -> state`` and ``second(state, row) -> [output tuples]``.
 
     ``connected`` comes from :func:`connect` with the time column ``at``; the state is one value of type
@@ -173,20 +184,22 @@ def co_process(connected: DataFrame, key: str, first: Callable, second: Callable
                 out += [(name[0], *values) for values in second(held, json.loads(body))]
         return pd.DataFrame(out, columns=[key, *names]), (None if held is None else (held,))
 
-    return keyed(connected, [key], ["at", "side"], step, f"{key} {key_kind}, {output}", f"held {kind}")
+    return keyed(connected, [key], ["at", "side"], step, f"{key} {key_kind}, {output}", f"held {kind}", time)
 
 
 def latest_version_join(
-    probes: DataFrame, versions: DataFrame, key: str, at: str, probe_id: str, value: str
+    probes: DataFrame, versions: DataFrame, key: str, at: str, probe_id: str, value: str, time: str | None = None
 ) -> DataFrame:
     """Processing-time temporal join: each probe meets the latest version of its key seen so far.
 
-    Inside one micro-batch arrival order is taken from ``at``; probes without a version are dropped.
+    Inside one micro-batch arrival order is taken from ``at``; with ``time`` rows wait for the watermark, and arrival is
+    in order of event time. Probes without a version are dropped.
     """
     kind = dict(probes.dtypes)
-    merged = probes.select(key, at, F.lit(1).alias("side"), F.col(probe_id).alias("id"), F.lit(None).cast("double").alias("v"))
+    kept = [key, at, *([time] if time else [])]
+    merged = probes.select(*kept, F.lit(1).alias("side"), F.col(probe_id).alias("id"), F.lit(None).cast("double").alias("v"))
     merged = merged.unionByName(
-        versions.select(key, at, F.lit(0).alias("side"), F.lit(None).cast(kind[probe_id]).alias("id"), F.col(value).alias("v"))
+        versions.select(*kept, F.lit(0).alias("side"), F.lit(0).cast(kind[probe_id]).alias("id"), F.col(value).alias("v"))
     )
 
     def step(name, rows, state):
@@ -200,7 +213,7 @@ def latest_version_join(
         return pd.DataFrame(out, columns=[key, probe_id, value]), (None if current is None else (current,))
 
     return keyed(
-        merged, [key], [at, "side"], step, f"{key} {kind[key]}, {probe_id} {kind[probe_id]}, {value} double", "v double"
+        merged, [key], [at, "side"], step, f"{key} {kind[key]}, {probe_id} {kind[probe_id]}, {value} double", "v double", time
     )
 
 

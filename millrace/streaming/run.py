@@ -110,6 +110,14 @@ def ending(stream: DataFrame, time: str) -> tuple[DataFrame, Callable[[], None]]
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path)), finish
 
 
+def above_watermark(stream: DataFrame, time: str, condition) -> DataFrame:
+    """Rows that meet ``condition``, tested after the watermark has seen all rows.
+
+    A plain filter is pushed below the watermark, where it would also drop the row that ends the stream.
+    """
+    return stream.where(F.when(F.col(time).isNotNull(), condition).otherwise(F.lit(False)))
+
+
 def append_table(stream: DataFrame, checkpoint: str | None = None, finish: Callable[[], None] | None = None) -> DataFrame:
     """Append sink: run what is available, then read the written rows.
 
