@@ -7,7 +7,9 @@ at every bucket that is still large, ``BRANCH`` of the sampled tokens (which one
 chosen and the sets go to one child for each, together with the sets that have the same token there. Small
 buckets are leaves and are compared by brute force. A bucket whose sets are alike on average would not get
 smaller; it is a leaf too, compared in blocks. A pair at the threshold survives a run with a fixed
-probability at any depth, so that :func:`runs_for` independent runs reach the target recall.
+probability at any depth, given how many sampled tokens it shares. Runs choose tokens on their own but from the
+same sample, so that :func:`recall_of` averages over the shared number and :func:`runs_for` gives the runs that reach
+the target recall: five, which find a pair at the threshold with a probability of 0.99996.
 
 A pair may share several leaves; it is compared only in the smallest of them, so that links are counted, not
 listed. A byte of each sampled token serves as a sketch that rules out unlike pairs; all others are compared
@@ -35,7 +37,7 @@ from millrace.graph.loops import connected_components
 from millrace.llm.arrays import coded, give_back, hashes, mixed, ngram_hashes, sliced, spread, texts_of, words_of
 from millrace.scratch import drop, numbered, written
 
-SHINGLE, LEAST, RECALL = 5, 0.8, 0.999999
+SHINGLE, LEAST, RECALL = 5, 0.8, 0.9999
 WIDTH, BRANCH, LEAF = 64, 2, 128
 ALIKE = 1 / BRANCH  # a bucket of such an average similarity does not get smaller by branching
 BLOCK_SETS, BLOCK_ITEMS, MOST_BROADCAST = 512, 1 << 20, 1_000_000
@@ -54,9 +56,20 @@ def survival(least: float = LEAST, branch: int = BRANCH) -> float:
     return s
 
 
+def recall_of(runs: int, least: float = LEAST, branch: int = BRANCH) -> float:
+    """Probability that a pair at the threshold shares a leaf of some run; all runs choose from one sample of WIDTH tokens."""
+    shared = ((k, math.comb(WIDTH, k) * least**k * (1 - least) ** (WIDTH - k)) for k in range(WIDTH + 1))
+    return 1 - sum(p * (1 - survival(k / WIDTH, branch)) ** runs for k, p in shared)
+
+
 def runs_for(recall: float, least: float = LEAST, branch: int = BRANCH) -> int:
-    """Runs that reach the recall for a pair at the threshold."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(least, branch))))
+    """The fewest runs that reach the recall for a pair at the threshold."""
+    runs = 1
+    while recall_of(runs, least, branch) < recall:
+        runs += 1
+        if runs > WIDTH:
+            raise ValueError(f"no {WIDTH} runs over {WIDTH} sampled tokens reach a recall of {recall}")
+    return runs
 
 
 def sets_of(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import coded, mixed, sliced, spread, texts_of, words_of
+from millrace.llm.samples import DRAWS, bounded
 
 BITS, SPAN, CHUNK, LEXICON = 16, 48, 128, 500
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.05, 1e-4
@@ -251,15 +252,18 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, max_rows: int = 8000) -> Chain:
-    """Fit on at most about ``max_rows`` labelled documents that are not held out, a span of each."""
+    """Fit on at most ``max_rows`` labelled documents that are not held out, a span of each.
+
+    Rows are drawn by a hash of id and text, and equal rows count once: an id that many rows bear does not widen the bound.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return fit_chain([])
     part = F.lit(0)
     for lang, n in counts.items():
-        part = F.when(F.col("lang") == lang, min(1 << 20, int(max_rows / len(counts) / n * (1 << 20)) + 1)).otherwise(part)
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part)
+        part = F.when(F.col("lang") == lang, min(DRAWS, int(max_rows / len(counts) / n * DRAWS) + 1)).otherwise(part)
+    some = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(DRAWS)) < part)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -269,9 +273,10 @@ def fit(docs: DataFrame, max_rows: int = 8000) -> Chain:
             edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             taken = words.take(pa.array(spread(size, offsets[:-1] + place)))
             joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), taken), " ")
-            yield pa.RecordBatch.from_arrays([batch.column(0), joined], ["lang", "span"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), joined], ["lang", "at", "span"])
 
-    rows = some.select("lang", "text", F.xxhash64(F.lit(1), "doc_id").alias("at")).mapInArrow(spans, "lang string, span string")
+    rows = some.select("lang", "text", F.xxhash64(F.lit(1), "doc_id").alias("at"))
+    rows = bounded(rows.mapInArrow(spans, "lang string, at long, span string"), max_rows)
     return fit_chain(sorted((r["lang"], r["span"]) for r in rows.collect()))
 
 

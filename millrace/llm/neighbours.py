@@ -9,7 +9,7 @@ of each query go on.
 
 The number of probes is fitted: for at most ``SAMPLE`` queries the true neighbours are found by going through
 all rows, and the fewest probes that find ``recall`` of them are used. A bucket with many rows is cut into
-blocks that each meet the queries on their own, so that no group grows with the data. Queries that find too
+blocks and its queries into parts that each meet on their own, so that no group grows with the data, whatever the ids. Queries that find too
 few rows go through all rows in blocks, which is exact.
 
 Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with a
@@ -221,14 +221,19 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def fitted_probes(queries: DataFrame, rows: DataFrame, tables: int, parts: int, recall: float, k: int) -> int:
     """The fewest probes a table that find ``recall`` of the true neighbours of at most SAMPLE queries."""
     sample = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    near = through_all(sample, rows, k).select("query_id", "vec_id")
-    ids = F.broadcast(near)  # at most SAMPLE * k pairs
-    pairs = (
-        ids.join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("v")), "vec_id")
-        .join(F.broadcast(sample.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))), "query_id")
-        .where(F.size("v") == F.size("q"))
-        .collect()
-    )
+    near = through_all(sample, rows, k).select("query_id", "vec_id").collect()  # at most SAMPLE * k pairs
+    near = rows.sparkSession.createDataFrame(near, "query_id long, vec_id long")
+    asked = sample.select(F.col("id").alias("query_id"), F.col("vector").alias("q"))
+    ids = F.broadcast(near.join(asked, "query_id"))  # at most k rows for each pair of rows of the sample that bear one id
+    own = rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("v"))
+    own = own.join(F.broadcast(near.select("vec_id").distinct()), "vec_id", "left_semi").distinct()
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    unit = lambda a: F.transform(F.col(a), lambda x: x / F.array_max(F.transform(F.col(a), F.abs)))
+    met_ = own.join(ids, "vec_id").where(F.size("v") == F.size("q")).withColumn("_v", unit("v")).withColumn("_q", unit("q"))
+    cosine = dot(F.col("_v"), F.col("_q")) / F.sqrt(dot(F.col("_v"), F.col("_v")) * dot(F.col("_q"), F.col("_q")))
+    # rows of one id count as one, so that the nearest row of a pair of ids stands for it: SAMPLE * k rows at most
+    best_rows = met_.groupBy("query_id", "vec_id").agg(F.max(F.struct(cosine.alias("score"), "q", "v")).alias("best"))
+    pairs = best_rows.select("best.q", "best.v").collect()
     if not pairs:
         return 1
     needed = []
@@ -246,14 +251,25 @@ def fitted_probes(queries: DataFrame, rows: DataFrame, tables: int, parts: int,
 
 
 def met(queries: DataFrame, index: DataFrame, block_rows: int, k: int) -> DataFrame:
-    """The k best of each query in each (table, bucket, block): (query_id, vec_id, score)."""
-    sizes = index.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
-    cut = sizes.select("table", "bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    """The k best of each query in each (table, bucket, block): (query_id, vec_id, score).
+
+    Rows of a long bucket are cut into blocks and its queries into parts; each block meets each part in a group of its own.
+    """
+    many = lambda df, size, name: (
+        df.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
+        .select("table", "bucket", F.ceil(F.col("n") / size).cast("int").alias(name))
+    )
+    cut = many(index, block_rows, "blocks").join(many(queries, block_rows, "parts"), ["table", "bucket"], "full")
     if cut.count() <= MOST_BROADCAST:
         cut = F.broadcast(cut)
-    blocks = F.coalesce("blocks", F.lit(1))
-    left = index.join(cut, ["table", "bucket"], "left").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    right = queries.join(cut, ["table", "bucket"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    blocks, parts = F.coalesce("blocks", F.lit(1)), F.coalesce("parts", F.lit(1))
+    # rows are dealt by their number in the scan, not by what they hold: copies of one row fall into different blocks
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    deal = lambda n: F.pmod(F.xxhash64("_row"), n).cast("int")
+    numbered = lambda df: df.withColumn("_row", F.monotonically_increasing_id()).join(cut, ["table", "bucket"], "left")
+    left = numbered(index).withColumn("_block", deal(blocks)).withColumn("_part", every(parts))
+    right = numbered(queries).withColumn("_part", deal(parts)).withColumn("_block", every(blocks))
+    left, right = (df.withColumn("block", F.col("_block") * parts + F.col("_part")) for df in (left, right))
     shown = ["table", "bucket", "block", "side", "id", "vector"]
     both = right.withColumn("side", F.lit(0)).select(shown).unionByName(left.withColumn("side", F.lit(1)).select(shown))
     dealt = both.repartition("table", "bucket", "block").sortWithinPartitions("table", "bucket", "block", "side", "id")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import coded, list_parts, sliced, texts_of
-from millrace.scratch import written
+from millrace.llm.samples import bounded
 
 FEATURES = (
     "bytes words lines upper lower digit space punctuation other_bytes exclamation pipe symbols "
@@ -206,15 +206,17 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(measured: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = 40_000) -> Trees:
-    """Trees fitted on at most about ``max_rows`` labelled rows that are not held out, chosen by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows: int = 40_000) -> Trees:
+    """Trees fitted on at most ``max_rows`` labelled rows that are not held out, chosen by a hash.
+
+    Only documents of the drawn labels are measured. Equal labels of an id and equal rows (id, label, statistics) count
+    once, and the bound is on rows: an id that many rows bear does not widen it.
+    """
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    known = known.select(F.col("doc_id"), F.col(column).cast("int").alias("label"))
-    count = known.count()
-    if count > max_rows:
-        share = int(max_rows / count * (1 << 20))
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
-    rows = measured.join(known, "doc_id").select("doc_id", "statistics", "label").toPandas()
+    drawn = bounded(known.select("doc_id", F.col(column).cast("int").alias("label")), max_rows)
+    drawn = F.broadcast(drawn)  # at most max_rows rows of two numbers
+    measured = with_statistics(docs.select("doc_id", "text").join(drawn.select("doc_id").distinct(), "doc_id", "left_semi"))
+    rows = bounded(measured.join(drawn, "doc_id").select("doc_id", "statistics", "label"), max_rows).toPandas()
     if not len(rows):
         return fit_trees(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
     rows["key"] = [tuple(s) for s in rows["statistics"]]
@@ -222,23 +224,20 @@ def fit(measured: DataFrame, labels: DataFrame, column: str = "quality", max_row
     return fit_trees(np.stack(rows["statistics"].to_list()).astype(np.float32), rows["label"].to_numpy(np.float64))
 
 
-def score(measured: DataFrame, trees: Trees) -> DataFrame:
-    """(doc_id, score) of every measured document."""
+def score(docs: DataFrame, trees: Trees) -> DataFrame:
+    """(doc_id, score) of every document, measured and scored in one pass."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("statistics"))
-            rows = list_parts(lists)[0].to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(rows))], ["doc_id", "score"])
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees.score(statistics(texts_of(batch))))], ["doc_id", "score"])
 
-    kind = measured.schema["doc_id"].dataType.simpleString()
-    return measured.select("doc_id", "statistics").mapInArrow(walk, f"doc_id {kind}, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(walk, f"doc_id {kind}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted."""
-    measured = written(with_statistics(docs), "statistics")
-    scored = score(measured, fit(measured, labels, max_rows=max_rows))
+    scored = score(docs, fit(docs, labels, max_rows=max_rows))
     return scored.select(
         "doc_id",
         is_held_out(F.col("doc_id")).alias("held_out"),
@@ -249,7 +248,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000) -
 
 def good_documents(docs: DataFrame, labels: DataFrame, max_rows: int = 40_000) -> DataFrame:
     """``docs`` without the rows whose score is below 0.5, all columns kept."""
-    trees = fit(written(with_statistics(docs), "statistics"), labels, max_rows=max_rows)
+    trees = fit(docs, labels, max_rows=max_rows)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

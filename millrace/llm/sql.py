@@ -31,7 +31,7 @@ n AS (SELECT *, length(x) - CASE WHEN i % 2 = 0 AND headed THEN 1 ELSE 0 END AS
 o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM n),
 f AS (SELECT r, kind, name, role, strong, a, a + n AS b FROM o WHERE i % 2 = 0 AND CASE name
         WHEN 'assign' THEN length({_OWN}) >= 6 WHEN 'access' THEN length(x) >= 20 WHEN 'hex' THEN true
-        WHEN 'secret' THEN length(x) <= 88 AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]')
+        WHEN 'secret' THEN regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[a-z]')
         WHEN 'account' THEN length({_OWN}) >= 3 ELSE length(x) >= 10 END),
 m AS (SELECT w.r, w.kind, w.a,
         max((v.a < w.b AND w.a < v.b AND v.strong)::INT) AS inside,

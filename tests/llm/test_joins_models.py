@@ -104,6 +104,34 @@ def test_an_id_on_many_rows_takes_one_place(stored):
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, n + 1, i) for q, w in truth.items() for n, (i, _) in enumerate(w)}
 
 
+def test_what_the_fit_collects_hangs_on_no_id(stored, monkeypatch):
+    random = np.random.default_rng(3)
+    rows = [(i, random.normal(size=8).tolist()) for i in range(400)] + [(401, random.normal(size=8).tolist()) for _ in range(200)]
+    rows += [(402, rows[0][1])] * 200
+    table = stored(rows, "vec_id long, embedding array<double>")
+    most, own = [], neighbours.bucket
+
+    def watched(matrix, *rest):
+        most.append(len(matrix))
+        return own(matrix, *rest)
+
+    monkeypatch.setattr(neighbours, "bucket", watched)
+    used = neighbours.usable(table)
+    neighbours.fitted_probes(used.where("id % 5 = 0"), used, 4, 1, 0.9, 5)
+    assert max(most) <= neighbours.SAMPLE * 5
+
+
+def test_hot_buckets_meet_in_blocks_and_parts(stored):
+    random = np.random.default_rng(4)
+    rows = [(i, random.normal(size=4).tolist()) for i in range(150)] + [(1000, random.normal(size=4).tolist()) for _ in range(60)]
+    used = neighbours.usable(stored(rows, "vec_id long, embedding array<double>"))
+    one = used.select(F.lit(-1).alias("table"), F.lit(4).cast("long").alias("bucket"), "id", "vector")
+    asked = one.where("id % 2 = 0")
+    whole, cut = (neighbours.ranked(neighbours.met(asked, one, size, 5), 5).toPandas() for size in (10_000, 16))
+    order = ["query_id", "rank"]
+    assert whole.sort_values(order).values.tolist() == cut.sort_values(order).values.tolist() and len(whole) == 5 * 76
+
+
 def test_ties_are_scored_in_bounded_memory():
     same, ids = np.ones((4000, 32)), np.arange(4000)
     tracemalloc.start()
@@ -253,7 +281,11 @@ def test_near_copies_of_nothing(stored):
 
 def test_runs_reach_the_recall():
     assert abs(chosen_path.survival() - 0.9375) < 1e-6
-    assert (1 - chosen_path.survival()) ** chosen_path.runs_for(0.999999) <= 1e-6
+    assert chosen_path.runs_for(chosen_path.RECALL) == 5 and chosen_path.recall_of(5) > 0.99996
+    # runs choose from one sample of tokens: the average over the number of shared ones, drawn here
+    shared = np.random.default_rng(5).binomial(chosen_path.WIDTH, 0.8, 200_000) / chosen_path.WIDTH
+    chance = {s: (1 - chosen_path.survival(s)) ** 3 for s in np.unique(shared)}
+    assert abs(np.mean([chance[s] for s in shared]) / (1 - chosen_path.recall_of(3)) - 1) < 0.1
 
 
 @settings(max_examples=100, deadline=None)
