@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.patterns import machine, match
+from millrace.patterns import automaton, machine, match
 from millrace.patterns.match import Pattern
 from millrace.plans.registry import query
 
@@ -232,3 +232,75 @@ def pattern_trailing_optional(t):
     last = F.coalesce("b.last.event_id", "a.last.event_id")
     measures = {"start_id": F.col("a.first.event_id"), "end_id": last}
     return match.match_recognize(t.events, ["user_id"], ["ts", "event_id"], [("a", ""), ("b", "?")], define, measures, ["event_id"])
+
+
+_DAY = 86_400
+
+
+@query(
+    "pattern_times_range",
+    """WITH p AS (SELECT a.user_id, a.event_id AS a_id, a.ts AS a_ts, b.event_id AS b_id, b.ts AS b_ts,
+         row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts, b.event_id) AS n FROM events a JOIN events b
+         ON a.user_id = b.user_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND a.event_type = 'view' AND b.event_type = 'purchase')
+       SELECT user_id, a_id, b_id AS last_id, n FROM p WHERE n BETWEEN 2 AND 3 AND b_ts < a_ts + INTERVAL 5 DAY""",
+)
+def pattern_times_range(t):
+    """A view and two to three purchases after it, other events in between."""
+    bought = automaton.repeat(automaton.row("b", _is("purchase"), "followed_by"), 2, 3, "followed_by")
+    pattern = automaton.seq(automaton.row("a", _is("view")), bought)
+    found = automaton.find(_events(t), ["user_id"], ORDER, pattern, ["event_id"], 5 * _DAY)
+    ids = automaton.rows_of("b", "event_id")
+    first = F.element_at(automaton.rows_of("a", "event_id"), 1)
+    return found.select("user_id", first.alias("a_id"), F.element_at(ids, -1).alias("last_id"), F.size(ids).cast("long").alias("n"))
+
+
+@query(
+    "pattern_until",
+    """WITH p AS (SELECT a.user_id, a.event_id AS a_id, a.ts AS a_ts, b.event_id AS b_id, b.ts AS b_ts,
+         row_number() OVER w AS n, first_value((b.ts, b.event_id)) OVER w AS opened FROM events a JOIN events b
+         ON a.user_id = b.user_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND a.event_type = 'view' AND b.event_type = 'click'
+         WINDOW w AS (PARTITION BY a.event_id ORDER BY b.ts, b.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+       SELECT user_id, a_id, b_id AS last_id, n FROM p WHERE b_ts < a_ts + INTERVAL 5 DAY AND NOT EXISTS (SELECT 1 FROM events e
+         WHERE e.user_id = p.user_id AND e.event_type = 'error' AND (e.ts, e.event_id) > p.opened AND (e.ts, e.event_id) < (p.b_ts, p.b_id))""",
+)
+def pattern_until(t):
+    """A view and clicks after it, any number until an error."""
+    clicks = automaton.repeat(automaton.row("b", _is("click"), "followed_by"), 1, None, "followed_by", until=_is("error"))
+    pattern = automaton.seq(automaton.row("a", _is("view")), clicks)
+    found = automaton.find(_events(t), ["user_id"], ORDER, pattern, ["event_id"], 5 * _DAY)
+    ids = automaton.rows_of("b", "event_id")
+    first = F.element_at(automaton.rows_of("a", "event_id"), 1)
+    return found.select("user_id", first.alias("a_id"), F.element_at(ids, -1).alias("last_id"), F.size(ids).cast("long").alias("n"))
+
+
+@query(
+    "pattern_combinations",
+    """SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id, c.event_id AS c_id FROM events a
+       JOIN events b ON a.user_id = b.user_id AND (b.ts, b.event_id) > (a.ts, a.event_id) AND b.event_type = 'view'
+       JOIN events c ON a.user_id = c.user_id AND (c.ts, c.event_id) > (b.ts, b.event_id) AND c.event_type = 'view'
+       WHERE a.event_type = 'signup' AND c.ts < a.ts + INTERVAL 4 DAY""",
+)
+def pattern_combinations(t):
+    """A signup and every two views after it (C3, all combinations)."""
+    views = automaton.repeat(automaton.row("b", _is("view"), "followed_by_any"), 2, 2, "followed_by_any")
+    pattern = automaton.seq(automaton.row("a", _is("signup")), views)
+    found = automaton.find(_events(t), ["user_id"], ORDER, pattern, ["event_id"], 4 * _DAY)
+    ids = automaton.rows_of("b", "event_id")
+    first = F.element_at(automaton.rows_of("a", "event_id"), 1)
+    return found.select("user_id", first.alias("a_id"), F.element_at(ids, 1).alias("b_id"), F.element_at(ids, 2).alias("c_id"))
+
+
+@query(
+    "match_recognize_alternation",
+    f"""WITH {_LETTERS}, m AS (SELECT *, regexp_extract(substr(path, i), '^v(s|cp)+[es]') AS hit FROM s),
+        f AS (SELECT user_id, ids[i] AS start_id, ids[i + length(hit) - 1] AS end_id, CAST(length(hit) AS BIGINT) AS size FROM m WHERE hit <> '')
+        SELECT f.* FROM f JOIN events a ON a.event_id = start_id JOIN events b ON b.event_id = end_id WHERE b.ts < a.ts + INTERVAL 30 DAY""",
+)
+def match_recognize_alternation(t):
+    """PATTERN (A (B | C D)+ E), one match for each start, as many rounds as there can be."""
+    turn = automaton.either(automaton.row("b", _is("signup")), automaton.seq(automaton.row("c", _is("click")), automaton.row("d", _is("purchase"))))
+    closing = automaton.row("e", F.col("event_type").isin("error", "signup"))
+    pattern = automaton.seq(automaton.row("a", _is("view")), automaton.repeat(turn, 1), closing)
+    found = automaton.find(_events(t), ["user_id"], ORDER, pattern, ["event_id"], 30 * _DAY, every=False)
+    first, last = F.element_at("events", 1)["row"]["event_id"], F.element_at("events", -1)["row"]["event_id"]
+    return found.select("user_id", first.alias("start_id"), last.alias("end_id"), F.size("events").cast("long").alias("size"))
