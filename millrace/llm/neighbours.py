@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.arrays import list_parts
+from millrace.scratch import written
 
 TABLES, SAMPLE, RECALL, LONG_BUCKET = 8, 128, 0.96, 1 << 16
 BLOCK_ROWS, LEAST_BLOCK, MOST_BROADCAST = 16_384, 512, 500_000
@@ -259,7 +260,7 @@ def met(queries: DataFrame, index: DataFrame, block_rows: int, k: int) -> DataFr
         df.groupBy("table", "bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size)
         .select("table", "bucket", F.ceil(F.col("n") / size).cast("int").alias(name))
     )
-    cut = many(index, block_rows, "blocks").join(many(queries, block_rows, "parts"), ["table", "bucket"], "full")
+    cut = written(many(index, block_rows, "blocks").join(many(queries, block_rows, "parts"), ["table", "bucket"], "full"), "long-buckets")
     if cut.count() <= MOST_BROADCAST:
         cut = F.broadcast(cut)
     blocks, parts = F.coalesce("blocks", F.lit(1)), F.coalesce("parts", F.lit(1))
@@ -324,7 +325,8 @@ def neighbours(
     parts = 1 if size[0] <= width * LONG_BUCKET else 2
     probes = fitted_probes(queries, rows, tables, parts, recall, k)
     block = int(min(max(4 * size[0] // width**parts, LEAST_BLOCK), BLOCK_ROWS))
-    found = ranked(met(listed(queries, tables, parts, probes), listed(rows, tables, parts), block, k), k)
+    # written: it is read three times, and rows numbered in a scan are not reused by Spark
+    found = written(ranked(met(listed(queries, tables, parts, probes), listed(rows, tables, parts), block, k), k), "neighbours")
     enough = queries.select("id").distinct().join(
         found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left"
     )
