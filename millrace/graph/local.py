@@ -10,6 +10,14 @@ from millrace.operators import ordered
 from millrace.scratch import written
 
 
+#: Owners up to which an item counts as rare: each of them then meets fewer than that many others by it.
+RARE = 128
+#: Items of an owner from which on its pairs are dealt out over partitions.
+LARGE = 4096
+#: Pairs that a partition counts, about.
+PAIRS = 2_000_000
+
+
 def once(graph: Graph) -> DataFrame:
     """Undirected simple edges, each once, as (a, b) with a < b."""
     pairs = graph.edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
@@ -289,63 +297,104 @@ def similar_sets(members: DataFrame, measure: str, at_least: float) -> DataFrame
     ``shared`` is the number of common items, ``jaccard`` common over all, ``adamic_adar`` the sum of
     1 / ln(frequency) over common items. Columns: a, b, shared, distinct, score.
 
-    An owner offers its items from the rarest on, as long as the items from there on could still reach
-    the score. The first common item of a pair that reaches it is offered by both, so nothing is lost,
-    while a hub, being common, is hardly ever offered. Items offered by both are counted as the pairs are
-    found; any other common item comes after the earlier of the two cuts, so looking that owner's few
-    held-back items up in the other set completes the count. No set is ever collected.
+    Items are taken from the rarest on. An item with up to ``RARE`` owners is offered by all of them, which is
+    at most ``RARE`` / 2 pairs a row. Of its commoner items an owner offers those from which on the rest could
+    still reach the score, so a hub is hardly ever offered. The first common item of a pair that reaches
+    the score is offered by both, so nothing is lost. A pair is counted in the partition of its first owner, to
+    which every item sends its other owners as one array; a pair that could not reach the score with what the two
+    hold back goes no further. Any other common item comes after the earlier of the two cuts, so looking that
+    owner's few held-back items up in the other set completes the count. No hub is collected.
     """
     if at_least <= 0:
         raise ValueError("the least score must be positive")
     members = written(members, "members")
     frequency = members.groupBy("item").agg(F.count(F.lit(1)).alias("freq"))
     weight = 1.0 / F.ln(F.greatest(F.col("freq"), F.lit(2)).cast("double"))
-    w = weight if measure == "adamic_adar" else F.lit(1.0)
-    sizes = members.groupBy("owner").agg(F.count(F.lit(1)).alias("size"))
-    known = members.join(frequency, "item").withColumn("w", w).join(sizes, "owner")
-    order = ["freq", "item"]
-    if measure == "adamic_adar":
-        totals = known.groupBy("owner").agg(F.sum("w").alias("all"))
-        ranked = ordered.running(known, ["owner"], order, {"before": ("sum", "w")}, exclusive=True).join(totals, "owner")
-        held = F.lit(0)
-        offered = F.col("all") - F.coalesce("before", F.lit(0.0)) >= at_least - 1e-9
-    else:
-        ranked = ordered.numbered(known, ["owner"], order, "place")
-        share = F.greatest(F.ceil(F.lit(float(at_least)) * F.col("size") - 1e-9), F.lit(1))
-        needed = share if measure == "jaccard" else F.lit(max(1, int(at_least)))
-        held = (needed - 1).cast("bigint")
-        offered = F.col("size") - F.col("place") >= needed
-    ranked = ranked.select("owner", "item", "freq", "w", "size", held.alias("held"), offered.alias("offered"))
-    ranked = written(ranked, "ranked")
-    cuts = ranked.where("offered").groupBy("owner").agg(F.max(F.struct("freq", "item")).alias("cut"))
-    offers = written(ranked.where("offered").join(cuts, "owner").select("owner", "item", "w", "size", "held", "cut"), "offers")
-    left = offers.select(F.col("owner").alias("a"), F.struct("size", "held", "cut").alias("of_a"), "item", "w")
-    right = offers.select(F.col("owner").alias("b"), F.struct("size", "held", "cut").alias("of_b"), "item")
-    met = left.join(right, "item").where("a < b")
-    if measure == "jaccard":
-        least, most = F.least("of_a.size", "of_b.size"), F.greatest("of_a.size", "of_b.size")
-        met = met.where(least >= F.lit(at_least) * most - 1e-9)
-    pairs = met.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum"), F.min("of_a").alias("of_a"), F.min("of_b").alias("of_b")
+    weighed = measure == "adamic_adar"
+    w = weight if weighed else F.lit(1.0)
+    known = written(members.join(frequency, "item").select("owner", "item", "freq", w.alias("w")), "known")
+    rare = F.col("freq") <= RARE
+    totals = known.groupBy("owner").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("w").alias("all"), F.count_if(rare).alias("rare_n"),
+        F.coalesce(F.sum(F.when(rare, F.col("w"))), F.lit(0.0)).alias("rare_w"),
     )
-    if measure == "jaccard":
-        # shared / (size_a + size_b - shared) >= t, with at most the larger held-back count still to come
-        required = F.lit(at_least / (1 + at_least)) * (F.col("of_a.size") + F.col("of_b.size"))
-        pairs = pairs.where(F.col("n") + F.greatest("of_a.held", "of_b.held") >= required - 1e-9)
-    candidates = written(pairs, "candidates")
+    share = F.greatest(F.ceil(F.lit(float(at_least)) * F.col("size") - 1e-9), F.lit(1))
+    needed = F.lit(float(at_least)) if weighed else (share if measure == "jaccard" else F.lit(max(1, int(at_least)))).cast("double")
+    able = totals.withColumn("needed", needed).where(F.col("all") >= F.col("needed") - 1e-9)
+    common = known.where(~rare).join(able, "owner")
+    ranked = ordered.running(common, ["owner"], ["freq", "item"], {"before": ("sum", "w")}, exclusive=True)
+    rest = F.col("all") - F.col("rare_w") - F.coalesce("before", F.lit(0.0))
+    ranked = written(ranked.select("owner", "item", "freq", "w", (rest >= F.col("needed") - 1e-9).alias("offered")), "ranked")
+    cuts = ranked.where("offered").groupBy("owner").agg(F.max(F.struct("freq", "item")).alias("cut"), F.sum("w").alias("common_w"))
+    # a cut without an item lies behind all rare items and before the common ones
+    whole = F.struct(F.lit(RARE).cast("bigint").alias("freq"), F.lit(None).cast(members.schema["item"].dataType).alias("item"))
+    held = F.greatest(F.col("all") - F.col("rare_w") - F.coalesce("common_w", F.lit(0.0)), F.lit(0.0))
+    owners = written(able.join(cuts, "owner", "left").select("owner", "size", held.alias("held"), F.coalesce("cut", whole).alias("cut")), "owners")
+    offered = known.where(rare).select("owner", "item", "freq", "w").unionByName(ranked.where("offered").select("owner", "item", "freq", "w"))
+    met = _met(offered.join(owners.select("owner", "size", "held"), "owner"), measure, at_least)
+    counted = met.join(_side(owners, "a"), "a").join(_side(owners, "b"), "b")
     a_first = F.col("of_a.cut") <= F.col("of_b.cut")
-    lookups = candidates.select(
-        "a", "b", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("owner"),
-        F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("_other"),
+    still = F.when(a_first, F.col("of_a.held")).otherwise(F.col("of_b.held"))
+    sizes = F.col("of_a.size") + F.col("of_b.size")
+    # shared / (size_a + size_b - shared) >= t
+    required = F.lit(at_least / (1 + at_least)) * sizes if measure == "jaccard" else F.lit(float(at_least))
+    reached = F.col("sum") if weighed else F.col("n")
+    candidates = written(
+        counted.where(reached + still >= required - 1e-9).select(
+            "a", "b", "n", "sum", sizes.alias("sizes"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("owner"),
+            F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("_other"), (still > 0).alias("open"),
+        ),
+        "candidates",
     )
     back = ranked.where("NOT offered").select("owner", "item", "w")
+    lookups = candidates.where("open").select("a", "b", "owner", "_other")
     more = lookups.join(back, "owner").select("a", "b", F.col("_other").alias("owner"), "item", "w").join(members, ["owner", "item"])
     extra = more.groupBy("a", "b").agg(F.count(F.lit(1)).alias("more"), F.sum("w").alias("more_sum"))
     scored = candidates.join(extra, ["a", "b"], "left").select(
-        "a", "b", (F.col("of_a.size") + F.col("of_b.size")).alias("sizes"),
-        (F.col("n") + F.coalesce("more", F.lit(0))).alias("shared"), (F.col("sum") + F.coalesce("more_sum", F.lit(0.0))).alias("weight"),
+        "a", "b", "sizes", (F.col("n") + F.coalesce("more", F.lit(0))).alias("shared"),
+        (F.col("sum") + F.coalesce("more_sum", F.lit(0.0))).alias("weight"),
     )
     distinct = F.col("sizes") - F.col("shared")
     score = {"jaccard": F.col("shared") / distinct, "shared": F.col("shared").cast("double"), "adamic_adar": F.col("weight")}
     out = scored.select("a", "b", "shared", distinct.alias("distinct"), score[measure].alias("score"))
     return out.where(F.col("score") >= at_least - 1e-9)
+
+
+def _side(owners: DataFrame, name: str) -> DataFrame:
+    return owners.select(F.col("owner").alias(name), F.struct("size", "held", "cut").alias(f"of_{name}"))
+
+
+def _met(offers: DataFrame, measure: str, at_least: float) -> DataFrame:
+    """(a, b, n, sum): owners a < b that offer ``n`` common items, without most pairs that cannot reach the score.
+
+    Owners of an item are collected in chunks of about ``RARE``; pairs of a large owner are dealt out by their other owner.
+    """
+    chunks = F.ceil(F.col("freq") / RARE).cast("int")
+    offers = offers.withColumn("_chunks", chunks).withColumn("_chunk", F.pmod(F.xxhash64("owner"), F.col("_chunks")).cast("int"))
+    offers = written(offers, "offers")
+    entry = F.struct("owner", "size", "held")
+    few = offers.where("_chunks = 1").groupBy("item").agg(F.array_sort(F.collect_list(entry)).alias("list"), F.first("w").alias("w"))
+    left = few.select("w", "list", F.posexplode("list").alias("_i", "of")).select(
+        F.col("of").alias("of"), "w", F.slice("list", F.col("_i") + 2, F.greatest(F.size("list") - F.col("_i") - 1, F.lit(0))).alias("others")
+    )
+    many = offers.where("_chunks > 1")
+    listed = many.groupBy("item", "_chunk").agg(F.collect_list(entry).alias("list"))
+    asked = many.select("item", "w", entry.alias("of"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"))
+    right = asked.join(listed, ["item", "_chunk"]).select("of", "w", F.filter("list", lambda x: x["owner"] > F.col("of.owner")).alias("others"))
+    rows = left.unionByName(right).where(F.size("others") > 0)
+    held = F.greatest(F.col("of.held"), F.array_max(F.col("others.held")))
+    if measure == "jaccard":
+        least = F.lit(at_least / (1 + at_least)) * (F.col("of.size") + F.array_min(F.col("others.size"))) - held
+    else:
+        least = F.lit(float(at_least)) - held
+    parts = F.ceil(F.col("of.size") / LARGE).cast("int")
+    rows = rows.select(F.col("of.owner").alias("a"), "w", least.alias("least"), F.col("others.owner").alias("bs"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), parts.alias("_parts"))
+    dealt = F.filter("bs", lambda b: F.pmod(F.xxhash64(b), F.col("_parts")) == F.col("_part"))
+    rows = rows.withColumn("bs", F.when(F.col("_parts") > 1, dealt).otherwise(F.col("bs"))).drop("_parts")
+    # no owner of a row meets more than the other owners of its item
+    pairs = offers.agg(F.sum(F.least("freq", F.lit(RARE * 64)))).first()[0] or 0
+    count = max(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // (2 * PAIRS)))
+    together = rows.repartition(count, "a", "_part").select("a", "_part", "w", "least", F.explode("bs").alias("b"))
+    counted = together.groupBy("a", "_part", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sum"), F.max("least").alias("least"))
+    reached = F.col("sum") if measure == "adamic_adar" else F.col("n")
+    return written(counted.where(reached >= F.col("least") - 1e-9).select("a", "b", "n", "sum"), "met")

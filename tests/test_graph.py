@@ -189,3 +189,53 @@ def test_directed_census_by_enumeration(spark):
         want[names[shape(trio)]] += 1
     g = Graph.from_edges(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"))
     assert {r["triad"]: r["n"] for r in local.triadic_census_directed(g).collect()} == want
+
+
+@pytest.mark.parametrize("measure", ["jaccard", "adamic_adar", "shared"])
+@pytest.mark.parametrize("least", [0.3, 2.0])
+def test_similarity_with_common_items_and_large_owners(spark, monkeypatch, measure, least):
+    """Items above the rare limit, owners dealt out over parts: the same pairs as by brute force."""
+    import math
+    import random
+
+    monkeypatch.setattr(local, "RARE", 4)
+    monkeypatch.setattr(local, "LARGE", 3)
+    monkeypatch.setattr(local, "PAIRS", 50)
+    random.seed(9)
+    sets = {o: set(random.sample(range(12), random.randrange(1, 6))) | ({99} if o % 2 else set()) for o in range(40)}
+    freq = {}
+    for items in sets.values():
+        for i in items:
+            freq[i] = freq.get(i, 0) + 1
+    at_least = min(least, 0.9) if measure == "jaccard" else least
+    want = {}
+    for a in sets:
+        for b in sets:
+            both = sets[a] & sets[b]
+            if a < b and both:
+                score = {"shared": len(both), "jaccard": len(both) / len(sets[a] | sets[b]), "adamic_adar": sum(1 / math.log(max(freq[i], 2)) for i in both)}[measure]
+                if score >= (max(1, int(at_least)) if measure == "shared" else at_least) - 1e-9:
+                    want[a, b] = score
+    rows = spark.createDataFrame([(o, i) for o, items in sets.items() for i in items], "owner bigint, item bigint")
+    got = {(r["a"], r["b"]): r["score"] for r in local.similar_sets(rows, measure, at_least).collect()}
+    if measure == "shared":
+        got = {k: v for k, v in got.items() if v >= max(1, int(at_least))}
+    assert got == pytest.approx(want)
+
+
+def test_similarity_writes_few_candidates(spark, monkeypatch):
+    """Pairs that share too little are dropped where they are counted, before anything is written or looked up."""
+    import random
+
+    random.seed(3)
+    rows = [(o, i) for o in range(120) for i in random.sample(range(400), 12)]
+    sizes, real = {}, local.written
+
+    def spied(df, label):
+        table = real(df, label)
+        sizes[label] = table.count()
+        return table
+
+    monkeypatch.setattr(local, "written", spied)
+    found = local.similar_sets(spark.createDataFrame(rows, "owner bigint, item bigint"), "adamic_adar", 6.0).count()
+    assert found <= sizes["candidates"] < 100
