@@ -179,18 +179,31 @@ def over_time(
 ) -> DataFrame:
     """Aggregates over the rows of the key from ``seconds`` before this row up to it (RANGE).
 
-    Time is cut into buckets at least as wide as the frame; each row also visits the next bucket when
-    a frame there can still reach it.
+    Time is cut into buckets as wide as the frame, so that a frame is the end of one bucket and the beginning of
+    the next. Both are running aggregates, one from each end of a bucket, and are put together; the work grows
+    with the rows, not with the rows of a frame. ``bucket`` is no longer needed. Rows without a time are dropped.
     """
-    width = max(bucket or 0, seconds, 1) * 1_000_000
     parts = Partials(spec)
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    own = time_bucket(micros, width)
-    reach = F.when((own + 1) * width - micros <= seconds * 1_000_000, F.array(own, own + 1)).otherwise(F.array(own))
-    placed = df.select("*", micros.alias("_at"), own.alias("_own"), F.explode(reach).alias("_bucket"))
-    frame = W.partitionBy(*keys, "_bucket").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    framed = placed.select(*df.columns, "_own", "_bucket", *parts.first(lambda c: c.over(frame)))
-    return framed.where("_own = _bucket").select(*df.columns, *parts.finish())
+    kept = df.columns
+    rows = df.withColumn("_at", F.unix_micros(F.col(time).cast("timestamp"))).where("_at IS NOT NULL")
+    if seconds <= 0:
+        peers = rows.select("*", *parts.first(lambda c: c.over(W.partitionBy(*keys, "_at"))))
+        return peers.select(*kept, *parts.finish())
+    width = seconds * 1_000_000
+    inside = W.partitionBy(*keys, "_own")
+    upwards = inside.orderBy("_at").rangeBetween(W.unboundedPreceding, 0)
+    downwards = inside.orderBy(F.desc("_at")).rangeBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", time_bucket(F.col("_at"), width))
+    rows = rows.withColumn("_here", F.struct(*parts.first(lambda c: c.over(upwards))))
+    rows = rows.withColumn("_rest", F.struct(*parts.first(lambda c: c.over(downwards))))
+    # each row stands in its bucket with what follows it there, and asks the bucket before from its own time less the frame on
+    asks = F.struct(F.lit(True).alias("asks"), (F.col("_own") - 1).alias("in"), (F.col("_at") - width).alias("from"))
+    stands = F.struct(F.lit(False).alias("asks"), F.col("_own").alias("in"), F.col("_at").alias("from"))
+    both = rows.withColumn("_p", F.explode(F.array(stands, asks)))
+    seen = W.partitionBy(*keys, F.col("_p.in")).orderBy(F.desc("_p.from"), "_p.asks").rowsBetween(W.unboundedPreceding, 0)
+    carried = F.last(F.when(~F.col("_p.asks"), F.col("_rest")), ignorenulls=True).over(seen)
+    asked = both.withColumn("_carry", carried).where("_p.asks")
+    return asked.select(*kept, *parts.join("_here", "_carry")).select(*kept, *parts.finish())
 
 
 def next_seen(

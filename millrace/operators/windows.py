@@ -65,11 +65,23 @@ def tumble_rows(df: DataFrame, keys: list[str], order: list[str], size: int, spe
 
 
 def slide_rows(df: DataFrame, keys: list[str], order: list[str], size: int, slide: int, spec: dict) -> DataFrame:
-    """After every ``slide`` rows of a key, a result over its last ``size`` rows (fewer at the start)."""
-    framed = ordered.over_rows(df, keys, order, size - 1, {**spec, "_held": ("count", "*")})
-    placed = ordered.numbered(framed, keys, order, "_idx")
-    fired = placed.where((F.col("_idx") + 1) % slide == 0)
-    return fired.select(*keys, F.expr(f"_idx div {slide}").alias("window"), *spec)
+    """After every ``slide`` rows of a key, a result over its last ``size`` rows (fewer at the start).
+
+    Rows are reduced to panes as wide as the common divisor of size and slide first, then each pane visits its
+    windows; a window fires when its last pane is full.
+    """
+    import math
+
+    parts = Partials({**spec, "_held": ("count", "*")})
+    pane = math.gcd(size, slide)
+    rows = ordered.numbered(df, keys, order, "_idx")
+    panes = rows.groupBy(*keys, F.expr(f"_idx div {pane}").alias("_pane")).agg(*parts.first())
+    first, last = F.expr(f"_pane * {pane} div {slide}"), F.expr(f"(_pane * {pane} + {size}) div {slide} - 1")
+    visits = panes.where(first <= last).withColumn("window", F.explode(F.sequence(first, last)))
+    ending = F.col("_pane") == F.expr(f"(window + 1) * {slide} div {pane} - 1")
+    full = F.max(F.when(ending, F.col("__held_count"))).alias("_full")
+    merged = visits.groupBy(*keys, "window").agg(*parts.merge(), full).where(F.col("_full") == pane)
+    return merged.select(*keys, "window", *parts.finish()).select(*keys, "window", *spec)
 
 
 def keep_last_rows(df: DataFrame, groups: list[str], order: list[Column], count: int) -> DataFrame:
