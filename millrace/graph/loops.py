@@ -21,15 +21,15 @@ def pregel(graph: Graph, message: Column, combine: Column, apply: Column, active
     ``message`` is computed per edge from ``src_value``, ``src``, ``dst`` and ``edge_value``; ``combine``
     is an aggregate over ``message`` (added up in every task before the shuffle); ``apply`` gives the
     new value from ``value`` and ``message``, and ``active`` says whether the vertex changed. Only
-    changed vertices send in the next round.
+    changed vertices send in the next round. Joins are merge joins: no round broadcasts through the driver.
     """
     edges = bucketed(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "src", "edges")
 
     def improve(work: DataFrame, solution: DataFrame, turn: int) -> DataFrame:
-        senders = work.select(F.col("id").alias("src"), F.col("value").alias("src_value"))
+        senders = work.select(F.col("id").alias("src"), F.col("value").alias("src_value")).hint("merge")
         sent = senders.join(edges, "src").select(F.col("dst").alias("id"), message.alias("message"))
         received = sent.groupBy("id").agg(combine.alias("message"))
-        met = solution.join(received, "id").where(active)
+        met = solution.join(received.hint("merge"), "id").where(active)
         return met.select("id", apply.alias("value"))
 
     out = delta_iterate(graph.vertices, graph.vertices, "id", improve, max_rounds)[0]
@@ -64,12 +64,12 @@ def gather_sum_apply(graph: Graph, gather: Column, combine: Column, apply: Colum
     edges = bucketed(graph.edges.select("src", "dst", F.col("value").alias("edge_value")), "src", "edges")
 
     def improve(work: DataFrame, solution: DataFrame, turn: int) -> DataFrame:
-        called = edges.join(work.select(F.col("id").alias("src")), "src", "left_semi").select("dst").distinct()
-        near = edges.join(called, "dst", "left_semi").join(
-            solution.select(F.col("id").alias("src"), F.col("value").alias("src_value")), "src"
+        called = edges.join(work.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi").select("dst").distinct()
+        near = edges.join(called.hint("merge"), "dst", "left_semi").join(
+            solution.select(F.col("id").alias("src"), F.col("value").alias("src_value")).hint("merge"), "src"
         )
         summed = near.select(F.col("dst").alias("id"), gather.alias("gathered")).groupBy("id").agg(combine.alias("gathered"))
-        applied = solution.join(summed, "id").select("id", "value", apply.alias("_new"))
+        applied = solution.join(summed.hint("merge"), "id").select("id", "value", apply.alias("_new"))
         return applied.where(~F.col("_new").eqNullSafe(F.col("value"))).select("id", F.col("_new").alias("value"))
 
     out = delta_iterate(graph.vertices, graph.vertices, "id", improve, max_rounds)[0]

@@ -86,7 +86,7 @@ def delta_iterate(
         drop(earlier)
         if seen["rows"] == 0:
             return solution, turn
-        kept = solution.join(workset.select(key), key, "left_anti")
+        kept = solution.join(workset.select(key).hint("merge"), key, "left_anti")
         merged = written(kept.select(*columns).unionByName(workset.select(*columns)), "solution")
         drop(solution)
         solution = merged

@@ -239,3 +239,38 @@ def test_similarity_writes_few_candidates(spark, monkeypatch):
     monkeypatch.setattr(local, "written", spied)
     found = local.similar_sets(spark.createDataFrame(rows, "owner bigint, item bigint"), "adamic_adar", 6.0).count()
     assert found <= sizes["candidates"] < 100
+
+
+def test_rounds_do_not_broadcast(spark, graph, monkeypatch):
+    """Work and solution meet in merge joins: nothing of a round passes through the driver."""
+    from millrace import iterate
+
+    plans, real = [], iterate.written_and_measured
+
+    def spied(df, label, **measures):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label, **measures)
+
+    monkeypatch.setattr(iterate, "written_and_measured", spied)
+    got = {r["id"]: r["value"] for r in loops.gather_sum_apply(graph.map_vertices(F.col("id")), F.col("src_value"), F.min("gathered"), F.least("value", "gathered")).collect()}
+    assert got and {r["id"]: r["value"] for r in loops.propagate_minimum(graph.map_vertices(F.col("id"))).collect()} == got
+    assert plans and not any("Broadcast" in plan for plan in plans)
+
+
+def test_rmat_edges_are_drawn_once(spark, tmp_path, monkeypatch):
+    from millrace.plans import graphs
+    from millrace.sources.tables import Tables
+
+    spark.range(300).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = {r["degree"]: r["n"] for r in graphs.graph_rmat(Tables(spark, str(tmp_path))).collect()}
+    _, edges = generators.rmat(spark, 7, 300, seed=11)
+    want = {}
+    near = {}
+    for s, d in edges.collect():
+        near.setdefault(s, set()).update({d} - {s})
+        near.setdefault(d, set()).update({s} - {d})
+    for others in near.values():
+        want[len(others)] = want.get(len(others), 0) + 1
+    assert rows == want
+    plan = graphs.graph_rmat(Tables(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan
