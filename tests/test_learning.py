@@ -81,3 +81,24 @@ def test_k_fold_and_matrix(spark):
     b = spark.createDataFrame([(0, 1, 5.0), (2, 2, 7.0)], "i int, j int, v double")
     assert sorted(map(tuple, models.matrix_add(a, b).collect())) == [(0, 0, 1.0), (0, 1, 7.0), (2, 2, 7.0)]
     assert sorted(map(tuple, models.matrix_combine(a, b, lambda x, y: x * y).where("v <> 0").collect())) == [(0, 1, 10.0)]
+
+
+def test_distances_by_products_agree_with_differences():
+    """The product form drops nothing: equal and nearly equal rows, ties, a long offset."""
+    import numpy as np
+
+    from millrace.ml import neighbours
+
+    rng = np.random.default_rng(2)
+    b = np.concatenate([rng.normal(size=(60, 8)), rng.normal(size=(20, 8)) + 1e4])
+    b = np.concatenate([b, b[:10], b[10:20] + 1e-7])
+    a = b[::3]
+    exact = neighbours._squared(a, b)
+    assert np.allclose(neighbours._products(a, b, 1e-4), exact, rtol=1e-9, atol=0)
+    assert (neighbours._products(a, b, 1e-4) == 0).sum() == (exact == 0).sum()
+    barred = np.arange(len(b))[::3, None] == np.arange(len(b))[None, :]
+    (row, place), gaps = neighbours._nearest(a, b, 4, barred)
+    want = np.sqrt(exact)
+    want[barred] = np.inf
+    order = np.argsort(want, axis=1, kind="stable")[:, :4]
+    assert (place.reshape(-1, 4) == order).all() and np.array_equal(gaps.reshape(-1, 4), np.take_along_axis(want, order, axis=1))
