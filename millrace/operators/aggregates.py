@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 #: Occurrences of one element of a multiset that one task writes out at a time.
 REPEATS = 1 << 16
 
+#: Rows of a key from which on a user-defined aggregate accumulates it in parts.
+HOT = 100_000
+
 
 def avg_keep_type(column: str, kind: str) -> Column:
     """AVG that keeps a whole-number type: the quotient is truncated. Sums of bigints do not overflow."""
@@ -164,26 +168,28 @@ class UserAggregate:
 
 
 def aggregate_user(df: DataFrame, keys: list[str], aggregate: UserAggregate, name: str) -> DataFrame:
-    """Run a :class:`UserAggregate` per key: accumulators per task, merged after the shuffle."""
+    """Run a :class:`UserAggregate` per key: an accumulator per key or part of a hot key, merged after a second shuffle.
+
+    Rows meet by key before Python sees them, so that it is called once for a key and not once for a key
+    and batch. Keys with more than ``HOT`` rows are cut into parts; there are fewer of them than rows / ``HOT``.
+    """
     key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{key_schema}, {aggregate.state}"
+    schema, columns = f"{key_schema}, {aggregate.state}", df.columns
 
     def row_of(group: pd.DataFrame, values: dict) -> pd.DataFrame:
         return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, **values}])
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            groups = batch.groupby(keys, sort=False, dropna=False)
-            parts = [row_of(group, aggregate.accumulate(group)) for _, group in groups]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        return row_of(group, aggregate.merge(group))
+    def first(group: pd.DataFrame) -> pd.DataFrame:
+        return row_of(group, aggregate.accumulate(group[columns]))
 
     def final(group: pd.DataFrame) -> pd.DataFrame:
-        merged = merge(group)
+        merged = row_of(group, aggregate.merge(group))
         return merged[keys].assign(**{name: aggregate.value(merged)})
 
-    partial = combine_groups(df.mapInPandas(first, schema), keys, merge, schema)
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HOT)
+    hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_rows") / HOT).alias("_parts"))
+    same = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))
+    dealt = df.join(F.broadcast(hot), same, "left").select(*df.columns, part.alias("_part"))
+    partial = dealt.groupBy(*keys, "_part").applyInPandas(first, schema)
     return partial.groupBy(*keys).applyInPandas(final, f"{key_schema}, `{name}` {aggregate.result}")

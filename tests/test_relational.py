@@ -157,3 +157,29 @@ def test_constant_rules():
         maths.sha2_checked(F, 0)
     with pytest.raises(ValueError):
         temporal.date_format(None, "%w")
+
+
+def test_user_aggregate_is_called_once_a_key(spark, monkeypatch):
+    """Rows meet by key first, whatever the batches; a hot key is cut into parts and merged, null keys and weights included."""
+    from millrace.operators import aggregates
+    from millrace.plans.aggregating import WeightedAverage
+
+    class Counted(WeightedAverage):
+        state = "total double, weight double, calls bigint"
+
+        def accumulate(self, rows):
+            return {**super().accumulate(rows), "calls": 1}
+
+        def merge(self, rows):
+            return {**super().merge(rows), "calls": rows["calls"].sum()}
+
+        def value(self, rows):
+            return rows["calls"].astype(float)
+
+    rows = spark.range(0, 3000, 1, 6).selectExpr("IF(id % 10 = 0, NULL, id % 10) AS k", "double(id) AS price", "IF(id % 7 = 0, NULL, double(2)) AS weight")
+    assert {r["calls"] for r in aggregates.aggregate_user(rows, ["k"], Counted(), "calls").collect()} == {1.0}
+    monkeypatch.setattr(aggregates, "HOT", 100)
+    got = {r["k"]: r["price"] for r in aggregates.aggregate_user(rows, ["k"], WeightedAverage(), "price").collect()}
+    assert {r["calls"] for r in aggregates.aggregate_user(rows, ["k"], Counted(), "calls").collect()} == {3.0}
+    want = {r["k"]: r["price"] for r in rows.groupBy("k").agg(F.expr("round(sum(price * weight) / sum(weight), 6) AS price")).collect()}
+    assert got == want and None in got
