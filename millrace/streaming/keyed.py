@@ -3,68 +3,82 @@
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.streaming.eventtime import in_order
-
-Step = Callable[[tuple, pd.DataFrame, tuple | None], tuple[pd.DataFrame, tuple | None]]
+from millrace.streaming import parts
+from millrace.streaming.eventtime import in_order, released
 
 
 def keyed(
-    stream: DataFrame, keys: list[str], order: list[str], step: Step, output: str, state: str, time: str | None = None
+    stream: DataFrame, keys: list[str], order: list[str], step: parts.Step, output: str, state: str, time: str | None = None
 ) -> DataFrame:
     """Per key and micro-batch: ``step(key, rows in order, state) -> (rows out, new state)``.
 
-    A key's rows of one micro-batch are put in order together, so the read limit of the source
-    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds what a task holds. A state of None
+    The rows of one micro-batch and part of the keys (:mod:`parts`) are put in order together, so the read limit of the source
+    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds what a task holds. ``state`` says what a state is made of; None
     clears the key. With the event time ``time`` rows wait until the watermark has passed them
     (:func:`eventtime.in_order`), so that their order does not depend on the micro-batches.
     """
     if time is not None:
         return in_order(stream, keys[0], time, order, step, output, state)
+    return together(stream, keys, order, parts.each_key(step, keys), output)
+
+
+def together(stream: DataFrame, keys: list[str], order: list[str], work: parts.Work, output: str, time: str | None = None) -> DataFrame:
+    """As :func:`keyed`, with ``work`` on the rows of many keys at once."""
+    if time is not None:
+        return released(stream, keys[0], time, order, work, output)
+    dealt, names = parts.packed(stream, keys)
 
-    def run(key: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
-        out, new = step(key, rows, held.get if held.exists else None)
+    def run(part: tuple, chunks: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([parts.unpacked(chunk) for chunk in chunks], ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        out, new = work(rows, pickle.loads(bytes(held.get[0])) if held.exists else None, names)
         if new is None:
             if held.exists:
                 held.remove()
         else:
-            held.update(new)
-        if len(out):
+            held.update((pickle.dumps(new, pickle.HIGHEST_PROTOCOL),))
+        if out is not None and len(out):
             yield out
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    return dealt.groupBy(parts.PART).applyInPandasWithState(run, output, "held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def rolling(stream: DataFrame, key: str, order: list[str], value: str, carry: list[str]) -> DataFrame:
     """Count, sum, min and max so far, emitted with every record."""
     kinds = dict(stream.dtypes)
     shown = ", ".join(f"{c} {kinds[c]}" for c in [key, *carry])
-
-    def step(name, rows, state):
-        n, total, low, high = state or (0, 0.0, float("inf"), float("-inf"))
-        out = rows[[key, *carry]].copy()
-        out["n"] = range(n + 1, n + len(rows) + 1)
-        out["total"] = rows[value].cumsum() + total
-        out["low"] = rows[value].cummin().clip(upper=low)
-        out["high"] = rows[value].cummax().clip(lower=high)
-        end = out.iloc[-1]
-        return out, (int(end["n"]), float(end["total"]), float(end["low"]), float(end["high"]))
-
-    return keyed(
-        stream,
-        [key],
-        order,
-        step,
-        f"{shown}, n bigint, total double, low double, high double",
-        "n bigint, total double, low double, high double",
-    )
+    sofar = ["n", "total", "low", "high"]
+
+    def work(rows, state, names):
+        # a key's state comes as a row before its own
+        begun = None if state is None else state.assign(**{value: np.nan})
+        both, code, fresh = parts.by_key(begun, rows[list(dict.fromkeys([*names, key, *carry, value]))], names)
+        opens = np.searchsorted(code, code)
+        known = ~fresh[opens]
+        before = {c: np.where(known, parts.floats(both[c])[opens], first) if state is not None else np.full(len(code), first)
+                  for c, first in zip(sofar, (0, 0.0, np.inf, -np.inf), strict=True)}
+        group = pd.Series(parts.floats(both[value])).groupby(code)
+        least, most = group.cummin().to_numpy(), group.cummax().to_numpy()
+        result = {
+            "n": np.arange(len(code)) - opens + ~known + before["n"].astype("int64"),
+            "total": group.cumsum().to_numpy() + before["total"],
+            "low": np.where(least > before["low"], before["low"], least),
+            "high": np.where(most < before["high"], before["high"], most),
+        }
+        out = both[[key, *carry]].assign(**result)
+        last = np.flatnonzero(np.searchsorted(code, code, side="right") - 1 == np.arange(len(code)))
+        now = both[names].assign(**{c: np.where(fresh, result[c], before[c]) for c in sofar}).iloc[last]
+        return out[fresh], now.astype({"n": "int64"})
+
+    return together(stream, [key], order, work, f"{shown}, n bigint, total double, low double, high double")
 
 
 def counts_while_active(stream: DataFrame, key: str, at: str, carry: list[str], retention: int) -> DataFrame:
@@ -99,22 +113,31 @@ def count_windows(stream: DataFrame, key: str, order: list[str], value: str, siz
     """A result whenever ``size`` records of a key have arrived (in order of event time, if given); the rest waits in state."""
     kind = dict(stream.dtypes)[key]
 
-    def step(name, rows, state):
-        window, waiting = state or (0, [])
-        values = [*waiting, *rows[value].tolist()]
-        full = len(values) // size
+    def work(rows, state, names):
+        # a key that waits for nothing keeps its number of windows in a row without a value
+        columns = list(dict.fromkeys([*names, key, value]))
+        both, code, _ = parts.by_key(state, rows[columns].assign(**{"window": 0, "counts": True}), names)
+        begun = np.zeros(code[-1] + 1, dtype="int64")
+        np.maximum.at(begun, code, both["window"].to_numpy("int64"))
+        one = both[columns].iloc[np.searchsorted(code, np.arange(len(begun)))]
+        counts = both["counts"].to_numpy(bool)
+        both, code = both[counts], code[counts]
+        place, full = np.arange(len(code)) - np.searchsorted(code, code), np.bincount(code, minlength=len(begun)) // size
+        done = place < full[code] * size
+        first = done & (place % size == 0)
         out = pd.DataFrame(
             {
-                key: [name[0]] * full,
-                "window": range(window, window + full),
-                "total": [sum(values[i * size : (i + 1) * size]) for i in range(full)],
+                key: both[key].array[first],
+                "window": begun[code[first]] + place[first] // size,
+                "total": parts.floats(both[value])[done].reshape(-1, size).sum(axis=1),
             }
         )
-        return out, (window + full, values[full * size :])
+        begun += full
+        rest = both[~done].assign(window=begun[code[~done]])
+        empty = np.setdiff1d(np.arange(len(begun)), code[~done])
+        return out, pd.concat([rest, one.iloc[empty].assign(window=begun[empty], counts=False)], ignore_index=True)
 
-    return keyed(
-        stream, [key], order, step, f"{key} {kind}, window bigint, total double", "window bigint, waiting array<double>", time
-    )
+    return together(stream, [key], order, work, f"{key} {kind}, window bigint, total double", time)
 
 
 def delta_windows(
@@ -127,32 +150,32 @@ def delta_windows(
     """
     kind = dict(stream.dtypes)[key]
 
-    def step(name, rows, state):
-        fired_at, times, bests = state if state else (None, [], [])
-        times, bests, out = list(times), list(bests), []
-        for t, m, b in zip(rows[at], rows[measure], rows[best], strict=True):
-            times.append(int(t))
-            bests.append(float(b))
+    def work(rows, state, names):
+        held, out = state or {}, []
+        idents = parts.identities(rows, names)
+        for ident, name, t, m, b in zip(idents, parts.plain(rows[key]), rows[at].tolist(), parts.floats(rows[measure]).tolist(), parts.floats(rows[best]).tolist(), strict=True):
+            fired_at, times, bests = held.get(ident) or (None, [], [])
+            times.append(t)
+            bests.append(b)
             if fired_at is None:
-                fired_at = float(m)
+                fired_at = m
             elif abs(m - fired_at) > threshold:
-                fired_at = float(m)
+                fired_at = m
                 live = [i for i, seen in enumerate(times) if seen >= t - keep_micros]
                 times, bests = [times[i] for i in live], [bests[i] for i in live]
                 top = max(range(len(bests)), key=lambda i: (bests[i], -times[i]))
-                out.append((name[0], int(t), times[top], bests[top], len(bests)))
-        live = [i for i, seen in enumerate(times) if seen >= times[-1] - keep_micros]
-        columns = [key, "fired_at", "best_at", "best", "held"]
-        return pd.DataFrame(out, columns=columns), (fired_at, [times[i] for i in live], [bests[i] for i in live])
-
-    return keyed(
-        stream,
-        [key],
-        order,
-        step,
-        f"{key} {kind}, fired_at bigint, best_at bigint, best double, held bigint",
-        "fired_at double, times array<bigint>, bests array<double>",
-        time,
+                out.append((name, t, times[top], bests[top], len(bests)))
+            held[ident] = (fired_at, times, bests)
+        for ident in set(idents):
+            fired_at, times, bests = held[ident]
+            live = [i for i, seen in enumerate(times) if seen >= times[-1] - keep_micros]
+            held[ident] = (fired_at, [times[i] for i in live], [bests[i] for i in live])
+        fired = pd.DataFrame(out, columns=[key, "fired_at", "best_at", "best", "held"])
+        fired[key] = parts.column([row[0] for row in out], kind)
+        return fired, held
+
+    return together(
+        stream, [key], order, work, f"{key} {kind}, fired_at bigint, best_at bigint, best double, held bigint", time
     )
 
 
@@ -173,18 +196,20 @@ def co_process(
     ``kind``, None before the first row of the first stream.
     """
     key_kind = dict(connected.dtypes)[key]
-    names = [part.split()[0] for part in output.split(",")]
+    shown = [part.split()[0] for part in output.split(",")]
 
-    def step(name, rows, state):
-        held, out = (state[0] if state else None), []
-        for side, body in zip(rows["side"], rows["body"], strict=True):
+    def work(rows, state, names):
+        held, out = state or {}, []
+        for ident, own, side, body in zip(parts.identities(rows, names), parts.plain(rows[key]), rows["side"].tolist(), rows["body"].tolist(), strict=True):
             if side == 0:
-                held = first(held, json.loads(body))
+                held[ident] = first(held.get(ident), json.loads(body))
             else:
-                out += [(name[0], *values) for values in second(held, json.loads(body))]
-        return pd.DataFrame(out, columns=[key, *names]), (None if held is None else (held,))
+                out += [(own, *values) for values in second(held.get(ident), json.loads(body))]
+        found = pd.DataFrame(out, columns=[key, *shown])
+        found[key] = parts.column([row[0] for row in out], key_kind)
+        return found, {ident: value for ident, value in held.items() if value is not None} or None
 
-    return keyed(connected, [key], ["at", "side"], step, f"{key} {key_kind}, {output}", f"held {kind}", time)
+    return together(connected, [key], ["at", "side"], work, f"{key} {key_kind}, {output}", time)
 
 
 def latest_version_join(
@@ -202,18 +227,18 @@ def latest_version_join(
         versions.select(*kept, F.lit(0).alias("side"), F.lit(0).cast(kind[probe_id]).alias("id"), F.col(value).alias("v"))
     )
 
-    def step(name, rows, state):
-        current = state[0] if state else None
-        out = []
-        for side, ident, v in zip(rows["side"], rows["id"], rows["v"], strict=True):
-            if side == 0:
-                current = float(v)
-            elif current is not None:
-                out.append((name[0], ident, current))
-        return pd.DataFrame(out, columns=[key, probe_id, value]), (None if current is None else (current,))
-
-    return keyed(
-        merged, [key], [at, "side"], step, f"{key} {kind[key]}, {probe_id} {kind[probe_id]}, {value} double", "v double", time
+    def work(rows, state, names):
+        both, code, fresh = parts.by_key(state, rows[list(dict.fromkeys([*names, key, "side", "id", "v"]))], names)
+        version = both["side"].to_numpy("int64") == 0
+        last = np.maximum.accumulate(np.where(version, np.arange(len(code)), -1))
+        known = last >= np.searchsorted(code, code)
+        met = fresh & ~version & known
+        out = both.loc[met, [key, "id"]].rename(columns={"id": probe_id}).assign(**{value: parts.floats(both["v"])[last[met]]})
+        ends = np.flatnonzero(np.append(code[1:] != code[:-1], True))
+        return out, both.iloc[last[ends[known[ends]]]][[*names, "side", "v"]]
+
+    return together(
+        merged, [key], [at, "side"], work, f"{key} {kind[key]}, {probe_id} {kind[probe_id]}, {value} double", time
     )
 
 
@@ -250,23 +275,27 @@ def changelog(stream: DataFrame, key: str, value: str, order: str | None = None)
     signed = stream if order is None else stream.withColumn(order, F.col(order).cast("bigint"))
     partial = signed.mapInPandas(combine, f"{key} {kind}, first bigint, n bigint, total double, low bigint, tail double")
 
-    def step(name, rows, state):
-        n, total = state or (0, 0.0)
-        for net, added, low, tail in zip(rows["n"], rows["total"], rows["low"], rows["tail"], strict=True):
-            if n + low <= 0:
-                n, total = int(net - low), float(tail)
-            else:
-                n, total = n + int(net), total + float(added)
-        new = (n, total) if n > 0 else None
+    def work(rows, state, names):
+        held, before, shown = state or {}, {}, {}
+        folds = zip(parts.identities(rows, names), parts.plain(rows[key]), *(rows[c].tolist() for c in ("n", "total", "low", "tail")), strict=True)
+        for ident, own, net, added, low, tail in folds:
+            if ident not in before:
+                before[ident], shown[ident] = held.get(ident), own
+            n, total = held.get(ident) or (0, 0.0)
+            held[ident] = (int(net - low), float(tail)) if n + low <= 0 else (n + int(net), total + float(added))
         out = []
-        if new != (tuple(state) if state else None):
-            out += [("-", name[0], *state)] if state else []
-            out += [("+", name[0], *new)] if new else []
-        return pd.DataFrame(out, columns=["op", key, "n", "total"]), new
-
-    return keyed(
-        partial, [key], ["first"], step, f"op string, {key} {kind}, n bigint, total double", "n bigint, total double"
-    )
+        for ident, old in before.items():
+            new = held[ident] if held[ident][0] > 0 else None
+            if new is None:
+                del held[ident]
+            if new != old:
+                out += [("-", shown[ident], *old)] if old else []
+                out += [("+", shown[ident], *new)] if new else []
+        log = pd.DataFrame(out, columns=["op", key, "n", "total"])
+        log[key] = parts.column([row[1] for row in out], kind)
+        return log, held or None
+
+    return together(partial, [key], ["first"], work, f"op string, {key} {kind}, n bigint, total double")
 
 
 def consolidate(log: DataFrame) -> DataFrame:

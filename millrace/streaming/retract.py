@@ -2,8 +2,8 @@
 
 A changelog is a stream of rows with ``sign`` (+1 adds a row, -1 takes one back). Results are changelogs with ``op``
 (``+`` or ``-``), which :func:`signed` makes an input again and ``keyed.consolidate`` turns into the table
-that they stand for. State lies in maps, an entry for each distinct row or value of a key, so that no
-accumulator is one value, and only entries that change are written.
+that they stand for. State is kept for parts of the keys (:mod:`parts`), in entries of a bounded size, and holds each
+distinct row or value of a key once.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from millrace.streaming import parts
+
 #: Sides that keep a row without a partner.
 PADDED = {"inner": (False, False), "left": (True, False), "right": (False, True), "full": (True, True)}
 
@@ -27,35 +29,25 @@ def signed(log: DataFrame) -> DataFrame:
 
 
 class Bag:
-    """Counted rows of one side of a key with the number of their partners; remembers what has changed."""
+    """Counted rows of one side of a key with the number of their partners."""
 
-    def __init__(self, state):
-        self.state = state
-        self.rows = {key[0]: value for key, value in state.iterator()}
-        self.changed: set[str] = set()
+    def __init__(self):
+        self.rows: dict[str, tuple[int, int]] = {}
 
     def put(self, row: str, count: int, partners: int) -> None:
-        self.changed.add(row)
         self.rows[row] = (count, partners)
         if not count:
             del self.rows[row]
 
-    def write(self) -> None:
-        for row in self.changed:
-            if row in self.rows:
-                self.state.updateValue((row,), self.rows[row])
-            elif self.state.containsKey((row,)):
-                self.state.removeKey((row,))
-
 
 class Join(StatefulProcessor):
     """Both sides of a key as bags; each change of one side changes the joined rows and the padded ones."""
 
-    def __init__(self, key: str, how: str, match: Callable[[dict, dict], bool] | None):
-        self.key, self.padded, self.match = key, PADDED[how], match
+    def __init__(self, key: str, kind: str, names: list[str], how: str, match: Callable[[dict, dict], bool] | None):
+        self.key, self.kind, self.names, self.padded, self.match = key, kind, names, PADDED[how], match
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = [handle.getMapState(name, "row string", "n bigint, partners bigint") for name in ("left", "right")]
+        self.piles = parts.Piles(handle)
 
     def change(self, bags: list[Bag], side: int, row: str, sign: int, out: list[tuple]) -> None:
         own, other = bags[side], bags[1 - side]
@@ -84,14 +76,23 @@ class Join(StatefulProcessor):
         own.put(row, count + sign, partners)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bags, out = [Bag(s) for s in self.state], []
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "side"], kind="stable")
-        for side, row, sign in zip(batch["side"], batch["body"], batch["sign"], strict=True):
-            self.change(bags, int(side), row, int(sign), out)
-        for bag in bags:
-            bag.write()
+        held, out, touched = next(iter(self.piles.get("held")), {}), [], set()
+        batch = pd.concat([parts.unpacked(chunk) for chunk in rows], ignore_index=True).sort_values(["at", "side"], kind="stable")
+        changes = zip(parts.identities(batch, self.names), parts.plain(batch[self.key]), *(batch[c].tolist() for c in ("side", "body", "sign")), strict=True)
+        for ident, own, side, row, sign in changes:
+            touched.add(ident)
+            bags = held.setdefault(ident, (Bag(), Bag()))
+            found: list[tuple] = []
+            self.change(bags, int(side), row, int(sign), found)
+            out += [(op, own, left, right) for op, left, right in found]
+        for ident in touched:
+            if not any(bag.rows for bag in held[ident]):
+                del held[ident]
+        self.piles.put("held", held or None)
         if out:
-            yield pd.DataFrame([(op, key[0], left, right) for op, left, right in out], columns=["op", self.key, "_left", "_right"])
+            log = pd.DataFrame(out, columns=["op", self.key, "_left", "_right"])
+            log[self.key] = parts.column([row[1] for row in out], self.kind)
+            yield log
 
     def close(self) -> None:
         pass
@@ -106,15 +107,17 @@ def join(
     goes first on ties). ``how`` is inner, left, right or full: a row without a partner stands padded with nulls
     until its first partner comes, and again once the last has gone. ``match`` is a further condition on
     the two rows (as dictionaries). Rows to take back that were never added are dropped. Null keys join nothing; they
-    must be filtered out before. State holds each distinct row of a key once, a task the rows of one key.
+    must be filtered out before. State holds each distinct row of a key once, a task the rows of
+    one part of the keys (:mod:`parts`).
     """
     kind = dict(left.dtypes)[key]
-    parts = []
+    sides = []
     for side, frame in enumerate((left, right)):
         body = F.to_json(F.struct(*[c for c in frame.columns if c not in (key, at, "sign")]), {"ignoreNullFields": "false"})
-        parts.append(frame.select(key, F.col(at).alias("at"), F.col("sign").cast("int").alias("sign"), F.lit(side).alias("side"), body.alias("body")))
-    changed = parts[0].unionByName(parts[1]).groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Join(key, how, match), outputStructType=f"op string, {key} {kind}, _left string, _right string",
+        sides.append(frame.select(key, F.col(at).alias("at"), F.col("sign").cast("int").alias("sign"), F.lit(side).alias("side"), body.alias("body")))
+    dealt, names = parts.packed(sides[0].unionByName(sides[1]), [key])
+    changed = dealt.groupBy(parts.PART).transformWithStateInPandas(
+        statefulProcessor=Join(key, kind, names, how, match), outputStructType=f"op string, {key} {kind}, _left string, _right string",
         outputMode="Append", timeMode="None",
     )
     shown = [F.col("op"), F.col(key)]
@@ -129,27 +132,24 @@ class Aggregate(StatefulProcessor):
 
     COLUMNS = ["n", "total", "low", "high", "distinct_values"]
 
-    def __init__(self, key: str):
-        self.key = key
+    def __init__(self, key: str, kind: str, names: list[str]):
+        self.key, self.kind, self.names = key, kind, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getMapState("values", "value double", "n bigint")
-        self.result = handle.getValueState("result", "n bigint, total double, low double, high double, distinct_values bigint")
+        self.piles = parts.Piles(handle)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = tuple(self.result.get()) if self.result.exists() else None
-        n, total, low, high, kinds = before or (0, 0.0, None, None, 0)
-        net = pd.concat(list(rows)).groupby("value", sort=False)["n"].sum()
+    @staticmethod
+    def change(result: tuple | None, values: dict[float, int], net: list[tuple[float, int]]) -> tuple | None:
+        """The result after the changes, which go into ``values``."""
+        n, total, low, high, kinds = result or (0, 0.0, None, None, 0)
         lost = False
-        for value, change in net.items():
-            if not change:
-                continue
-            held = self.values.getValue((value,))[0] if self.values.containsKey((value,)) else 0
-            now = held + int(change)
+        for value, change in net:
+            held = values.get(value, 0)
+            now = held + change
             if now:
-                self.values.updateValue((value,), (now,))
+                values[value] = now
             else:
-                self.values.removeKey((value,))
+                values.pop(value, None)
             # a value that was taken back before it came waits with a negative count
             shown, shows = max(held, 0), max(now, 0)
             n, total = n + shows - shown, total + value * (shows - shown)
@@ -159,17 +159,33 @@ class Aggregate(StatefulProcessor):
             elif shown and not shows and value in (low, high):
                 lost = True
         if lost:
-            left = [k[0] for k, v in self.values.iterator() if v[0] > 0]
+            left = [value for value, count in values.items() if count > 0]
             low, high = min(left, default=None), max(left, default=None)
-        after = (n, total, low, high, kinds) if n else None
-        if after:
-            self.result.update(after)
-        elif before:
-            self.result.clear()
-        if after != before:
-            out = [("-", key[0], *before)] if before else []
-            out += [("+", key[0], *after)] if after else []
-            yield pd.DataFrame(out, columns=["op", self.key, *self.COLUMNS])
+        return (n, total, low, high, kinds) if n else None
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, out, net, shown = next(iter(self.piles.get("held")), {}), [], {}, {}
+        batch = pd.concat([parts.unpacked(chunk) for chunk in rows], ignore_index=True)
+        summed = batch.groupby([*dict.fromkeys([*self.names, self.key]), "value"], sort=False, dropna=False)["n"].sum().reset_index()
+        summed = summed[summed["n"] != 0]
+        for ident, own, value, change in zip(parts.identities(summed, self.names), parts.plain(summed[self.key]), summed["value"].tolist(), summed["n"].tolist(), strict=True):
+            net.setdefault(ident, []).append((value, int(change)))
+            shown[ident] = own
+        for ident, changes in net.items():
+            before, values = held.get(ident) or (None, {})
+            after = self.change(before, values, changes)
+            if after or values:
+                held[ident] = (after, values)
+            else:
+                held.pop(ident, None)
+            if after != before:
+                out += [("-", shown[ident], *before)] if before else []
+                out += [("+", shown[ident], *after)] if after else []
+        self.piles.put("held", held or None)
+        if out:
+            log = pd.DataFrame(out, columns=["op", self.key, *self.COLUMNS])
+            log[self.key] = parts.column([row[1] for row in out], self.kind)
+            yield log
 
     def close(self) -> None:
         pass
@@ -191,8 +207,9 @@ def aggregate(log: DataFrame, key: str, value: str) -> DataFrame:
 
     rows = log.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("value"), F.col("sign").cast("bigint").alias("n"))
     folded = rows.mapInPandas(combine, f"{key} {kind}, value double, n bigint")
-    return folded.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Aggregate(key),
+    dealt, names = parts.packed(folded, [key])
+    return dealt.groupBy(parts.PART).transformWithStateInPandas(
+        statefulProcessor=Aggregate(key, kind, names),
         outputStructType=f"op string, {key} {kind}, n bigint, total double, low double, high double, distinct_values bigint",
         outputMode="Append", timeMode="None",
     )

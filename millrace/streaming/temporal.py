@@ -4,84 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
+
+from millrace.streaming import parts
+from millrace.streaming.eventtime import Waker
 
 PROBE, VERSION = 1, 0
 
 
-class AsOf(StatefulProcessor):
-    """Versions and waiting probes of a key, each an entry of a map; probes are answered once the watermark has passed them.
+class AsOf(Waker):
+    """Versions and waiting probes of a part of the keys; probes are answered once the watermark has passed them.
 
-    Then no earlier version can come any more. Of the versions behind the watermark only the last is kept.
+    Then no earlier version can come any more. Of the versions behind the watermark only the last of a key is kept.
     """
 
-    def __init__(self, key: str, ident: str, value: str, outer: bool):
-        self.key, self.columns, self.outer = key, [key, ident, "at", value, "version_at"], outer
+    def __init__(self, key: str, ident: str, value: str, outer: bool, names: list[str], times: list[str]):
+        self.key, self.ident, self.value, self.outer, self.names, self.times = key, ident, value, outer, names, times
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.versions = handle.getMapState("versions", "at bigint", "value double")
-        self.probes = handle.getMapState("probes", "at bigint, id bigint", "n bigint")
-        self.due = handle.getValueState("due", "ms bigint")
-
-    def wake(self, at: int) -> None:
-        """One timer a key, at the earliest time that waits."""
-        ms = at // 1000 + 1
-        if self.due.exists():
-            now = self.due.get()[0]
-            if now <= ms:
-                return
-            self.handle.deleteTimer(now)
-        self.handle.registerTimer(ms)
-        self.due.update((ms,))
+        super().init(handle)
+        self.piles = parts.Piles(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        new = []
         for chunk in rows:
-            for side, at, ident, value in zip(chunk["side"], chunk["at"], chunk["id"], chunk["value"], strict=True):
-                if pd.isna(side):
-                    continue
-                at = int(at)
-                if side == VERSION:
-                    self.versions.updateValue((at,), (None if pd.isna(value) else float(value),))
-                else:
-                    waiting = self.probes.getValue((at, int(ident)))[0] if self.probes.containsKey((at, int(ident))) else 0
-                    self.probes.updateValue((at, int(ident)), (waiting + 1,))
-                first = at if first is None else min(first, at)
-        if first is not None:
-            self.wake(first)
+            chunk = chunk[chunk["side"].notna()].drop(columns=self.times)
+            if len(chunk):
+                new.append(parts.unpacked(chunk).astype({"side": "int64"}))
+        if new:
+            self.piles.add("held", pd.concat(new, ignore_index=True))
+            self.wake(min(int(chunk["at"].min()) for chunk in new) // 1000 + 1)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         self.due.clear()
-        versions = sorted((k[0], v[0]) for k, v in self.versions.iterator())
-        probes = sorted((k[0], k[1], v[0]) for k, v in self.probes.iterator())
-        out, place = [], -1
-        for at, ident, n in probes:
-            if at >= mark:
-                break
-            while place + 1 < len(versions) and versions[place + 1][0] <= at:
-                place += 1
-            if place >= 0 or self.outer:
-                since, value = versions[place] if place >= 0 else (None, None)
-                out += [(key[0], ident, at, value, since)] * n
-            self.probes.removeKey((at, ident))
-        past = [at for at, _ in versions if at < mark]
-        for at in past[:-1]:
-            self.versions.removeKey((at,))
-        later = [p[0] for p in probes if p[0] >= mark][:1] + [at for at, _ in versions if at >= mark][:1]
-        if later:
-            self.wake(min(later))
-        if out:
-            frame = pd.DataFrame(out, columns=self.columns)
-            yield frame.astype({"version_at": "Int64"})
-
-    def close(self) -> None:
-        pass
+        rows = pd.concat(self.piles.get("held"), ignore_index=True)
+        # a later version of the same time replaces the earlier one; versions come before probes of their time
+        rows, code, _ = parts.by_key(None, rows.sort_values(["at", "side"], kind="stable", ignore_index=True), self.names)
+        at, version = rows["at"].to_numpy("int64"), rows["side"].to_numpy() == VERSION
+        last = np.maximum.accumulate(np.where(version, np.arange(len(code)), -1))
+        known = last >= np.searchsorted(code, code)
+        answered = ~version & (at < mark)
+        met = answered if self.outer else answered & known
+        since = np.where(known, last, 0)[met]
+        out = rows.loc[met, [self.key]].assign(**{
+            self.ident: rows["id"][met], "at": at[met], self.value: np.where(known[met], parts.floats(rows["value"])[since], np.nan),
+            "version_at": pd.arrays.IntegerArray(at[since], ~known[met])})
+        # the last version behind the watermark, and all that is not behind it
+        past = np.where(version & (at < mark), np.arange(len(code)), -1)
+        newest = np.zeros(code[-1] + 1, dtype="int64") - 1
+        np.maximum.at(newest, code, past)
+        kept = at >= mark
+        kept[newest[newest >= 0]] = True
+        self.piles.put("held", rows[kept] if kept.any() else None)
+        if (at >= mark).any():
+            self.wake(int(at[at >= mark].min()) // 1000 + 1)
+        if len(out):
+            yield out
 
 
 def tagged(stream: DataFrame, key: str, time: str, probe, version, ident: str, value: str) -> DataFrame:
@@ -100,8 +84,10 @@ def as_of_join(rows: DataFrame, key: str, ident: str = "id", value: str = "value
     if how not in ("inner", "left"):
         raise ValueError("an as-of join is inner or left")
     kind = dict(rows.dtypes)[key]
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=AsOf(key, ident, value, how == "left"),
+    times = [name for name, type_ in rows.dtypes if type_.startswith("timestamp") and name != key]
+    dealt, names = parts.packed(rows, [key])
+    return dealt.groupBy(parts.PART).transformWithStateInPandas(
+        statefulProcessor=AsOf(key, ident, value, how == "left", names, times),
         outputStructType=f"{key} {kind}, {ident} bigint, at bigint, {value} double, version_at bigint",
         outputMode="Append", timeMode="EventTime",
     )
