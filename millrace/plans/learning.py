@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.ml import models, neighbours, vectors
 from millrace.operators import calc
 from millrace.plans.registry import query
+from millrace.scratch import written
 
 _CENTRES = """c AS MATERIALIZED (SELECT label, list(m ORDER BY pos) AS centre FROM (SELECT label, pos, avg(x) AS m FROM
   (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY 1)"""
@@ -179,6 +180,8 @@ def ml_als(t):
     ratings = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("customer", "part").agg(
         F.avg("l_quantity").cast("float").alias("rating")
     )
+    # fitting reads the ratings twice, predicting and counting once each: joined and grouped once, they are read as written
+    ratings = written(ratings, "ratings")
     model = models.factorise(ratings, "customer", "part", "rating", factors=4, reg=0.5, rounds=3, seed=1)
     predicted = model.transform(ratings)
     risk = models.empirical_risk(predicted, "rating", model.userFactors, model.itemFactors, 0.5)

@@ -102,3 +102,34 @@ def test_distances_by_products_agree_with_differences():
     want[barred] = np.inf
     order = np.argsort(want, axis=1, kind="stable")[:, :4]
     assert (place.reshape(-1, 4) == order).all() and np.array_equal(gaps.reshape(-1, 4), np.take_along_axis(want, order, axis=1))
+
+
+def test_als_risk_and_ratings_written_once(spark, tmp_path, monkeypatch):
+    """The risk is that of the fitted factors; fitting, predicting and counting read the ratings, not the join behind them."""
+    from millrace.plans import learning
+    from millrace.sources.tables import Tables
+
+    rng = np.random.default_rng(6)
+    bought = [(k, int(p), float(q)) for k in range(60) for p, q in zip(rng.integers(0, 9, 4), rng.integers(1, 50, 4))]
+    spark.createDataFrame([(k, k % 12) for k in range(60)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.createDataFrame(bought, "l_orderkey bigint, l_partkey bigint, l_quantity double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, fit = [], models.factorise
+
+    def factorise(ratings, *names, **how):
+        seen.extend([ratings, fit(ratings, *names, **how)])
+        return seen[1]
+
+    monkeypatch.setattr(models, "factorise", factorise)
+    got = learning.ml_als(Tables(spark, str(tmp_path))).collect()
+    ratings, model = seen
+    assert ratings.inputFiles() and not [f for f in ratings.inputFiles() if "lineitem.parquet" in f or "orders.parquet" in f]
+    cells = {}
+    for k, p, q in bought:
+        cells.setdefault((k % 12, p), []).append(q)
+    users = {r["id"]: np.array(r["features"]) for r in model.userFactors.collect()}
+    items = {r["id"]: np.array(r["features"]) for r in model.itemFactors.collect()}
+    error = sum((np.float32(np.mean(q)) - users[c] @ items[p]) ** 2 for (c, p), q in cells.items())
+    norms = sum((v**2).sum() for v in [*users.values(), *items.values()])
+    assert [r["ratings"] for r in got] == [len(cells)]
+    assert got[0]["risk"] == pytest.approx(error + 0.5 * norms, rel=1e-4)
