@@ -48,8 +48,9 @@ class Monotone:
         for at in range(0, count if bits else 0, SLICE):  # spread bits take 8 bytes each: a slice at a time
             low.append(_words(((values[at : at + SLICE, None] >> places) & ONE).astype(np.uint8).ravel()))
         high = np.zeros(count + (top >> bits) + 1, np.uint8)
-        if count:
-            high[(values >> np.uint64(bits)).astype(np.int64) + np.arange(count)] = 1
+        for at in range(0, count, SLICE):
+            some = (values[at : at + SLICE] >> np.uint64(bits)).astype(np.int64)
+            high[some + np.arange(at, at + len(some))] = 1
         # one spare word, so that two neighbouring words can always be read
         return Monotone(count, bits, np.concatenate([*low, np.zeros(1, np.uint64)]).astype("<u8"), _words(high))
 
@@ -180,7 +181,9 @@ def quantised(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.nda
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(levels)
     low, width = float(values.min()), float(values.max() - values.min())
-    codes = np.minimum(((values - low) * (levels / width)).astype(np.int64), levels - 1) if width else np.zeros(len(values), np.int64)
+    codes = np.zeros(len(values), np.uint8)
+    for at in range(0, len(values) if width else 0, SLICE):
+        codes[at : at + SLICE] = np.minimum(((values[at : at + SLICE] - low) * (levels / width)).astype(np.int64), levels - 1)
     count = np.bincount(codes, minlength=levels)
     # differences are added up, so that a bin of one value shows exactly that value
-    return codes.astype(np.uint8), low + np.bincount(codes, values - low, levels) / np.maximum(count, 1)
+    return codes, low + np.bincount(codes, values - low, levels) / np.maximum(count, 1)

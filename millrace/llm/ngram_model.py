@@ -41,74 +41,128 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrays import coded, give_back, hashes, mixed, sliced, spread, texts_of, words_of
+from millrace.llm.arrays import give_back, hashes, mixed, sliced, spread, texts_of, words_of
 from millrace.llm.elias_fano import Trie
 from millrace.llm.seekable import opened
-from millrace.scratch import drop, new_path, written
+from millrace.scratch import drop, new_path, remove, written
 
 CHUNK_BYTES, SHARD_TOKENS, PARTS, HEAVY = 16 << 20, 2_000_000, 64, 8
 END = 0  # code of the end token in a chunk
-ROW = "chunk long, data binary, words binary, counts binary"
+ROW = "chunk long, file string, words binary, counts binary"
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of whole numbers or doubles in one compressed blob, each as narrow as its largest value allows."""
-    out = []
+    """Arrays of whole numbers or doubles in one compressed blob, each as narrow as its largest value allows.
+
+    All lowest bytes come first, then all second ones and so on: high bytes differ little and compress well.
+    """
+    narrow = []
     for values in arrays:
         if values.dtype.kind != "f":
             top = int(values.max()) if len(values) else 0
-            values = values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
-        head = f"{values.dtype.str}:{len(values)};".encode()
-        out.append(head + values.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpacked(blob: bytes) -> list[np.ndarray]:
+            values = values.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<i4" if top < 1 << 31 else "<u8", copy=False)
+        narrow.append(np.ascontiguousarray(values))
+    heads = [f"{v.dtype.str}:{len(v)};".encode() for v in narrow]
+    out = zstandard.ZstdCompressor(level=1).compressobj(size=sum(map(len, heads)) + sum(v.nbytes for v in narrow))
+    blob = []
+    for head, values in zip(heads, narrow):
+        blob.append(out.compress(head))
+        blob += [out.compress(values.view(np.uint8)[k :: values.itemsize].tobytes()) for k in range(values.itemsize)]
+    return b"".join([*blob, out.flush()])
+
+
+def unpacked(blob: bytes | np.ndarray, narrow: int = 2) -> list[np.ndarray]:
+    """The arrays of :func:`packed`; whole numbers that took ``narrow`` bytes at most come in 32 bits, others in 64."""
     data, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     while at < len(data):
         cut = data.index(b";", at)
         kind, count = data[at:cut].decode().split(":")
-        values = np.frombuffer(data, np.dtype(kind), int(count), cut + 1)
+        values = np.empty(int(count), np.dtype(kind))
+        planes = values.view(np.uint8).reshape(len(values), values.itemsize)
+        for k in range(values.itemsize):
+            planes[:, k] = np.frombuffer(data, np.uint8, len(values), cut + 1 + k * len(values))
         at = cut + 1 + values.nbytes
-        out.append(values if values.dtype.kind == "f" else values.astype(np.int32 if values.itemsize < 4 else np.int64))
+        out.append(values if values.dtype.kind == "f" else values.astype(np.int32 if values.itemsize <= narrow else np.int64, copy=False))
+    return out
+
+
+def rises(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Values that rise in every run, as the first of each run and the steps after it; ``first`` has the runs' places."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
     return out
 
 
-def chunks(docs: DataFrame, is_held_out: Column) -> DataFrame:
-    """A row for each chunk of texts: their tokens as codes of the chunk's own words."""
+def risen(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of :func:`rises`, from the sizes of the runs."""
+    sums = np.cumsum(steps, dtype=np.int64)
+    first = np.cumsum(sizes) - sizes
+    sums -= np.repeat(sums[first] - steps[first], sizes)
+    return sums
+
+
+def kept(folder: str, name: str, data: bytes) -> str:
+    """The path of a new file of the shared folder with these bytes."""
+    fs, inner = opened(folder)
+    fs.create_dir(inner, recursive=True)
+    file = f"{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(f"{inner}/{file}", compression=None) as stream:
+        stream.write(data)
+    return f"{folder}/{file}"
+
+
+def coded_words(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(code of each word, the distinct words in order of their first place, words per text), coded a few texts at a time."""
+    coded, sizes = [], []
+    for some in sliced(iter([batch])):
+        words, offsets = words_of(texts_of(some), pc.ascii_lower)
+        coded.append(pc.dictionary_encode(words))
+        sizes.append(np.diff(offsets))
+        del words
+    parts = pa.chunked_array(coded).unify_dictionaries().chunks
+    return np.concatenate([p.indices.to_numpy() for p in parts]), parts[0].dictionary, np.concatenate(sizes)
+
+
+def chunk_of(batch: pa.RecordBatch, chunk: int, folder: str) -> pa.RecordBatch:
+    """The row of a chunk. What is freed here is gone before the next chunk is begun."""
+    codes, distinct, sizes = coded_words(batch)
+    give_back()
+    held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+    order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32) + 1
+    sizes = sizes + 1
+    tokens = np.zeros(int(sizes.sum()), np.int32)
+    ends = np.cumsum(sizes) - 1
+    inner = np.ones(len(tokens), bool)
+    inner[ends] = False
+    tokens[inner] = rank[codes]
+    del codes, rank, inner
+    learned, counts = np.repeat(~held, sizes), np.zeros(len(order) + 1, np.int64)
+    for a in range(0, len(tokens), 1 << 20):  # counting widens what it counts
+        counts += np.bincount(tokens[a : a + (1 << 20)][learned[a : a + (1 << 20)]], minlength=len(order) + 1)
+    names = [hashes(distinct.slice(a, 1 << 16)) for a in range(0, len(order), 1 << 16)]
+    # the end token is known by a number no word is likely to have
+    names = np.concatenate([np.zeros(1, np.uint64), np.concatenate([np.zeros(0, np.uint64), *names])[order]])
+    ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    null = batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    file = kept(folder, f"texts-{chunk}", packed(sizes, tokens, ids, null, held.astype(np.int64)))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([chunk], pa.int64()), pa.array([file], pa.string()), pa.array([names.tobytes()], pa.binary()),
+            pa.array([counts.astype("<u4").tobytes()], pa.binary()),
+        ],
+        ["chunk", "file", "words", "counts"],
+    )
+
+
+def chunks(docs: DataFrame, is_held_out: Column, folder: str) -> DataFrame:
+    """A row for each chunk of texts: a file in ``folder`` with their tokens as codes of the chunk's own words, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        for batch in sliced(batches, limit=CHUNK_BYTES):
-            words, offsets = words_of(texts_of(batch), pc.ascii_lower)
-            codes, distinct = coded(words)
-            held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order)) + 1
-            sizes = np.diff(offsets) + 1
-            tokens = np.zeros(int(sizes.sum()), np.int64)
-            ends = np.cumsum(sizes) - 1
-            inner = np.ones(len(tokens), bool)
-            inner[ends] = False
-            tokens[inner] = rank[codes]
-            learned = np.repeat(~held, sizes)
-            counts = np.bincount(tokens[learned], minlength=len(order) + 1)
-            names = hashes(distinct)[order] if len(order) else np.zeros(0, np.uint64)
-            # the end token is known by a number no word is likely to have
-            names = np.concatenate([[np.uint64(0)], names])
-            ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            null = batch.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([(part << 33) + number], pa.int64()),
-                    pa.array([packed(sizes, tokens, ids, null, held.astype(np.int64))], pa.binary()),
-                    pa.array([names.tobytes()], pa.binary()),
-                    pa.array([counts.astype("<u4").tobytes()], pa.binary()),
-                ],
-                ["chunk", "data", "words", "counts"],
-            )
-            number += 1
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(sliced(batches, limit=CHUNK_BYTES)):
+            yield chunk_of(batch, (part << 33) + number, folder)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out.alias("held"), "text")
     return rows.mapInArrow(run, ROW)
@@ -201,7 +255,7 @@ def pairs_sent(rows: DataFrame, numbers: DataFrame, known: Counts) -> DataFrame:
     """Each chunk's pairs of words, packed for their shards; and, under shards below 0, what it knows itself."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        sizes, tokens, listed, null, held = unpacked(left["data"].iloc[0])
+        sizes, tokens, listed, null, held = unpacked(mapped(left["file"].iloc[0]), narrow=4)
         # numbers as narrow as they fit: a chunk has millions of tokens
         ids = np.full(int(tokens.max(initial=0)) + 1, -1, np.int32 if known.words < 1 << 31 else np.int64)
         ids[right["at"].to_numpy()] = right["id"].to_numpy()
@@ -219,43 +273,40 @@ def pairs_sent(rows: DataFrame, numbers: DataFrame, known: Counts) -> DataFrame:
         del unigram, tokens
         chunk = int(key[0])
         out = [(-1 - chunk, chunk, packed(listed.astype(np.int64).view(np.uint64), null, held, sizes, seen, base, own))]
-        word, doc = word[~alone], doc[~alone]
-        context = known.context(before[~alone].astype(np.int64), word)
-        shard = np.empty(len(context), np.int32)
-        for a in range(0, len(context), 1 << 18):
-            shard[a : a + (1 << 18)] = mixed(context[a : a + (1 << 18)]) % np.uint64(known.shards)
-        del before, alone
-        order = np.lexsort((doc, word, context, shard))
-        context = context[order]
-        word = word[order]
-        doc = doc[order]
-        shard = shard[order]
-        del order
-        fresh = np.ones(len(doc), bool)
-        fresh[1:] = (np.diff(doc) != 0) | (np.diff(word) != 0) | (np.diff(context) != 0)
-        at = np.flatnonzero(fresh)
-        times = np.diff(np.append(at, len(doc)))
-        context = context[at]
-        word = word[at]
-        doc = doc[at]
-        shard = shard[at]
-        edges = np.flatnonzero(np.diff(shard)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(shard)]):
+        word = word[~alone]
+        doc = doc[~alone]
+        before = before[~alone]
+        del alone
+        shard = np.empty(len(word), np.int16 if known.shards < 1 << 15 else np.int32)
+        for a in range(0, len(word), 1 << 18):
+            some = slice(a, a + (1 << 18))
+            shard[some] = mixed(known.context(before[some].astype(np.int64), word[some])) % np.uint64(known.shards)
+        order = np.argsort(shard, kind="stable")
+        edges = np.cumsum(np.bincount(shard, minlength=known.shards))
+        del shard
+        for number, (a, b) in enumerate(zip([0, *edges[:-1].tolist()], edges.tolist())):
             if b > a:
-                c, w = context[a:b], word[a:b]
-                pair = np.flatnonzero(np.concatenate([[True], (np.diff(c) != 0) | (np.diff(w) != 0)]))
+                mine = order[a:b]
+                w, d = word[mine], doc[mine]
+                c = known.context(before[mine].astype(np.int64), w)
+                sort = np.lexsort((w, c))  # a stable one: documents stay in order
+                c, w, d = c[sort], w[sort], d[sort]
+                new = np.concatenate([[True], (np.diff(c) != 0) | (np.diff(w) != 0)])
+                at = np.flatnonzero(new | np.concatenate([[True], np.diff(d) != 0]))
+                times = np.diff(np.append(at, len(d)))
+                c, w, d = c[at], w[at], d[at]
+                pair = np.flatnonzero(new[at])
                 head = np.flatnonzero(np.concatenate([[True], np.diff(c[pair]) != 0]))
-                keys = c[pair][head]
                 blob = packed(
-                    np.diff(keys, prepend=0), np.diff(np.append(head, len(pair))), w[pair] + 1,
-                    np.diff(np.append(pair, b - a)), doc[a:b], times[a:b], held,
+                    rises(c[pair][head], head[:1]), np.diff(np.append(head, len(pair))), rises(w[pair] + 1, head),
+                    np.diff(np.append(pair, len(at))), rises(d, pair), times, held,
                 )
-                out.append((int(shard[a]), chunk, blob))
-        del context, word, doc, shard, fresh, at, times, edges
+                out.append((number, chunk, blob))
+        del word, doc, before, order
         give_back()
         return pd.DataFrame(out, columns=["shard", "chunk", "data"])
 
-    mine = rows.select("chunk", "data")
+    mine = rows.select("chunk", "file")
     return mine.groupBy("chunk").cogroup(numbers.groupBy("chunk")).applyInPandas(run, SENT)
 
 
@@ -328,22 +379,23 @@ def mapped(uri: str) -> np.ndarray:
         return np.frombuffer(file.read(), np.uint8)
 
 
-COUNTED = "shard long, chunk long, data binary, tally binary"
+COUNTED = "shard long, chunk long, data binary, held_by binary, tally binary"
 
 
 def shards_counted(sent: DataFrame, known: Counts) -> DataFrame:
-    """A row for each shard: its pairs in order with their training counts and documents, and their tally."""
+    """A row for each shard: its pairs in order with their training counts, the documents that hold them, and their tally."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         shard = int(rows["shard"].iloc[0])
         if shard < 0:
-            return rows.assign(tally=None)
+            return rows.assign(held_by=None, tally=None)
         context, word, doc, times, learned, chunk = [], [], [], [], [], []
         listed = rows["chunk"].to_numpy()
         for k, blob in enumerate(rows["data"]):
-            keys, sizes, words, docs, of, n, held = unpacked(blob)
+            keys, sizes, words, docs, of, n, held = unpacked(blob, narrow=4)
+            of = risen(of, docs).astype(np.int32)
             context.append(np.repeat(np.repeat(np.cumsum(keys, dtype=np.int64), sizes), docs))
-            word.append(np.repeat(words - 1, docs).astype(np.int32 if known.words < 1 << 31 else np.int64))
+            word.append(np.repeat((risen(words, sizes) - 1).astype(np.int32 if known.words < 1 << 31 else np.int64), docs))
             doc.append(of)
             times.append(n)
             learned.append(held[of] == 0)
@@ -366,12 +418,14 @@ def shards_counted(sent: DataFrame, known: Counts) -> DataFrame:
         del context, word, learned
         head = np.flatnonzero(np.concatenate([[True], np.diff(c) != 0]))
         tally = tallied(c[count > 0], count[count > 0], known)
-        blob = packed(
-            listed.view(np.uint64), np.diff(c[head], prepend=0), np.diff(np.append(head, len(c))), w + 1, count, docs, doc, times, chunk
-        )
-        del c, w, count, docs, doc, times, chunk
+        pairs = packed(rises(c[head], head[:1]), np.diff(np.append(head, len(c))), rises(w + 1, head), count)
+        del c, w, count
+        held_by = packed(listed.view(np.uint64), docs, doc, times, chunk)
+        del docs, doc, times, chunk
         give_back()
-        return pd.DataFrame({"shard": [shard], "chunk": [-1], "data": [blob], "tally": [tally.astype("<i8").tobytes()]})
+        return pd.DataFrame(
+            {"shard": [shard], "chunk": [-1], "data": [pairs], "held_by": [held_by], "tally": [tally.astype("<i8").tobytes()]}
+        )
 
     return sent.groupBy("shard").applyInPandas(run, COUNTED)
 
@@ -396,35 +450,53 @@ RETURNED = "chunk long, kind int, data binary"
 def shards_scored(counted: DataFrame, known: Counts, model: Model, folder: str) -> DataFrame:
     """Learn and answer: a trie for each shard in ``folder``, and sums for the documents of each chunk."""
 
-    def answered(shard: int, data: bytes) -> pa.RecordBatch:
-        listed, keys, sizes, words, count, docs, doc, times, chunk = unpacked(data)
-        c, w = np.repeat(np.cumsum(keys, dtype=np.int64), sizes), words.astype(np.int64) - 1
-        count = count.astype(np.int64)
+    def pairs_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, sizes, words, count = unpacked(data, narrow=4)
+        words = (risen(words, sizes) - 1).astype(np.int32 if known.words < 1 << 31 else np.int64)
+        return np.repeat(np.cumsum(keys, dtype=np.int64), sizes), words, count
+
+    def learned(shard: int, data: bytes) -> str:
+        """The file of a shard's trie."""
+        c, w, count = pairs_of(data)
         seen = count > 0
-        trie = trie_of(c[seen], w[seen], count[seen], known, model)
-        fs, inner = opened(folder)
-        fs.create_dir(inner, recursive=True)
-        name = f"trie-{shard:08d}-{uuid.uuid4().hex}.eft"
-        with fs.open_output_stream(f"{inner}/{name}", compression=None) as file:
-            file.write(trie)
-        del trie
-        there, log, weight = Trie.over(mapped(f"{folder}/{name}")).find(c, w)
-        heavy = c // PARTS < known.heavy
-        # a part without a training pair is no context of the trie, but its word is
-        weight[heavy] = np.log10(model.weight[c[heavy] // PARTS])
-        unigram = np.log10(known.unigram(w))
-        score = np.where(there, log, np.where(np.isnan(weight), unigram, weight + unigram))
+        c = c[seen]
+        w = w[seen]
+        count = count[seen]
+        return kept(folder, f"trie-{shard:08d}", trie_of(c, w, count, known, model))
+
+    def score_of(file: str, data: bytes) -> np.ndarray:
+        """Score of each pair of a shard, looked up a part at a time."""
+        trie, (c, w, _) = Trie.over(mapped(file)), pairs_of(data)
+        score = np.empty(len(c))
+        for a in range(0, len(c), 1 << 16):
+            some = slice(a, a + (1 << 16))
+            there, log, weight = trie.find(c[some], w[some])
+            heavy = c[some] // PARTS < known.heavy
+            # a part without a training pair is no context of the trie, but its word is
+            weight[heavy] = np.log10(model.weight[c[some][heavy] // PARTS])
+            unigram = np.log10(known.unigram(w[some]))
+            score[some] = np.where(there, log, np.where(np.isnan(weight), unigram, weight + unigram))
+        return score
+
+    def answered(shard: int, data: bytes, held_by: bytes) -> pa.RecordBatch:
+        # pairs are unpacked for the trie and again for the look-up: both at once would not fit beside each other
+        file = learned(shard, data)
+        give_back()
+        score = score_of(file, data)
+        listed, docs, doc, times, chunk = unpacked(held_by, narrow=4)
         of_row = times * np.repeat(score, docs)
-        del there, log, weight, unigram, score, c, w, heavy, seen
+        del times, score
         order = np.argsort(chunk, kind="stable")
-        doc, of_row = doc[order], of_row[order]
+        doc = doc[order]
+        of_row = of_row[order]
         edges = np.searchsorted(chunk[order], np.arange(len(listed) + 1))
+        del order, chunk
         out = []
         for k in range(len(listed)):
             mine = slice(edges[k], edges[k + 1])
             sums = np.bincount(doc[mine], of_row[mine]).astype(np.float64)
-            held_by = np.flatnonzero(np.bincount(doc[mine]))
-            out.append(packed(held_by, sums[held_by]))
+            texts = np.flatnonzero(np.bincount(doc[mine]))
+            out.append(packed(texts, sums[texts]))
         return _returned(listed, 1, pa.array(out, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,10 +506,10 @@ def shards_scored(counted: DataFrame, known: Counts, model: Model, folder: str)
                 if shard < 0:
                     yield _returned(np.array([chunk]), 0, batch.column(2).slice(k, 1))
                 else:
-                    yield answered(shard, batch.column(2)[k].as_py())
+                    yield answered(shard, batch.column(2)[k].as_py(), batch.column(3)[k].as_py())
                     give_back()
 
-    return counted.select("shard", "chunk", "data").mapInArrow(run, RETURNED)
+    return counted.select("shard", "chunk", "data", "held_by").mapInArrow(run, RETURNED)
 
 
 def _returned(chunks_: np.ndarray, kind: int, data: pa.Array) -> pa.RecordBatch:
@@ -450,13 +522,15 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def scores(docs: DataFrame, is_held_out: Column) -> DataFrame:
     """One row for each text: token counts, the unigram score and the model's score (log10)."""
-    rows = written(chunks(docs, is_held_out), "chunks")
+    folder = new_path(docs.sparkSession, "texts")
+    rows = written(chunks(docs, is_held_out, folder), "chunks")
     listed = words_in(rows)
     ids, known = vocabulary(listed)
     numbers = listed.select("hash", "chunk", "at").join(ids, "hash").select("chunk", "at", "id")
     sent = pairs_sent(rows, numbers, known)
     counted = written(shards_counted(sent, known), "pairs")
     drop(rows)  # the shards hold all that is asked of the texts from here on
+    remove(docs.sparkSession, folder)
     model = model_of(tallies(counted), known)
     back = shards_scored(counted, known, model, new_path(docs.sparkSession, "tries"))
 

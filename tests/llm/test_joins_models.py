@@ -8,13 +8,17 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace import scratch
 from millrace.llm import chosen_path, neighbours, ngram_model, secrets
+from millrace.llm.arrays import coded, words_of
 from millrace.llm.elias_fano import Monotone, Trie, quantised
 
 from .conftest import document
@@ -411,3 +415,50 @@ def test_no_training_text_and_empty_table(stored):
     got = ngram_model.scores(docs, ask).collect()
     assert [(r["n_known"], r["train_tokens"], r["score"]) for r in got] == [(0, 0, 0.0)] * 3
     assert ngram_model.scores(stored([], parts=1), ask).count() == 0
+
+
+def test_packed_arrays_come_back_and_high_bytes_cost_little():
+    random = np.random.default_rng(7)
+    arrays = [random.integers(0, top, 5000) for top in (200, 60_000, 1 << 20, 1 << 31, (1 << 32) - 1, 1 << 62)]
+    arrays += [np.zeros(0, np.int64), random.normal(size=300), np.array([2**64 - 1], np.uint64), np.arange(40)[::2]]
+    blob = ngram_model.packed(*arrays)
+    for narrow in (2, 4):
+        for a, b in zip(arrays, ngram_model.unpacked(np.frombuffer(blob, np.uint8), narrow), strict=True):
+            assert (b == (a.astype(np.int64) if a.dtype.kind == "u" else a)).all() and (b.dtype.kind == "f" or b.dtype in (np.int32, np.int64))
+    assert [b.dtype == np.int32 for b in ngram_model.unpacked(blob)][:4] == [True, True, False, False]
+    ids = random.integers(0, 1 << 17, 200_000)  # two bytes that vary, one that hardly does, one that never does
+    plain = zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").tobytes())
+    assert len(ngram_model.packed(ids)) < 0.9 * len(plain)
+
+
+def test_rises_come_back():
+    random = np.random.default_rng(8)
+    sizes = random.integers(1, 6, 300)
+    first = np.cumsum(sizes) - sizes
+    values = np.concatenate([np.sort(random.integers(0, 1 << 40, n)) for n in sizes])
+    steps = ngram_model.rises(values, first)
+    assert (steps >= 0).all() and (ngram_model.risen(steps, sizes) == values).all()
+    none = np.zeros(0, np.int64)
+    assert len(ngram_model.risen(ngram_model.rises(none, none), none)) == 0
+
+
+def test_words_of_a_chunk_are_coded_a_few_texts_at_a_time(prose, monkeypatch):
+    texts = [None, "", "One one \t TWO", "É é"] + [prose(6000) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    words, offsets = words_of(pa.array([t or "" for t in texts]), pc.ascii_lower)
+    codes, distinct = coded(words)
+    seen = []
+    monkeypatch.setattr(ngram_model, "words_of", lambda some, lower: seen.append(some.nbytes) or words_of(some, lower))
+    got, listed, sizes = ngram_model.coded_words(batch)
+    assert (got == codes).all() and listed.equals(distinct) and (sizes == np.diff(offsets)).all()
+    assert batch.nbytes > 9 << 20 and max(seen) < 5 << 20
+
+
+def test_texts_are_removed_once_the_shards_hold_them(spark, stored, prose, tmp_path, monkeypatch):
+    """Texts are files that tasks read by their path (they are not shuffled); only tries are left when the scores are read."""
+    docs = stored([document(i, prose(40)) for i in range(60)])
+    made = []
+    monkeypatch.setattr(ngram_model, "new_path", lambda _, label: made.append(f"{tmp_path}/{label}") or made[-1])
+    got = ngram_model.scores(docs, ngram_model.is_held_out(F.col("doc_id"))).collect()
+    assert len(got) == 60 and sorted(p.rsplit("/")[-1] for p in made) == ["texts", "tries"]
+    assert [p.name for p in tmp_path.iterdir()] == ["tries"]
