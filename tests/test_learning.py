@@ -36,6 +36,55 @@ def test_outliers(spark):
     assert got[4] > 0.9 and max(got[i] for i in range(4)) < 0.5
 
 
+def shuffled_rows(df):
+    """Rows written to shuffles by the plan of a frame that was collected."""
+    def below(plan):
+        kids = [plan.children().apply(i) for i in range(plan.children().size())]
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            kids = [plan.executedPlan()]
+        if name.endswith("QueryStageExec"):
+            kids = [plan.plan()]
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+        return own + sum(below(x) for x in kids)
+
+    df.collect()
+    return below(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("block_rows", [10, 1000])
+def test_knn_copies_no_rows_for_each_block(points, block_rows):
+    df, _ = points
+    assert 0 < shuffled_rows(neighbours.knn_join(df, df, k=1, pivots=5, block_rows=block_rows)) <= 3 * 120
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_knn_of_ties_repeated_and_null_ids(spark, kind):
+    """The smaller id first on ties; copies of an id are points of their own, and none of them is a neighbour of the other."""
+    rows = [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (4, [3.0, 4.0]), (3, [3.0, 4.0]), (2, [3.0, 4.0]), (None, [0.0, 1.0]), (5, [float("nan"), 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, vector array<float>").selectExpr(f"CAST(id AS {kind}) AS id", "vector")
+    asked = df.where("id IN (1, 2, 5)").dropDuplicates(["id"])
+    for block_rows in (2, 1000):
+        found = neighbours.knn_join(asked, df, k=3, pivots=3, block_rows=block_rows, distinct=True).collect()
+        got = {}
+        for r in found:
+            got.setdefault(int(r["query_id"]), {})[r["rank"]] = (r["point_id"] and int(r["point_id"]), r["distance"])
+        assert got[1] == {1: (None, 1.0), 2: (2, 5.0), 3: (3, 5.0)}
+        assert got[2] == {1: (3, 0.0), 2: (4, 0.0), 3: (None, pytest.approx(18**0.5))} and set(got) == {1, 2}
+
+
+def test_knn_far_from_the_origin(spark):
+    """Single precision leaves out nothing that is near: gaps here are far below its digits of the coordinates."""
+    rng = np.random.default_rng(8)
+    data = (np.round(rng.normal(0, 40, (600, 4))) / 8 + np.array([4096.0, -4096.0, 0.0, 2048.0])).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id bigint, vector array<float>")
+    gaps = np.sqrt(((data[:, None] - data[None]) ** 2).sum(-1))
+    np.fill_diagonal(gaps, np.inf)
+    want = np.argsort(gaps, axis=1, kind="stable")[:, :3]
+    got = {(r["query_id"], r["rank"]): r["point_id"] for r in neighbours.knn_join(df, df, k=3, distinct=True).collect()}
+    assert [[got[i, j + 1] for j in range(3)] for i in range(600)] == want.tolist()
+
+
 def test_polynomial_features(spark):
     df = spark.createDataFrame([([3.0, 2.0],)], "v array<double>")
     made = vectors.PolynomialFeatures("v", 2, 3).fit(df)(df).first()[0]
