@@ -36,6 +36,12 @@ def test_outliers(spark):
     assert got[4] > 0.9 and max(got[i] for i in range(4)) < 0.5
 
 
+@pytest.mark.parametrize("block_rows", [10, 1000])
+def test_outliers_copy_no_rows_for_each_block(points, block_rows):
+    df, _ = points
+    assert 0 < shuffled_rows(neighbours.outlier_selection(df, 30.0, block_rows=block_rows)) <= 3 * 120
+
+
 def shuffled_rows(df):
     """Rows written to shuffles by the plan of a frame that was collected."""
     def below(plan):
