@@ -36,6 +36,65 @@ def test_outliers(spark):
     assert got[4] > 0.9 and max(got[i] for i in range(4)) < 0.5
 
 
+def perplexed(ids, data, perplexity):
+    """Outlier probabilities by bisection to the last digit."""
+    gaps, left = np.sqrt(((data[:, None] - data[None]) ** 2).sum(-1)), np.zeros(len(ids))
+    for i in range(len(ids)):
+        others = ids != ids[i]
+        d = gaps[i][others] - gaps[i][others].min()
+        lo, hi = 0.0, 1e9
+        for _ in range(200):
+            near = np.exp(-(lo + hi) / 2 * d)
+            over = np.log(near.sum()) + (lo + hi) / 2 * (near * d).sum() / near.sum() > np.log(perplexity)
+            lo, hi = ((lo + hi) / 2, hi) if over else (lo, (lo + hi) / 2)
+        left[others] += np.log1p(-np.minimum(near / near.sum(), 1 - 1e-15))
+    return np.exp(left)
+
+
+def test_outliers_reach_the_perplexity(spark, points):
+    """Every point, also one that many rounds are needed for, and one so far off that its affinities are 0 at the first beta."""
+    df, data = points
+    far = [(1000, [900.0, 0.0, 0.0]), (1001, [900.0, 1e-3, 0.0])]
+    df = df.union(spark.createDataFrame(far, "id bigint, vector array<float>"))
+    data = np.concatenate([data, np.array([v for _, v in far], dtype=np.float32)])
+    ids = np.array([*range(120), 1000, 1001])
+    for perplexity in (2.0, 30.0):
+        got = {r["id"]: r["probability"] for r in neighbours.outlier_selection(df, perplexity, block_rows=50).collect()}
+        assert [got[i] for i in ids] == pytest.approx(perplexed(ids, data, perplexity), abs=1e-8)
+    with pytest.raises(Exception, match="have not reached the perplexity"):
+        neighbours.outlier_selection(df, 30.0, rounds=3).collect()
+
+
+def test_outliers_of_the_documentation(spark):
+    rows = [(0, [1.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0]), (3, [2.0, 2.0]), (4, [5.0, 8.0])]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    got = {r["id"]: r["probability"] for r in neighbours.outlier_selection(df, 3.0).collect()}
+    want = [0.2790094479202896, 0.25775014551682535, 0.22136130977995766, 0.12707053787018444, 0.9922779902453757]
+    assert [got[i] for i in range(5)] == pytest.approx(want, abs=1e-6)
+
+
+def test_ml_outliers_asks_for_the_whole_job(spark, points, tmp_path):
+    from millrace.plans import learning
+    from millrace.sources.tables import Tables
+
+    df, data = points
+    df.selectExpr("id AS vec_id", "vector AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["probability"] for r in learning.ml_outliers(Tables(spark, str(tmp_path))).collect()}
+    assert [got[i] for i in range(len(data))] == pytest.approx(perplexed(np.arange(len(data)), data, 30.0), abs=1e-6)
+
+
+def test_outliers_with_ties_few_points_and_null_ids(spark):
+    ties = spark.createDataFrame([(i, [float(i % 3)]) for i in range(18)], "id bigint, vector array<float>")
+    got = [r["probability"] for r in neighbours.outlier_selection(ties, 5.0, block_rows=7).collect()]
+    assert got == pytest.approx([0.8**5] * 18, abs=1e-9)
+    few = spark.createDataFrame([(None, [0.5]), (1, [0.0]), (2, [1.0]), (3, [5.0])], "id bigint, vector array<float>")
+    got = {r["id"]: r["probability"] for r in neighbours.outlier_selection(few, 30.0).collect()}
+    assert got == pytest.approx({None: (2 / 3) ** 3, 1: (2 / 3) ** 2, 2: (2 / 3) ** 2, 3: (2 / 3) ** 2})
+    alone = spark.createDataFrame([(1, [0.5])], "id bigint, vector array<float>")
+    assert [tuple(r) for r in neighbours.outlier_selection(alone, 30.0).collect()] == [(1, 1.0)]
+    assert neighbours.outlier_selection(alone.where("id = 2"), 30.0).count() == 0
+
+
 @pytest.mark.parametrize("block_rows", [10, 1000])
 def test_outliers_copy_no_rows_for_each_block(points, block_rows):
     df, _ = points
